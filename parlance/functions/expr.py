@@ -132,9 +132,10 @@ def resolve_colours(words, colour_names: list[str]) -> tuple[Column, Column]:
 
 def item_tokens(fields: dict[str, Column], sep: str) -> Column:
     """Distinct ``key<sep>value`` tokens; a field may be a string or an array."""
-    arrays = [F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda x, k=k: F.concat(F.lit(k + sep), x))
-              for k, v in fields.items()]
-    return F.array_distinct(F.concat(*arrays))
+    def tokens(key: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.concat(F.lit(key + sep), x))
+
+    return F.array_distinct(F.concat(*[tokens(k, v) for k, v in fields.items()]))
 
 
 # --- recodes ------------------------------------------------------------

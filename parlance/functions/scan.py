@@ -82,7 +82,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str
     """Equi-join where a null key equals a null key; key columns come from the left."""
     if not cols:
         raise ValueError("join columns needed")
-    tmp = {c: f"_r_{c}" for c in cols}
+    tmp = {c: f"_scan_r_{c}" for c in cols}
     right = right.withColumnsRenamed(tmp)
     cond = reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[tmp[c]]) for c in cols])
     return left.join(right, cond, how).drop(*tmp.values())
@@ -90,7 +90,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: never more than rows / hot_rows of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).drop("_n")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_scan_n")).where(F.col("_scan_n") > hot_rows).drop("_scan_n")
 
 
 @dataclass(frozen=True)
@@ -112,8 +112,8 @@ def ordered(df: DataFrame, keys: list[str], order: list, features: dict[str, Fea
     """Add ordered features per key.  ``order`` must be unique within a key."""
     order = [_c(o) for o in order]
     if not keys:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-        return ordered(df, keys, order, features, hot_rows).drop("_all")
+        df, keys = df.withColumn("_scan_all", F.lit(0)), ["_scan_all"]
+        return ordered(df, keys, order, features, hot_rows).drop("_scan_all")
     skew = skew or find_skew(df, keys, hot_rows)
     if skew.keys is None:
         return _plain(df, keys, order, features)
@@ -148,19 +148,19 @@ def _plain(df, keys, order, features):
 
 
 def _positions(df, keys, order, block_rows):
-    """Exact 0-based position per key in ``_pos``, without one task per key."""
+    """Exact 0-based position per key in ``_scan_pos``, without one task per key."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     parts = max(2, df.count() // max(block_rows, 1) + 1)
     ranged = (df.repartitionByRange(int(min(parts, 20_000)), *[F.col(k) for k in keys], *order)
-              .withColumn("_block", F.spark_partition_id()).checkpoint())
-    counts = ranged.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = Window.partitionBy(*keys, "_block").orderBy(*order)
-    return (null_safe_join(ranged, offsets, [*keys, "_block"])
-            .withColumn("_pos", F.col("_off") + F.row_number().over(local) - 1)
-            .drop("_off", "_block"))
+              .withColumn("_scan_block", F.spark_partition_id()).checkpoint())
+    counts = ranged.groupBy(*keys, "_scan_block").agg(F.count(F.lit(1)).alias("_scan_n"))
+    w = Window.partitionBy(*keys).orderBy("_scan_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_scan_block", F.coalesce(F.sum("_scan_n").over(w), F.lit(0)).alias("_scan_off"))
+    local = Window.partitionBy(*keys, "_scan_block").orderBy(*order)
+    return (null_safe_join(ranged, offsets, [*keys, "_scan_block"])
+            .withColumn("_scan_pos", F.col("_scan_off") + F.row_number().over(local) - 1)
+            .drop("_scan_off", "_scan_block"))
 
 
 def _merge(fn: str, carry: Column, local: Column) -> Column:
@@ -177,45 +177,45 @@ def _blocked(df, keys, order, features, block_rows):
     rows = _positions(df, keys, order, block_rows)
     halo = max([f.n for f in features.values() if f.kind in ("lag", "lead")], default=0)
     size = max(block_rows, halo + 1)
-    rows = rows.withColumn("_home", F.floor(F.col("_pos") / size))
+    rows = rows.withColumn("_scan_home", F.floor(F.col("_scan_pos") / size))
 
     # per-block summaries, one row per (key, block)
     aggs, carried = [], {}
     for name, f in features.items():
         if f.kind in ("running", "before"):
             if f.fn == "last":
-                aggs.append(F.max_by(f.expr, F.when(f.expr.isNotNull(), F.col("_pos"))).alias(f"_c_{name}"))
+                aggs.append(F.max_by(f.expr, F.when(f.expr.isNotNull(), F.col("_scan_pos"))).alias(f"_scan_c_{name}"))
             else:
-                aggs.append(_AGG[f.fn](f.expr).alias(f"_c_{name}"))
+                aggs.append(_AGG[f.fn](f.expr).alias(f"_scan_c_{name}"))
             carried[name] = "sum" if f.fn == "count" else f.fn
         elif f.kind == "total":
             if f.fn == "avg":
-                aggs += [F.sum(f.expr).alias(f"_s_{name}"), F.count(f.expr).alias(f"_n_{name}")]
+                aggs += [F.sum(f.expr).alias(f"_scan_s_{name}"), F.count(f.expr).alias(f"_scan_n_{name}")]
             else:
-                aggs.append(_AGG[f.fn](f.expr).alias(f"_c_{name}"))
+                aggs.append(_AGG[f.fn](f.expr).alias(f"_scan_c_{name}"))
     # positions are needed by max_by, so the summary reads the positioned rows
-    aggs = aggs or [F.count(F.lit(1)).alias("_n")]
-    blocks = rows.groupBy(*keys, "_home").agg(*aggs)
-    prior = Window.partitionBy(*keys).orderBy("_home").rowsBetween(Window.unboundedPreceding, -1)
+    aggs = aggs or [F.count(F.lit(1)).alias("_scan_n")]
+    blocks = rows.groupBy(*keys, "_scan_home").agg(*aggs)
+    prior = Window.partitionBy(*keys).orderBy("_scan_home").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    sel = [*keys, "_home"]
+    sel = [*keys, "_scan_home"]
     for name, f in features.items():
         if name in carried:
-            sel.append(_AGG[carried[name]](F.col(f"_c_{name}")).over(prior).alias(f"_p_{name}"))
+            sel.append(_AGG[carried[name]](F.col(f"_scan_c_{name}")).over(prior).alias(f"_scan_p_{name}"))
         elif f.kind == "total" and f.fn == "avg":
-            sel.append(F.try_divide(F.sum(f"_s_{name}").over(whole), F.sum(f"_n_{name}").over(whole)).alias(name))
+            sel.append(F.try_divide(F.sum(f"_scan_s_{name}").over(whole), F.sum(f"_scan_n_{name}").over(whole)).alias(name))
         elif f.kind == "total":
             fn = "sum" if f.fn == "count" else f.fn
-            sel.append(_AGG[fn](F.col(f"_c_{name}")).over(whole).alias(name))
+            sel.append(_AGG[fn](F.col(f"_scan_c_{name}")).over(whole).alias(name))
     carry = blocks.select(*sel)
 
-    at = F.col("_pos") % size
-    copies = [F.col("_home")]
+    at = F.col("_scan_pos") % size
+    copies = [F.col("_scan_home")]
     if halo:
-        copies += [F.when(at < halo, F.col("_home") - 1), F.when(at >= size - halo, F.col("_home") + 1)]
-    rows = rows.withColumn("_in", F.explode(F.array_compact(F.array(*copies))))
-    own = F.col("_in") == F.col("_home")
-    w = Window.partitionBy(*keys, "_in").orderBy("_pos")
+        copies += [F.when(at < halo, F.col("_scan_home") - 1), F.when(at >= size - halo, F.col("_scan_home") + 1)]
+    rows = rows.withColumn("_scan_in", F.explode(F.array_compact(F.array(*copies))))
+    own = F.col("_scan_in") == F.col("_scan_home")
+    w = Window.partitionBy(*keys, "_scan_in").orderBy("_scan_pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     behind = w.rowsBetween(Window.unboundedPreceding, -1)
     out = {}
@@ -225,12 +225,12 @@ def _blocked(df, keys, order, features, block_rows):
         elif f.kind == "lead":
             out[name] = F.lead(f.expr, f.n).over(w)
         elif f.kind == "position":
-            out[name] = F.col("_pos") + 1
+            out[name] = F.col("_scan_pos") + 1
         elif f.kind in ("running", "before"):
             out[name] = _AGG[f.fn](F.when(own, f.expr)).over(upto if f.kind == "running" else behind)
-    done = null_safe_join(rows.withColumns(out).where(own), carry, [*keys, "_home"])
+    done = null_safe_join(rows.withColumns(out).where(own), carry, [*keys, "_scan_home"])
     return done.select(*cols, *[
-        (_merge(f.fn, F.col(f"_p_{n}"), F.col(n)) if n in carried else F.col(n)).alias(n)
+        (_merge(f.fn, F.col(f"_scan_p_{n}"), F.col(n)) if n in carried else F.col(n)).alias(n)
         for n, f in features.items()])
 
 

@@ -62,7 +62,8 @@ def code_tags(synonyms: DataFrame) -> DataFrame:
 
 def main_codes(df: DataFrame, tags: DataFrame, col: str, keep_unknown: bool = True) -> DataFrame:
     """Replace a code by the one that lists it among its synonyms."""
-    flat = (tags.select("dress_code", F.explode("synonyms").alias(col)).groupBy(col).agg(F.min("dress_code").alias("_main")))
+    flat = (tags.select(F.col("dress_code").alias("_m"), F.explode("synonyms").alias(col))
+            .groupBy(col).agg(F.min("_m").alias("_main")))
     out = df.join(flat, col, "left")
     return out.withColumn(col, F.coalesce("_main", col) if keep_unknown else F.col("_main")).drop("_main")
 

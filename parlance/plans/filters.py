@@ -32,9 +32,9 @@ def _(t):
     return R.min_share(t.customer, "c_nationkey", 0.04, [1, 2, 3, 5, 8, 13, 21]).select("c_custkey", "c_nationkey")
 
 
-@query("f05_min_support", "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 50")
+@query("f05_min_support", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 75")
 def _(t):
-    return R.min_support(t.part, ["p_name"], 50)
+    return R.min_support(t.part, ["p_brand"], 75)
 
 
 @query("f06_exactly_one", "SELECT product_id FROM fx_product_codes GROUP BY 1 HAVING count(*) = 1 AND max(score) = 100")
@@ -102,9 +102,9 @@ def _(t):
     return d.select("message_id", F.element_at("intents", 1)["name"].alias("intent"))
 
 
-@query("f17_rare_labels", "SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 50)")
+@query("f17_rare_labels", "SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) > 45)")
 def _(t):
-    return R.rare_labels(t.documents, "source", 50).select("doc_id", "source")
+    return R.rare_labels(t.documents, "source", 45).select("doc_id", "source")
 
 
 @query("f18_one_product", "SELECT product_id FROM fx_products WHERE product_type = 'red ring'")

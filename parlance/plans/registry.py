@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parlance.sources.tables import VIEWS, Tables, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 CHECK_VIEWS: dict[str, str] = {}  # extra common table expressions of the checks
 
 
@@ -44,6 +44,11 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = lambda spark, path: fn(Tables(spark, path))
         if sql:
-            ORACLE[name] = _with_views(sql)
+            _SQL[name] = sql
         return fn
     return add
+
+
+def oracle() -> dict[str, str]:
+    """Check SQL of every query, with the views it reads written out in front."""
+    return {name: _with_views(sql) for name, sql in _SQL.items()}

@@ -28,9 +28,9 @@ def _(t):
 
 
 @query("p03_calendar_text", """
-WITH d AS (SELECT conversation_id, created_at, try_strptime(created_at, '%Y-%m-%d %H:%M:%S') AS at FROM fx_conv_raw)
-SELECT conversation_id, CASE WHEN at IS NOT NULL THEN substr(created_at, 1, 4) END AS year,
-  CASE WHEN at IS NOT NULL THEN substr(created_at, 6, 2) END AS month, dayname(at) AS weekday, CAST(hour(at) AS INT) AS hour FROM d""")
+WITH d AS (SELECT conversation_id, created_at, try_strptime(created_at, '%Y-%m-%d %H:%M:%S') AS d_at FROM fx_conv_raw)
+SELECT conversation_id, CASE WHEN d_at IS NOT NULL THEN substr(created_at, 1, 4) END AS year,
+  CASE WHEN d_at IS NOT NULL THEN substr(created_at, 6, 2) END AS month, dayname(d_at) AS weekday, CAST(hour(d_at) AS INT) AS hour FROM d""")
 def _(t):
     return t.fx_conv_raw.select("conversation_id", *[c.alias(n) for n, c in X.calendar_text("created_at").items()])
 

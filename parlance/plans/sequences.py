@@ -194,9 +194,9 @@ def _(t):
 
 
 @query("w20_sequence_contains", """
-SELECT sender_id FROM fx_bot GROUP BY 1 HAVING bool_or(coalesce(response_code = 'color_question', false)) AND bool_or(coalesce(response_code = 'fit_question', false))""")
+SELECT sender_id FROM fx_bot GROUP BY 1 HAVING bool_or(coalesce(response_code = 'color_question', false)) AND bool_or(coalesce(response_code = 'yes_no', false))""")
 def _(t):
-    return S.holds_codes(t.fx_bot, "sender_id", "response_code", ["color_question", "fit_question"])
+    return S.holds_codes(t.fx_bot, "sender_id", "response_code", ["color_question", "yes_no"])
 
 
 @query("j01_interleave", "SELECT sender_id, retailer_id, ts, src, text, response_code FROM ck_union")
