@@ -17,37 +17,58 @@ def score_counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFr
     return df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("tp"))
 
 
+def _running(counts: DataFrame, score: str, by: list[str], hot_rows: int | None) -> DataFrame:
+    return ordered(counts, by, [F.desc(score)], {
+        "cum_n": running("n"), "cum_tp": running("tp"), "total_n": total("n"), "total_tp": total("tp")}, hot_rows)
+
+
 def curve(df: DataFrame, score: str, label: str, by: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
     """PR and ROC points, one per distinct score, best first: recall, precision,
     tpr, fpr, with the running counts behind them."""
     by = by or []
-    d = ordered(score_counts(df, score, label, by), by, [F.desc(score)], {
-        "cum_n": running("n"), "cum_tp": running("tp"), "total_n": total("n"), "total_tp": total("tp")}, hot_rows)
+    d = _running(score_counts(df, score, label, by), score, by, hot_rows)
+    found = F.try_divide(F.col("cum_tp").cast("double"), F.col("total_tp"))
     neg = F.col("total_n") - F.col("total_tp")
-    return d.withColumns({
-        "precision": F.col("cum_tp") / F.col("cum_n"), "recall": F.try_divide(F.col("cum_tp").cast("double"), F.col("total_tp")),
-        "tpr": F.try_divide(F.col("cum_tp").cast("double"), F.col("total_tp")),
-        "fpr": F.try_divide((F.col("cum_n") - F.col("cum_tp")).cast("double"), neg)})
+    return d.withColumns({"precision": F.col("cum_tp") / F.col("cum_n"), "recall": found, "tpr": found,
+                          "fpr": F.try_divide((F.col("cum_n") - F.col("cum_tp")).cast("double"), neg)})
 
 
-def ap_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
-    """Average precision and area under ROC, over all rows or per group.
-    AUC is the rank sum of the positives with average ranks."""
-    by = by or []
-    c = curve(df, score, label, by, hot_rows)
+def from_counts(counts: DataFrame, score: str, by: list[str], hot_rows: int | None = None) -> DataFrame:
+    """AP and AUC from (by, score, n, tp)."""
+    c = _running(counts, score, by, hot_rows)
     rank = F.col("total_n") - F.col("cum_n") + (F.col("n") + 1) / 2
-    ap = F.sum(F.try_divide(F.col("tp").cast("double"), F.col("total_tp")) * F.col("precision"))
+    ap = F.sum(F.try_divide(F.col("tp").cast("double"), F.col("total_tp")) * (F.col("cum_tp") / F.col("cum_n")))
     n1, n0 = F.max("total_tp").cast("double"), (F.max("total_n") - F.max("total_tp")).cast("double")
     auc = F.try_divide(F.sum(F.col("tp") * rank) - n1 * (n1 + 1) / 2, n1 * n0)
     aggs = [ap.alias("ap"), auc.alias("auc"), F.max("total_n").alias("n"), F.max("total_tp").alias("positives")]
     return c.groupBy(*by).agg(*aggs) if by else c.agg(*aggs)
 
 
+def ap_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Average precision and area under ROC, over all rows or per group.
+    AUC is the rank sum of the positives with average ranks."""
+    by = by or []
+    return from_counts(score_counts(df, score, label, by), score, by, hot_rows)
+
+
+def score_of_rank(counts: DataFrame, score: str) -> float | None:
+    """The score down to which the N best rows reach, N being the number of true rows."""
+    c = _running(counts, score, [], None)
+    row = c.where(F.col("cum_n") - F.col("n") < F.col("total_tp")).agg(F.min(score)).first()
+    return row[0]
+
+
+def top_n_of(df: DataFrame, score: str, label: str, tiebreak: list[str], size: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """The N best rows, N read from the ``positives`` of a one-row table."""
+    n = size.select(F.col("positives").alias("_n"), F.lit(1).alias("_k"))
+    d = ordered(df, [], [F.desc(score), *tiebreak], {"_pos": position()}, hot_rows)
+    return d.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k").where("_pos <= _n").drop("_k", "_n", "_pos")  # one row
+
+
 def top_n(df: DataFrame, score: str, label: str, tiebreak: list[str], hot_rows: int | None = None) -> DataFrame:
     """The N best rows, N being the number of positive rows."""
-    size = df.agg(F.sum(F.col(label).cast("long")).alias("_n")).withColumn("_k", F.lit(1))
-    d = ordered(df, [], [F.desc(score), *tiebreak], {"_pos": position()}, hot_rows)
-    return d.withColumn("_k", F.lit(1)).join(F.broadcast(size), "_k").where("_pos <= _n").drop("_k", "_n", "_pos")  # one row
+    size = df.agg(F.sum(F.col(label).cast("long")).alias("positives"))
+    return top_n_of(df, score, label, tiebreak, size, hot_rows)
 
 
 def mean_per_group(df: DataFrame, score: str, label: str, by: list[str], tiebreak: list[str], k: int | None = None) -> DataFrame:
