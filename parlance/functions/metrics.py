@@ -66,9 +66,11 @@ def top_n_of(df: DataFrame, score: str, label: str, tiebreak: list[str], size: D
 
 
 def top_n(df: DataFrame, score: str, label: str, tiebreak: list[str], hot_rows: int | None = None) -> DataFrame:
-    """The N best rows, N being the number of positive rows."""
+    """The N best rows, N being the number of positive rows.  Rows below the score
+    that N reaches are dropped before anything is ordered."""
     size = df.agg(F.sum(F.col(label).cast("long")).alias("positives"))
-    return top_n_of(df, score, label, tiebreak, size, hot_rows)
+    cut = score_of_rank(score_counts(df, score, label, []), score)
+    return top_n_of(df.where(F.col(score) >= F.lit(cut)), score, label, tiebreak, size, hot_rows)
 
 
 def mean_per_group(df: DataFrame, score: str, label: str, by: list[str], tiebreak: list[str], k: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.session import ensure_checkpoint_dir
+from parlance.session import pinned
 
 HOT_ROWS = 1_000_000  # rows of one key that one task may hold
 
@@ -149,11 +149,10 @@ def _plain(df, keys, order, features):
 
 def _positions(df, keys, order, block_rows):
     """Exact 0-based position per key in ``_scan_pos``, without one task per key."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     parts = max(2, df.count() // max(block_rows, 1) + 1)
-    ranged = (df.repartitionByRange(int(min(parts, 20_000)), *[F.col(k) for k in keys], *order)
-              .withColumn("_scan_block", F.spark_partition_id()).checkpoint())
+    # the block of a row depends on sampled range bounds, so it is written down once
+    ranged = pinned(df.repartitionByRange(int(min(parts, 20_000)), *[F.col(k) for k in keys], *order)
+                    .withColumn("_scan_block", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "_scan_block").agg(F.count(F.lit(1)).alias("_scan_n"))
     w = Window.partitionBy(*keys).orderBy("_scan_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_scan_block", F.coalesce(F.sum("_scan_n").over(w), F.lit(0)).alias("_scan_off"))

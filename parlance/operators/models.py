@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from parlance.functions import metrics as M
 from parlance.functions.scan import null_safe_join
 from parlance.operators.sampling import stratified_folds
-from parlance.session import ensure_checkpoint_dir
+from parlance.session import pinned
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -41,12 +41,13 @@ def boosted_trees(rounds: int = 500, depth: int = 6, rate: float = 0.03, sample:
 def boosted_trees_cv(df: DataFrame, key: str, folds: int = 3, **params) -> DataFrame:
     """(fold, part, auc, n): boosted trees per stratified fold; training stops early on
     the held-out fold."""
-    d = stratified_folds(df, key, "label", folds)
+    d = pinned(stratified_folds(df, key, "label", folds))
     out = []
     for k in range(folds):
         marked = d.withColumn("held_out", F.col("fold") == k)
         model = boosted_trees(validationIndicatorCol="held_out", **params).fit(marked)
         scored = positive_probability(model.transform(marked)).withColumn("part", F.when(F.col("held_out"), "test").otherwise("train"))
+        scored = scored.select("part", "p", "label")
         out.append(M.ap_auc(scored, "p", "label", ["part"]).select(F.lit(k).alias("fold"), "part", "auc", "n"))
     return reduce(DataFrame.unionByName, out)
 
@@ -54,7 +55,7 @@ def boosted_trees_cv(df: DataFrame, key: str, folds: int = 3, **params) -> DataF
 def weighted_trees(df: DataFrame, negative: float = 0.5, **params):
     """Boosted trees with row weight 1 for positives and ``negative`` for the rest."""
     w = df.withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(negative))
-    return boosted_trees(weightCol="weight", **params).fit(w)
+    return boosted_trees(weightCol="weight", **params).fit(pinned(w.select("label", "features", "weight")))
 
 
 def top_features(model, names: list[str], n: int = 20, least: float = 0.0) -> list[tuple[str, float]]:
@@ -65,7 +66,7 @@ def top_features(model, names: list[str], n: int = 20, least: float = 0.0) -> li
 
 def multiclass(train: DataFrame, test: DataFrame, trees: int = 20, depth: int = 5, seed: int = 1) -> DataFrame:
     """Predictions of a random forest for a label with several classes."""
-    model = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(train)
+    model = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(pinned(train.select("label", "features")))
     return model.transform(test)
 
 
@@ -73,13 +74,16 @@ def multiclass(train: DataFrame, test: DataFrame, trees: int = 20, depth: int =
 
 def text_classifier(train: DataFrame, test: DataFrame, tokens: str, vocab: int = 1 << 16, rounds: int = 50) -> DataFrame:
     """Token counts to logistic regression; predictions on the test rows."""
+    train = pinned(train.select("label", tokens))
     cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocab).fit(train)
-    lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=rounds).fit(cv.transform(train))
+    x = pinned(cv.transform(train).select(F.col("label").cast("double").alias("label"), "features"))
+    lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=rounds).fit(x)
     return lr.transform(cv.transform(test))
 
 
 def topics(df: DataFrame, key: str, tokens: str, k: int = 4, passes: int = 10, vocab: int = 1 << 16, least: float = 0.35, seed: int = 100) -> DataFrame:
     """(key, topic, weight): the dominant topic of each document where it is clear."""
+    df = pinned(df.select(key, tokens))
     counts = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocab).fit(df).transform(df)
     model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online").fit(counts)
     w = vector_to_array("topicDistribution")
@@ -91,6 +95,7 @@ def topics(df: DataFrame, key: str, tokens: str, k: int = 4, passes: int = 10, v
 
 def item_features(df: DataFrame, items: str, vocab: int = 1 << 16) -> tuple[DataFrame, list[str]]:
     """0/1 item vectors and the item names."""
+    df = pinned(df)
     cv = CountVectorizer(inputCol=items, outputCol="features", binary=True, vocabSize=vocab).fit(df)
     return cv.transform(df), list(cv.vocabulary)
 
@@ -100,7 +105,7 @@ def l1_path(df: DataFrame, items: str, steps: int = 16, rounds: int = 100, least
     recall, score, features).  The grid starts from the strength at which every
     coefficient is zero, divided by 10^3 .. 10^7."""
     x, names = item_features(df, items)
-    x = x.select("label", "features").persist()
+    x = pinned(x.select("label", "features"))
     sign = F.when(F.col("label") == 1, 1).otherwise(-1)
     # the largest |sum of signed labels| over the items gives the empty model
     sums = df.select(F.explode(F.array_distinct(items)).alias("i"), sign.alias("s")).groupBy("i").agg(F.abs(F.sum("s")).alias("a"))
@@ -115,7 +120,6 @@ def l1_path(df: DataFrame, items: str, steps: int = 16, rounds: int = 100, least
         precision, recall = (c.tp / c.pp if c.pp else 0.0), (c.tp / c.ap if c.ap else 0.0)
         coef = sorted(((abs(float(v)), f"{m}:{float(v):.4f}") for m, v in zip(names, model.coefficients.toArray()) if abs(v) > least), reverse=True)
         rows.append((i, strength, precision, recall, 0.9 * precision + 0.1 * recall, [t for _, t in coef]))
-    x.unpersist()
     return df.sparkSession.createDataFrame(rows, "step int, strength double, precision double, recall double, score double, features array<string>")
 
 
@@ -163,12 +167,11 @@ def group_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 4, mi
     its group.  A level counts (node, item) pairs of every group, picks the best item
     per node and sends the rows on; each level is checkpointed, so the plan stays flat
     and a lost executor repeats one level only.  A group of one class is one leaf."""
-    ensure_checkpoint_dir(rows.sparkSession)
     one = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_c"))
     size = one.groupBy(*keys).agg(F.sum("_c").alias("_size"))
     weights = null_safe_join(one, size, keys).withColumn("_w", F.col("_size") / F.col("_c")).drop("_c")
     d = null_safe_join(rows.select(*keys, "label", F.array_distinct(items).alias("items")), weights, [*keys, "label"])
-    d = d.withColumns({"node": F.lit(1).cast("long"), "path": F.array().cast("array<string>")}).checkpoint()
+    d = pinned(d.withColumns({"node": F.lit(1).cast("long"), "path": F.array().cast("array<string>")}))
     node = [*keys, "node"]
     pos = F.sum(F.when(F.col("label") == 1, F.col("_w")).otherwise(0.0))
     neg = F.sum(F.when(F.col("label") == 1, 0.0).otherwise(F.col("_w")))
@@ -184,8 +187,9 @@ def group_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 4, mi
         d = null_safe_join(d, best, node, "left")
         inside = F.array_contains("items", F.col("split"))
         term = F.concat("split", F.when(inside, ">=0.5").otherwise("< 0.5"))
-        d = d.withColumns({"node": F.when(F.col("split").isNull(), F.col("node")).otherwise(F.col("node") * 2 + inside.cast("long")),
-                           "path": F.when(F.col("split").isNull(), F.col("path")).otherwise(F.array_append("path", term))}).drop("split").checkpoint()
+        d = pinned(d.withColumns({
+            "node": F.when(F.col("split").isNull(), F.col("node")).otherwise(F.col("node") * 2 + inside.cast("long")),
+            "path": F.when(F.col("split").isNull(), F.col("path")).otherwise(F.array_append("path", term))}).drop("split"))
     leaf = d.groupBy(*node, "path").agg(F.count(F.lit(1)).alias("cover"), pos.alias("p"), neg.alias("q"), F.max("_size").alias("s"))
     prob = F.col("p") / (F.col("p") + F.col("q"))
     return leaf.select(*node, "path", F.when(prob > 0.5, 1).otherwise(0).alias("label"), "cover", (F.col("cover") / F.col("s")).alias("share"), prob.alias("prob"))

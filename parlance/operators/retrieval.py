@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from parlance.functions import metrics as M
 from parlance.functions.scan import top_per_key
 from parlance.operators.sampling import sample_n
+from parlance.session import pinned
 
 QUERY_ROWS = 1024     # queries a task may hold
 SLICE_ROWS = 50_000   # candidate rows of one block pair
@@ -269,6 +270,7 @@ def retrieval_eval(vectors: DataFrame, n_queries: int, seed: int = 1) -> DataFra
     queries = sample_n(vectors, "id", n_queries, seed)
     rest = vectors.join(queries.select("id"), "id", "left_anti")
     counts = _flagged_pairs(rest, queries, None, True).groupBy("intent", "score").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
+    counts = pinned(counts)  # read by four jobs below
     per = M.from_counts(counts, "score", ["intent"]).agg(F.avg("ap").alias("ap"), F.avg("auc").alias("auc"), F.count(F.lit(1)).alias("n"))
     whole = counts.groupBy("score").agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"))
     every = M.from_counts(whole, "score", [])

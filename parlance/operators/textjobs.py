@@ -240,8 +240,8 @@ def masked_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, most:
     d = d.withColumn("_kind", kind)
     size = vocab.agg(F.count(F.lit(1)).alias("_v")).withColumn("_k", F.lit(1))
     rand = d.where("_kind >= 0.9").withColumn("_k", F.lit(1)).join(F.broadcast(size), "_k").drop("_k")  # one row
-    rand = rand.withColumn("id", F.floor(hash_unit(seed, "word", F.col(key), F.col("pos")) * F.col("_v")))
-    rand = rand.join(vocab, "id").select(key, "pos", "label", F.col("word").alias("token"))
+    rand = rand.withColumn("_id", F.floor(hash_unit(seed, "word", F.col(key), F.col("pos")) * F.col("_v")))
+    rand = rand.join(vocab.withColumnRenamed("id", "_id"), "_id").select(key, "pos", "label", F.col("word").alias("token"))
     rest = d.where("_kind < 0.9").select(key, "pos", "label", F.when(F.col("_kind") < 0.8, "[MASK]").otherwise(F.col("label")).alias("token"))
     return rest.unionByName(rand)
 

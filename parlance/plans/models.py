@@ -13,6 +13,7 @@ from parlance.plans import catalogue as PC
 from parlance.plans.rates import outcomes, rounded
 from parlance.plans.registry import query
 from parlance.plans.sequences import conversation
+from parlance.session import pinned
 
 CODES = ["color_question", "fit_question", "product_type_selection", "subvertical_selection"]
 CATEGORIES = {"response_code": CODES, "last_product_type": ["shirt", "jeans", "pants", "other"]}
@@ -62,7 +63,7 @@ def _(t):
     m, _names = table(t)
     m = m.withColumn("answered", F.col("label")).withColumn("label", sum(F.col(f"response_code_{c}") * (i + 1) for i, c in enumerate(CODES)).cast("double"))
     x = M.assemble(m, [f"last_product_type_{v}" for v in CATEGORIES["last_product_type"]] + MT.NUMBERS)
-    p = M.multiclass(x, x)
+    p = pinned(M.multiclass(x, x).select("label", "prediction", "answered"))
     parts = [MET.class_report(p.where(F.col("answered") == a), "label", "prediction").withColumn("answered", F.lit(a)) for a in (0, 1)]
     return rounded(parts[0].unionByName(parts[1]), "precision", "recall", "f1", digits=4)
 
@@ -70,7 +71,7 @@ def _(t):
 @query("m06_logistic")
 def _(t):
     ids = label_ids(t.documents, "lang", "doc_id").withColumnRenamed("id", "label")
-    d = t.fx_texts.select("doc_id", "lang", TX.label_trigrams(TX.clean_text("text")).alias("grams")).join(ids, "lang")
+    d = t.texts.select("doc_id", "lang", TX.label_trigrams(TX.clean_text("text")).alias("grams")).join(ids, "lang")
     d = stratified_split(d, "doc_id", "lang")
     p = M.text_classifier(d.where("part = 'train'"), d.where("part = 'test'"), "grams", vocab=4096, rounds=15)
     return rounded(MET.class_report(p.withColumn("label", F.col("label").cast("double")), "label", "prediction"), "precision", "recall", "f1", digits=4)
@@ -146,7 +147,7 @@ def _(t):
 
 @query("m12_topics")
 def _(t):
-    d = t.fx_texts.select("doc_id", TX.words("text").alias("w")).where(F.size("w") > 0)
+    d = t.texts.select("doc_id", TX.words("text").alias("w")).where(F.size("w") > 0)
     return rounded(M.topics(d, "doc_id", "w", passes=5, vocab=4096), "weight", digits=4)
 
 

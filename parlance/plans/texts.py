@@ -16,19 +16,19 @@ SELECT doc_id, lang, source, trim(regexp_replace({'replace(' * len(T.CONTRACTION
 
 def tokens(t):
     """One row per document with its words."""
-    return t.fx_texts.select("doc_id", "lang", "source", T.split_words("text").alias("ws"))
+    return t.texts.select("doc_id", "lang", "source", T.split_words("text").alias("ws"))
 
 
 @query("x01_clean_text", "SELECT doc_id, md5(text) AS text_key, length(text) AS n FROM ck_clean")
 def _(t):
-    d = t.fx_texts.select("doc_id", T.clean_text("text").alias("text"))
+    d = t.texts.select("doc_id", T.clean_text("text").alias("text"))
     return d.select("doc_id", F.md5("text").alias("text_key"), F.length("text").cast("long").alias("n"))
 
 
 @query("x02_words", f"""
 SELECT doc_id, md5(array_to_string(w, ' ')) AS words_key, len(w) AS n FROM (SELECT doc_id, list_filter(list_transform(list_filter(ws, lambda x: x NOT IN ('yes', 'new', 'search') AND regexp_full_match(x, '\\p{{L}}+')), lambda x: lower(x)), lambda x: x NOT IN ({STOP})) AS w FROM ck_words)""")
 def _(t):
-    d = t.fx_texts.select("doc_id", T.words("text").alias("w"))
+    d = t.texts.select("doc_id", T.words("text").alias("w"))
     return d.select("doc_id", F.md5(F.array_join("w", " ")).alias("words_key"), F.size("w").cast("long").alias("n"))
 
 
@@ -37,14 +37,14 @@ SELECT doc_id, md5(array_to_string(g, ' ')) AS grams_key, len(g) AS n FROM (SELE
  lambda w: list_transform(range(1, length(w) + 1), lambda i: substr(concat('#', w, '#'), i, 3)))) AS g FROM ck_clean)""")
 def _(t):
     g = T.label_trigrams(T.clean_text("text"))
-    d = t.fx_texts.select("doc_id", g.alias("g"))
+    d = t.texts.select("doc_id", g.alias("g"))
     return d.select("doc_id", F.md5(F.array_join("g", " ")).alias("grams_key"), F.size("g").cast("long").alias("n"))
 
 
 @query("x04_count_vectors", """
 SELECT doc_id, token, count(*) AS n, 1 AS present FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS token FROM fx_texts) GROUP BY 1, 2""")
 def _(t):
-    long = t.fx_texts.select("doc_id", F.explode(T.pattern_tokens("text")).alias("token"))
+    long = t.texts.select("doc_id", F.explode(T.pattern_tokens("text")).alias("token"))
     return long.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).withColumn("present", F.lit(1))
 
 
@@ -66,7 +66,7 @@ SELECT doc_id, label, 0 AS variant, md5(text) AS text_key FROM l UNION ALL SELEC
 def _(t):
     w = t.benchmark.select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")).alias("word")).where(F.length("word") > 5)
     syn = w.distinct().withColumn("synonym", F.concat("word", F.lit("ly")))
-    d = t.fx_texts.select("doc_id", F.concat_ws("-", "source", "lang").alias("label"), "text")
+    d = t.texts.select("doc_id", F.concat_ws("-", "source", "lang").alias("label"), "text")
     return J.augment_rare(d, "doc_id", "label", "text", syn).select("doc_id", "label", "variant", F.md5("text").alias("text_key"))
 
 
@@ -99,7 +99,7 @@ def _(t):
 WITH b AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(text, '[\t\n\r]', ' ', 'g'))), '[\p{Cc}\p{Cf}]', '', 'g'), '([\p{P}$+<=>^`|~])', ' \1 ', 'g'), ' '), lambda w: w <> '') AS w FROM fx_texts)
 SELECT doc_id, md5(array_to_string(w, ' ')) AS tokens_key, len(w) AS n FROM b""")
 def _(t):
-    d = t.fx_texts.select("doc_id", T.basic_tokens("text").alias("w"))
+    d = t.texts.select("doc_id", T.basic_tokens("text").alias("w"))
     return d.select("doc_id", F.md5(F.array_join("w", " ")).alias("tokens_key"), F.size("w").cast("long").alias("n"))
 
 
@@ -114,7 +114,7 @@ def vocab(t):
 
 @query("x10_wordpiece")
 def _(t):
-    w = t.fx_texts.select(F.explode(T.basic_tokens("text")).alias("word"))
+    w = t.texts.select(F.explode(T.basic_tokens("text")).alias("word"))
     return J.wordpieces(w, vocab(t)).select("word", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").alias("n"))
 
 
@@ -227,7 +227,7 @@ def _(t):
 
 def sentences(t):
     lines = F.filter(F.split("text", "\n"), lambda s: F.length(F.trim(s)) > 0)
-    return t.fx_texts.select("doc_id", F.filter(F.transform(lines, T.split_words), lambda s: F.size(s) > 0).alias("sentences"))
+    return t.texts.select("doc_id", F.filter(F.transform(lines, T.split_words), lambda s: F.size(s) > 0).alias("sentences"))
 
 
 @query("x15_pair_instances")
@@ -267,7 +267,7 @@ def _(t):
 SELECT lang, word, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM (
 SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_transform(list_filter(ws, lambda x: x NOT IN ('yes', 'new', 'search') AND regexp_full_match(x, '\\p{{L}}+')), lambda x: lower(x))) AS word FROM ck_words) WHERE word NOT IN ({STOP}) GROUP BY 1, 2)) WHERE rank <= 30""")
 def _(t):
-    return R.top_words(t.fx_texts.select("lang", F.explode(T.words("text")).alias("word")), ["lang"], 30)
+    return R.top_words(t.texts.select("lang", F.explode(T.words("text")).alias("word")), ["lang"], 30)
 
 
 @query("a23_text_counts", "SELECT text, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM fx_user GROUP BY 1")
@@ -279,9 +279,9 @@ def _(t):
 SELECT word, count(*) AS n FROM (SELECT unnest(list_filter(string_split(text, ' '), lambda w: w <> '' AND w NOT IN ({STOP}))) AS word FROM ck_clean WHERE source = 'src0') GROUP BY 1""")
 def _(t):
     w = F.filter(F.split(T.clean_text("text"), " "), lambda x: (x != "") & ~x.isin(T.STOP_WORDS))
-    return t.fx_texts.where(F.col("source") == "src0").select(F.explode(w).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return t.texts.where(F.col("source") == "src0").select(F.explode(w).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t05_top_words", "SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM ck_words) GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
 def _(t):
-    return R.top_words(t.fx_texts.select(F.explode(T.split_words("text")).alias("word")), [], 50)
+    return R.top_words(t.texts.select(F.explode(T.split_words("text")).alias("word")), [], 50)

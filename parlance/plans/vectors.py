@@ -125,7 +125,7 @@ def _(t):
 
 @query("v05_encode_job")
 def _(t):
-    texts = t.fx_texts.select("text")
+    texts = t.texts.select("text")
     cache = t.benchmark.select("text", F.lit("trigram").alias("encoder"))
     e = R.encode_missing(texts, cache, "trigram", R.trigram_encoder(64))
     return e.select(F.md5("text").alias("text_key"), "encoder", F.size("vector").alias("dims"), F.round(V.norm("vector"), 4).alias("length"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "parlance", **conf: str) -> SparkSession:
@@ -28,15 +28,20 @@ def get_session(master: str | None = None, app: str = "parlance", **conf: str) -
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make a temporary one only
-    where neither the session nor the context names any (local tests)."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared folder of ``spark.checkpoint.dir``, or below a
+    temporary one where the setting is missing in local mode (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(shared)
+        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """The rows written once as a table in the shared folder and read back: cuts the
+    lineage, fixes values that depend on partitioning, and survives lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import pair_lines, split_words
+from parlance.session import scratch
 from parlance.sources.schemas import QA
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, or a local one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # --- delimited and columnar tables ----------------------------------------------
 
 def read_events(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:

@@ -109,6 +109,13 @@ UNION ALL SELECT doc_id + 100000000, source, lang, 'true' FROM {documents} WHERE
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition only where the scan has too few splits to keep all cores busy
+    (one small file); a large input has more splits than cores and is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 class Tables:
     """Attribute access to base tables and role views of one data folder."""
 
@@ -123,6 +130,11 @@ class Tables:
             return self.sql(VIEWS[name])
         raise AttributeError(name)
 
+    @property
+    def texts(self) -> DataFrame:
+        """The text view for jobs that spend long on each row."""
+        return spread(self.fx_texts)
+
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{self.path}/{m[1]}.parquet`", text))
 
