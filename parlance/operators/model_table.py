@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.expr import bucket_rare, clean_names, from_epoch_s
 from parlance.operators.rows import exclude_yes_no
+from parlance.session import pinned
 
 
 def one_hot(df: DataFrame, values: dict[str, list[str]]) -> DataFrame:
@@ -45,6 +46,6 @@ def model_table(jnd: DataFrame, attributes: DataFrame, categories: dict[str, lis
     ts = from_epoch_s("ts")
     q = q.withColumns({"hour": F.hour(ts), "day_of_week": F.weekday(ts) + 1, "sum_answer": F.coalesce("sum_answer", F.lit(0))})
     q = q.select("sender_id", "ts", "is_answered", *cols, *(keep or []), *[F.col(n).cast("double").alias(n) for n in NUMBERS])
-    q = bucket_rare(q, cols)
+    q = bucket_rare(pinned(q), cols)  # read once for the shares and once for the rows
     values = categories if isinstance(categories, dict) else category_values(q, cols)
     return clean_names(one_hot(q, values).where(F.col("time_from_start") <= longest))

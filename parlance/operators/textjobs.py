@@ -145,10 +145,10 @@ def subtoken_map(df: DataFrame, key: str, pieces: str) -> DataFrame:
     return d.select(key, "tok", "x.word_no", "x.piece")
 
 
-def best_context(df: DataFrame, key: str, length: Column, n_query: Column, n_max: int, stride: int) -> DataFrame:
-    """(key, tok, span): the window that gives a token most context,
-    min(left, right) + 0.01 * window length, the first one on a tie.  Each token
-    looks only at the windows that hold it; nothing is shuffled."""
+def _token_windows(df: DataFrame, key: str, length: Column, n_query: Column, n_max: int, stride: int) -> DataFrame:
+    """(key, tok, best, low, high): the windows low..high hold a token; ``best`` gives it
+    most context, min(left, right) + 0.01 * window length, the first one on a tie.
+    Computed inside the row: nothing is shuffled."""
     room, step, n = span_count(length, n_query, n_max, stride)
     d = df.where(length > 0).select(key, length.alias("_len"), room.alias("_room"), step.alias("_step"), n.alias("_n"),
                                     F.explode(F.sequence(F.lit(0), length - 1)).alias("tok"))
@@ -161,7 +161,21 @@ def best_context(df: DataFrame, key: str, length: Column, n_query: Column, n_max
         left = F.col("tok") - start
         return F.struct((F.least(left, size - 1 - left) + F.lit(0.01) * size).alias("score"), (-i).alias("i"))
 
-    return d.select(key, "tok", (-F.array_max(F.transform(F.sequence(low, high), score))["i"]).alias("span"))
+    best = (-F.array_max(F.transform(F.sequence(low, high), score))["i"]).alias("best")
+    return d.select(key, "tok", best, low.alias("low"), high.alias("high"))
+
+
+def window_tokens(df: DataFrame, key: str, length: Column, n_query: Column, n_max: int, stride: int) -> DataFrame:
+    """(key, tok, span, is_max): every token in every window that holds it; ``is_max``
+    marks the window with most context."""
+    d = _token_windows(df, key, length, n_query, n_max, stride)
+    return d.select(key, "tok", "best", F.explode(F.sequence("low", "high")).alias("span")).select(
+        key, "tok", "span", (F.col("span") == F.col("best")).alias("is_max"))
+
+
+def best_context(df: DataFrame, key: str, length: Column, n_query: Column, n_max: int, stride: int) -> DataFrame:
+    """(key, tok, span): the window with most context of each token."""
+    return _token_windows(df, key, length, n_query, n_max, stride).select(key, "tok", F.col("best").alias("span"))
 
 
 def span_labels(spans: DataFrame, answers: DataFrame, key: str, n_query: str) -> DataFrame:
@@ -187,18 +201,23 @@ def best_spans(scores: DataFrame, docs: DataFrame, nulls: DataFrame, key: str, n
     """n best answers per question with softmax probability and the final choice.
 
     scores: (key, span, tok, start_logit, end_logit, is_max); docs: (key, words);
-    nulls: (key, null_score).  Starts and ends are cut to the n best per window
-    before they are combined, so at most n_best^2 pairs per window exist."""
-    by = [key, "span"]
-    starts = top_per_key(scores, by, [F.desc("start_logit"), F.col("tok")], n_best, "_r").where("is_max").select(
-        *by, F.col("tok").alias("s"), "start_logit")
-    ends = top_per_key(scores, by, [F.desc("end_logit"), F.col("tok")], n_best, "_r").select(
-        *by, F.col("tok").alias("e"), "end_logit")
-    ok = (F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") + 1 <= max_len)
-    pairs = starts.join(ends, by).where(ok).withColumn("score", F.col("start_logit") + F.col("end_logit"))
-    # a text of n tokens can repeat; far fewer than all pairs need their text
-    text = F.array_join(F.slice(F.col("words"), F.col("s") + 1, F.col("e") - F.col("s") + 1), " ")
-    texts = pairs.join(docs, key).select(key, "score", text.alias("text")).groupBy(key, "text").agg(F.max("score").alias("score"))
+    nulls: (key, null_score).  A window holds a bounded number of tokens, so its
+    scores fit one array; starts and ends are cut to the n best before they are
+    combined: at most n_best^2 pairs per window exist."""
+    start = F.struct((-F.col("start_logit")).alias("order"), "tok", "is_max")
+    end = F.struct((-F.col("end_logit")).alias("order"), "tok")
+    g = scores.groupBy(key, "span").agg(F.collect_list(start).alias("_s"), F.collect_list(end).alias("_e"))
+    g = g.select(key, F.filter(F.slice(F.array_sort("_s"), 1, n_best), lambda x: x["is_max"]).alias("_s"), F.slice(F.array_sort("_e"), 1, n_best).alias("_e"))
+
+    def combine(s: Column) -> Column:
+        ok = F.filter("_e", lambda e: (e["tok"] >= s["tok"]) & (e["tok"] - s["tok"] + 1 <= max_len))
+        return F.transform(ok, lambda e: F.struct(s["tok"].alias("s"), e["tok"].alias("e"), (-(s["order"] + e["order"])).alias("score")))
+
+    # a question's pairs meet its words once, so the words are not copied per pair
+    per = g.select(key, F.flatten(F.transform("_s", combine)).alias("_p")).groupBy(key).agg(F.flatten(F.collect_list("_p")).alias("_p"))
+    text = lambda p: F.array_join(F.slice(F.col("words"), p["s"] + 1, p["e"] - p["s"] + 1), " ")
+    texts = per.join(docs, key).select(key, F.explode(F.transform("_p", lambda p: F.struct(text(p).alias("text"), p["score"].alias("score")))).alias("t"))
+    texts = texts.groupBy(key, "t.text").agg(F.max("t.score").alias("score"))
     null_rows = nulls.select(key, F.lit("").alias("text"), F.col("null_score").alias("score"))
     ranked = top_per_key_or(texts.unionByName(null_rows), key, n_best)
     w = Window.partitionBy(key)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parlance.functions import expr as X
 from parlance.operators import catalogue as C
 from parlance.plans.registry import check_view, query
+from parlance.session import pinned
 
 check_view("ck_parent", """
 SELECT product_id, product_type, gender, age_group, subvertical, coalesce(a.dp, b.dp) AS parent_type FROM fx_products p
@@ -46,8 +47,9 @@ def parents(t, df):
 
 
 def rows(t):
-    return C.coded_rows(t.fx_products.join(C.products_with_codes(t.fx_product_codes), "product_id"),
-                        t.fx_product_types, t.fx_product_types_uk, C.code_tags(t.fx_code_synonyms))
+    """Written once: groups, pairs, counts and the data set all start from it."""
+    return pinned(C.coded_rows(t.fx_products.join(C.products_with_codes(t.fx_product_codes), "product_id"),
+                               t.fx_product_types, t.fx_product_types_uk, C.code_tags(t.fx_code_synonyms)))
 
 
 def pairs(r):

@@ -33,8 +33,8 @@ def _with_views(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS ({CHECK_VIEWS[n] if n in CHECK_VIEWS else view_sql(n)})" for n in need)
     body = sql.strip()
-    if re.match(r"(?i)with\b", body):
-        return f"WITH {ctes},\n{body[4:].strip()}"
+    if start := re.match(r"(?i)with(\s+recursive)?\b", body):
+        return f"{start[0]} {ctes},\n{body[start.end():].strip()}"
     return f"WITH {ctes}\n{body}"
 
 

@@ -95,9 +95,7 @@ def _(t):
                     F.md5(F.array_join("words", " ")).alias("words_key")).orderBy(F.desc("kept"), "doc_id")
 
 
-@query("x09_basic_tokens", r"""
-WITH b AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(text, '[\t\n\r]', ' ', 'g'))), '[\p{Cc}\p{Cf}]', '', 'g'), '([\p{P}$+<=>^`|~])', ' \1 ', 'g'), ' '), lambda w: w <> '') AS w FROM fx_texts)
-SELECT doc_id, md5(array_to_string(w, ' ')) AS tokens_key, len(w) AS n FROM b""")
+@query("x09_basic_tokens", "SELECT doc_id, md5(array_to_string(w, ' ')) AS tokens_key, len(w) AS n FROM ck_basic")
 def _(t):
     d = t.texts.select("doc_id", T.basic_tokens("text").alias("w"))
     return d.select("doc_id", F.md5(F.array_join("w", " ")).alias("tokens_key"), F.size("w").cast("long").alias("n"))
@@ -112,7 +110,21 @@ def vocab(t):
     return w.select(F.explode(pieces).alias("piece")).distinct()
 
 
-@query("x10_wordpiece")
+check_view("ck_basic", r"""
+SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(regexp_replace(text, '[\t\n\r]', ' ', 'g'))), '[\p{Cc}\p{Cf}]', '', 'g'), '([\p{P}$+<=>^`|~])', ' \1 ', 'g'), ' '), lambda w: w <> '') AS w FROM fx_texts""")
+check_view("ck_bench_basic", r"""
+SELECT DISTINCT w FROM (SELECT unnest(list_filter(string_split(regexp_replace(strip_accents(lower(regexp_replace(text, '[\t\n\r]', ' ', 'g'))), '([\p{P}$+<=>^`|~])', ' \1 ', 'g'), ' '), lambda w: w <> '')) AS w FROM benchmark)""")
+
+
+@query("x10_wordpiece", """
+WITH RECURSIVE v AS (SELECT w AS piece FROM ck_bench_basic UNION SELECT substr(w, 1, 2) FROM ck_bench_basic UNION SELECT concat('##', right(w, 2)) FROM ck_bench_basic
+ UNION SELECT concat(CASE WHEN i > 1 THEN '##' ELSE '' END, substr(w, i, 1)) FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM ck_bench_basic)),
+d AS (SELECT DISTINCT unnest(w) AS word FROM ck_basic),
+r AS (SELECT word, CAST(1 AS BIGINT) AS pos, '' AS pieces, CAST(0 AS BIGINT) AS n FROM d WHERE length(word) <= 200
+ UNION ALL SELECT word, pos + max(l), concat(any_value(pieces), CASE WHEN pos > 1 THEN ' ##' ELSE '' END, substr(word, pos, max(l))), any_value(n) + 1 FROM (
+  SELECT word, pos, pieces, n, l FROM (SELECT word, pos, pieces, n, unnest(range(1, length(word) - pos + 2)) AS l FROM r WHERE pos <= length(word)) c
+  JOIN v ON v.piece = concat(CASE WHEN pos > 1 THEN '##' ELSE '' END, substr(word, pos, l))) GROUP BY word, pos)
+SELECT d.word, coalesce(r.pieces, '[UNK]') AS pieces, CAST(coalesce(r.n, 1) AS INT) AS n FROM d LEFT JOIN r ON r.word = d.word AND r.pos = length(d.word) + 1""")
 def _(t):
     w = t.texts.select(F.explode(T.basic_tokens("text")).alias("word"))
     return J.wordpieces(w, vocab(t)).select("word", F.array_join("pieces", " ").alias("pieces"), F.size("pieces").alias("n"))
@@ -215,11 +227,9 @@ SELECT doc_id, CAST(rank AS INT) AS rank, text, round(score, 4) AS score, round(
 FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS mx FROM kp)""")
 def _(t):
     d = long_docs(t)
-    best = J.best_context(d, "doc_id", F.col("len"), F.col("q"), N_MAX, STRIDE).withColumnRenamed("span", "best_span")
-    toks = spans(t).select("doc_id", "span", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("tok"))
-    sc = toks.join(best, ["doc_id", "tok"]).select(
+    sc = J.window_tokens(d, "doc_id", F.col("len"), F.col("q"), N_MAX, STRIDE).select(
         "doc_id", "span", "tok", (((F.col("tok") * 37 + F.col("doc_id") * 11 + F.col("span")) % 101) / 10.0).alias("start_logit"),
-        (((F.col("tok") * 53 + F.col("doc_id") * 7 + F.col("span")) % 97) / 10.0).alias("end_logit"), (F.col("span") == F.col("best_span")).alias("is_max"))
+        (((F.col("tok") * 53 + F.col("doc_id") * 7 + F.col("span")) % 97) / 10.0).alias("end_logit"), "is_max")
     nulls = d.select("doc_id", (F.col("doc_id") % 13).cast("double").alias("null_score"))
     b = J.best_spans(sc, d.select("doc_id", F.col("ws").alias("words")), nulls, "doc_id", N_BEST, MAX_LEN)
     return b.select("doc_id", "rank", "text", F.round("score", 4).alias("score"), F.round("probability", 6).alias("probability"), "no_answer")
