@@ -193,6 +193,13 @@ def skipped_aspect(e) -> Column:
 
 # --- frames ---------------------------------------------------------------
 
+def bind(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that are computed once per row.  A plain projection may be merged
+    into the next one, and an expression used inside a lambda is then evaluated for
+    every element; the generator keeps the two apart."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def prefix_columns(df: DataFrame, prefix: str) -> DataFrame:
     return df.select([F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.expr import bind
 from parlance.functions.scan import ordered, position, top_per_key
 from parlance.functions.text import clean_text, span_count
 
@@ -165,12 +166,31 @@ def _token_windows(df: DataFrame, key: str, length: Column, n_query: Column, n_m
     return d.select(key, "tok", best, low.alias("low"), high.alias("high"))
 
 
-def window_tokens(df: DataFrame, key: str, length: Column, n_query: Column, n_max: int, stride: int) -> DataFrame:
-    """(key, tok, span, is_max): every token in every window that holds it; ``is_max``
-    marks the window with most context."""
-    d = _token_windows(df, key, length, n_query, n_max, stride)
-    return d.select(key, "tok", "best", F.explode(F.sequence("low", "high")).alias("span")).select(
-        key, "tok", "span", (F.col("span") == F.col("best")).alias("is_max"))
+def window_flags(df: DataFrame, key: str, length: Column, n_query: Column, n_max: int, stride: int) -> DataFrame:
+    """(key, span, start, is_max array): for each token of a window whether this window
+    gives it most context.  The context of a token rises and then falls over the
+    windows that hold it, so a window only compares itself with its neighbours."""
+    room, step, n = span_count(length, n_query, n_max, stride)
+    d = df.where(length > 0).select(key, length.alias("_len"), room.alias("_room"), step.alias("_step"), n.alias("_n"),
+                                    F.explode(F.sequence(F.lit(0), n - 1)).alias("span"))
+    start = F.col("span") * F.col("_step")
+    d = d.withColumns({"start": start, "_size": F.least(F.col("_room"), F.col("_len") - start)})
+
+    def context(tok: Column, start: Column, size: Column) -> Column:
+        left = tok - start
+        right = size - 1 - left
+        return F.when((left >= 0) & (right >= 0), F.least(left, right) + F.lit(0.01) * size).otherwise(-1.0)
+
+    back, ahead = F.col("start") - F.col("_step"), F.col("start") + F.col("_step")
+    ahead_size = F.least(F.col("_room"), F.col("_len") - ahead)
+
+    def best(tok: Column) -> Column:
+        own = context(tok, F.col("start"), F.col("_size"))
+        return ((F.col("span") == 0) | (own > context(tok, back, F.col("_room")))) & (
+            (F.col("span") == F.col("_n") - 1) | (own >= context(tok, ahead, ahead_size)))
+
+    tokens = F.sequence(F.col("start"), F.col("start") + F.col("_size") - 1)
+    return d.select(key, "span", "start", F.transform(tokens, best).alias("is_max"))
 
 
 def best_context(df: DataFrame, key: str, length: Column, n_query: Column, n_max: int, stride: int) -> DataFrame:
@@ -200,18 +220,21 @@ def best_spans(scores: DataFrame, docs: DataFrame, nulls: DataFrame, key: str, n
                threshold: float = 0.0) -> DataFrame:
     """n best answers per question with softmax probability and the final choice.
 
-    scores: (key, span, tok, start_logit, end_logit, is_max); docs: (key, words);
-    nulls: (key, null_score).  A window holds a bounded number of tokens, so its
-    scores fit one array; starts and ends are cut to the n best before they are
-    combined: at most n_best^2 pairs per window exist."""
-    start = F.struct((-F.col("start_logit")).alias("order"), "tok", "is_max")
-    end = F.struct((-F.col("end_logit")).alias("order"), "tok")
-    g = scores.groupBy(key, "span").agg(F.collect_list(start).alias("_s"), F.collect_list(end).alias("_e"))
-    g = g.select(key, F.filter(F.slice(F.array_sort("_s"), 1, n_best), lambda x: x["is_max"]).alias("_s"), F.slice(F.array_sort("_e"), 1, n_best).alias("_e"))
+    scores: one row per window as a model returns it: (key, start, start_logits,
+    end_logits, is_max), arrays over the window's tokens; docs: (key, words);
+    nulls: (key, null_score).  Starts and ends are cut to the n best before they are
+    combined, inside the row: at most n_best^2 pairs per window exist."""
+    def ranked(values: Column) -> Column:
+        return F.slice(F.array_sort(F.transform(values, lambda v, i: F.struct((-v).alias("order"), i.alias("at")))), 1, n_best)
+
+    # is_max and the cut lists are read inside lambdas, so they are bound first
+    g = bind(scores.select(key, "start", "start_logits", "end_logits", "is_max"), _st=ranked(F.col("start_logits")),
+             _e=ranked(F.col("end_logits")), _m=F.col("is_max"))
+    g = bind(g, _s=F.filter("_st", lambda x: F.get(F.col("_m"), x["at"]))).select(key, "start", "_s", "_e")
 
     def combine(s: Column) -> Column:
-        ok = F.filter("_e", lambda e: (e["tok"] >= s["tok"]) & (e["tok"] - s["tok"] + 1 <= max_len))
-        return F.transform(ok, lambda e: F.struct(s["tok"].alias("s"), e["tok"].alias("e"), (-(s["order"] + e["order"])).alias("score")))
+        ok = F.filter("_e", lambda e: (e["at"] >= s["at"]) & (e["at"] - s["at"] + 1 <= max_len))
+        return F.transform(ok, lambda e: F.struct((F.col("start") + s["at"]).alias("s"), (F.col("start") + e["at"]).alias("e"), (-(s["order"] + e["order"])).alias("score")))
 
     # a question's pairs meet its words once, so the words are not copied per pair
     per = g.select(key, F.flatten(F.transform("_s", combine)).alias("_p")).groupBy(key).agg(F.flatten(F.collect_list("_p")).alias("_p"))
@@ -219,12 +242,12 @@ def best_spans(scores: DataFrame, docs: DataFrame, nulls: DataFrame, key: str, n
     texts = per.join(docs, key).select(key, F.explode(F.transform("_p", lambda p: F.struct(text(p).alias("text"), p["score"].alias("score")))).alias("t"))
     texts = texts.groupBy(key, "t.text").agg(F.max("t.score").alias("score"))
     null_rows = nulls.select(key, F.lit("").alias("text"), F.col("null_score").alias("score"))
-    ranked = top_per_key_or(texts.unionByName(null_rows), key, n_best)
+    kept = top_per_key_or(texts.unionByName(null_rows), key, n_best)
     w = Window.partitionBy(key)
     best = F.max(F.when(F.col("text") != "", F.col("score"))).over(w)
     null_score = F.max(F.when(F.col("text") == "", F.col("score"))).over(w)
     # at most n_best + 1 rows per question from here on
-    d = ranked.withColumns({"_top": F.max("score").over(w), "_best": best, "_null": null_score})
+    d = kept.withColumns({"_top": F.max("score").over(w), "_best": best, "_null": null_score})
     d = d.withColumn("_e", F.exp(F.col("score") - F.col("_top"))).withColumn("probability", F.col("_e") / F.sum("_e").over(w))
     no_answer = F.col("_best").isNull() | (F.col("_null") - F.col("_best") > threshold)
     return d.withColumn("no_answer", no_answer).drop("_top", "_best", "_null", "_e")
@@ -286,7 +309,7 @@ def pair_instances(docs: DataFrame, key: str, n_max: int = 64, short_prob: float
     zero = F.struct(F.lit(0).alias("sum"), F.array(F.lit(0)).alias("all"))
     sums = F.aggregate("sentences", zero, lambda a, s: F.struct(
         (a["sum"] + F.size(s)).alias("sum"), F.array_append(a["all"], a["sum"] + F.size(s)).alias("all")), lambda a: a["all"])
-    d = docs.withColumn("_target", target).withColumn("_cum", sums).withColumn("_n", F.size("sentences"))
+    d = bind(docs, _target=target, _cum=sums, _n=F.size("sentences"))
     item = "array<struct<start:int,a_end:int,stop:int,random:boolean>>"
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(item).alias("out"))
 

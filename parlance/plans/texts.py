@@ -227,9 +227,9 @@ SELECT doc_id, CAST(rank AS INT) AS rank, text, round(score, 4) AS score, round(
 FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS mx FROM kp)""")
 def _(t):
     d = long_docs(t)
-    sc = J.window_tokens(d, "doc_id", F.col("len"), F.col("q"), N_MAX, STRIDE).select(
-        "doc_id", "span", "tok", (((F.col("tok") * 37 + F.col("doc_id") * 11 + F.col("span")) % 101) / 10.0).alias("start_logit"),
-        (((F.col("tok") * 53 + F.col("doc_id") * 7 + F.col("span")) % 97) / 10.0).alias("end_logit"), "is_max")
+    w = J.window_flags(d, "doc_id", F.col("len"), F.col("q"), N_MAX, STRIDE)
+    at = lambda a, b, m: F.transform("is_max", lambda _, i: (((F.col("start") + i) * a + F.col("doc_id") * b + F.col("span")) % m) / 10.0)
+    sc = w.select("doc_id", "start", "is_max", at(37, 11, 101).alias("start_logits"), at(53, 7, 97).alias("end_logits"))
     nulls = d.select("doc_id", (F.col("doc_id") % 13).cast("double").alias("null_score"))
     b = J.best_spans(sc, d.select("doc_id", F.col("ws").alias("words")), nulls, "doc_id", N_BEST, MAX_LEN)
     return b.select("doc_id", "rank", "text", F.round("score", 4).alias("score"), F.round("probability", 6).alias("probability"), "no_answer")
