@@ -14,6 +14,7 @@ table.  ``ordered`` therefore counts rows per key first:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -89,39 +90,53 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: list[str], how: str
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: never more than rows / hot_rows of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_scan_n")).where(F.col("_scan_n") > hot_rows).drop("_scan_n")
+    """Keys with more than ``hot_rows`` rows, and their counts: never more than
+    rows / hot_rows of them."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_scan_n")).where(F.col("_scan_n") > hot_rows)
 
 
 @dataclass(frozen=True)
 class Skew:
     """The hot keys of a table, found once and passed to several ``ordered`` calls
-    on the same keys."""
+    on the same keys; ``total`` counts their rows."""
     keys: DataFrame | None
     rows: int
+    total: int = 0
 
 
 def find_skew(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> Skew:
     limit = HOT_ROWS if hot_rows is None else hot_rows
     hot = hot_keys(df, keys, limit)
-    return Skew(None if hot.isEmpty() else hot, limit)
+    n = hot.agg(F.sum("_scan_n")).first()[0]
+    # at most rows / limit keys: written once, since several joins read them
+    return Skew(None if n is None else pinned(hot.drop("_scan_n")), limit, n or 0)
 
 
-def ordered(df: DataFrame, keys: list[str], order: list, features: dict[str, Feature],
+Steps = list["dict[str, Feature] | Callable[[DataFrame], DataFrame]"]
+
+
+def ordered(df: DataFrame, keys: list[str], order: list, features: dict[str, Feature] | Steps,
             hot_rows: int | None = None, skew: Skew | None = None) -> DataFrame:
-    """Add ordered features per key.  ``order`` must be unique within a key."""
+    """Add ordered features per key.  ``order`` must be unique within a key.
+
+    ``features`` may be a list of steps: feature dicts, and functions that derive
+    columns from the features so far without adding or dropping rows.  Hot rows are
+    then set apart and numbered once for all steps."""
     order = [_c(o) for o in order]
+    steps = features if isinstance(features, list) else [features]
     if not keys:
         df, keys = df.withColumn("_scan_all", F.lit(0)), ["_scan_all"]
-        return ordered(df, keys, order, features, hot_rows).drop("_scan_all")
+        return ordered(df, keys, order, steps, hot_rows).drop("_scan_all")
     skew = skew or find_skew(df, keys, hot_rows)
+    cold = df if skew.keys is None else null_safe_join(df, skew.keys, keys, "left_anti")
+    for s in steps:
+        cold = s(cold) if callable(s) else _plain(cold, keys, order, s)
     if skew.keys is None:
-        return _plain(df, keys, order, features)
-    hot, limit = skew.keys, skew.rows
-    cold_rows = null_safe_join(df, hot, keys, "left_anti")
-    hot_part = null_safe_join(df, hot, keys, "left_semi")
-    return _plain(cold_rows, keys, order, features).unionByName(
-        _blocked(hot_part, keys, order, features, limit))
+        return cold
+    hot = _positions(null_safe_join(df, skew.keys, keys, "left_semi"), keys, order, skew.rows, skew.total)
+    for s in steps:
+        hot = s(hot) if callable(s) else _blocked(hot, keys, s, skew.rows)
+    return cold.unionByName(hot.drop("_scan_pos"))
 
 
 def _plain(df, keys, order, features):
@@ -147,9 +162,9 @@ def _plain(df, keys, order, features):
     return df.withColumns(out)
 
 
-def _positions(df, keys, order, block_rows):
+def _positions(df, keys, order, block_rows, total_rows):
     """Exact 0-based position per key in ``_scan_pos``, without one task per key."""
-    parts = max(2, df.count() // max(block_rows, 1) + 1)
+    parts = max(2, 2 * total_rows // max(block_rows, 1) + 1, df.sparkSession.sparkContext.defaultParallelism)
     # the block of a row depends on sampled range bounds, so it is written down once
     ranged = pinned(df.repartitionByRange(int(min(parts, 20_000)), *[F.col(k) for k in keys], *order)
                     .withColumn("_scan_block", F.spark_partition_id()))
@@ -157,9 +172,9 @@ def _positions(df, keys, order, block_rows):
     w = Window.partitionBy(*keys).orderBy("_scan_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_scan_block", F.coalesce(F.sum("_scan_n").over(w), F.lit(0)).alias("_scan_off"))
     local = Window.partitionBy(*keys, "_scan_block").orderBy(*order)
-    return (null_safe_join(ranged, offsets, [*keys, "_scan_block"])
-            .withColumn("_scan_pos", F.col("_scan_off") + F.row_number().over(local) - 1)
-            .drop("_scan_off", "_scan_block"))
+    return pinned(null_safe_join(ranged, offsets, [*keys, "_scan_block"])
+                  .withColumn("_scan_pos", F.col("_scan_off") + F.row_number().over(local) - 1)
+                  .drop("_scan_off", "_scan_block"))
 
 
 def _merge(fn: str, carry: Column, local: Column) -> Column:
@@ -171,11 +186,12 @@ def _merge(fn: str, carry: Column, local: Column) -> Column:
     return (F.least if fn == "min" else F.greatest)(carry, local)
 
 
-def _blocked(df, keys, order, features, block_rows):
-    cols = df.columns
-    rows = _positions(df, keys, order, block_rows)
+def _blocked(rows, keys, features, block_rows):
+    """Features of positioned rows; ``_scan_pos`` stays for the next step."""
+    cols = rows.columns
     halo = max([f.n for f in features.values() if f.kind in ("lag", "lead")], default=0)
-    size = max(block_rows, halo + 1)
+    # blocks well below the limit, so that a few hot keys still use many tasks
+    size = max(block_rows // 8, halo + 1)
     rows = rows.withColumn("_scan_home", F.floor(F.col("_scan_pos") / size))
 
     # per-block summaries, one row per (key, block)

@@ -17,13 +17,13 @@ def sessionise(df: DataFrame, key: str, ts: Column | str, tiebreak: list[str], g
                hot_rows: int | None = None) -> DataFrame:
     """Adds ``gap`` (seconds to the previous event), ``is_start`` and ``session``."""
     df = df.withColumn("_ts", ts if isinstance(ts, Column) else F.col(ts))
-    skew = find_skew(df, [key], hot_rows)
-    order = ["_ts", *tiebreak]
-    df = ordered(df, [key], order, {"_prev": lag("_ts")}, skew=skew)
-    df = df.withColumn("gap", F.col("_ts") - F.col("_prev"))
-    start = F.when(F.col("gap").isNull() | (F.col("gap") > gap), 1).otherwise(0)
-    df = df.withColumn("is_start", start)
-    return ordered(df, [key], order, {"session": running("is_start")}, skew=skew).drop("_ts", "_prev")
+
+    def starts(d: DataFrame) -> DataFrame:
+        d = d.withColumn("gap", F.col("_ts") - F.col("_prev"))
+        return d.withColumn("is_start", F.when(F.col("gap").isNull() | (F.col("gap") > gap), 1).otherwise(0))
+
+    steps = [{"_prev": lag("_ts")}, starts, {"session": running("is_start")}]
+    return ordered(df, [key], ["_ts", *tiebreak], steps, hot_rows).drop("_ts", "_prev")
 
 
 USER, BOT = 0, 1
@@ -59,10 +59,16 @@ def conversation_features(jnd: DataFrame, hot_rows: int | None = None) -> DataFr
     """Answered flag, running counts and last known state of every turn.
 
     All features share one window per sender: one shuffle, one sort."""
-    key = ["sender_id"]
-    skew = find_skew(jnd, key, hot_rows)
     is_q = F.when(F.col("response_code").isNotNull(), 1).otherwise(0)
-    df = ordered(jnd, key, ORDER, {
+
+    def answers(df: DataFrame) -> DataFrame:
+        return (df.withColumn("is_answered", is_answered())
+                .withColumn("time_from_start", F.col("ts") - F.col("_first"))
+                .withColumn("num_quick_replies", F.coalesce(F.size("replies"), F.lit(0)))
+                .drop("_text1", "_text2", "_aspects_b", "_aspects_a", "_sub_b", "_sub_a", "_type_a", "_type_a2", "_first")
+                .withColumnRenamed("_type_b", "lag_type"))
+
+    return ordered(jnd, ["sender_id"], ORDER, [{
         "_text1": lead("text"), "_text2": lead("text", 2),
         "_aspects_b": lag("positive_aspects"), "_aspects_a": lead("positive_aspects"),
         "_sub_b": lag("subvertical"), "_sub_a": lead("subvertical"),
@@ -71,14 +77,7 @@ def conversation_features(jnd: DataFrame, hot_rows: int | None = None) -> DataFr
         "last_code": last_known_before("response_code"),
         "last_aspects": last_known("positive_aspects"), "last_subvertical": last_known("subvertical"),
         "last_product_type": last_known("product_type"),
-    }, skew=skew)
-    df = (df.withColumn("is_answered", is_answered())
-          .withColumn("time_from_start", F.col("ts") - F.col("_first"))
-          .withColumn("num_quick_replies", F.coalesce(F.size("replies"), F.lit(0)))
-          .drop("_text1", "_text2", "_aspects_b", "_aspects_a", "_sub_b", "_sub_a", "_type_a", "_type_a2", "_first")
-          .withColumnRenamed("_type_b", "lag_type"))
-    return ordered(df, key, ORDER, {"sum_answer": before("is_answered"),
-                                    "last_question": total("question_rank", "max")}, skew=skew)
+    }, answers, {"sum_answer": before("is_answered"), "last_question": total("question_rank", "max")}], hot_rows)
 
 
 def end_turns(df: DataFrame, key: str, order: list[str], hot_rows: int | None = None) -> DataFrame:
