@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}  # folder of each local application that names none
+
 
 def get_session(master: str | None = None, app: str = "parlance", **conf: str) -> SparkSession:
     """A session with UTC, ANSI mode and adaptive execution on."""
@@ -28,14 +31,23 @@ def get_session(master: str | None = None, app: str = "parlance", **conf: str) -
     return b.getOrCreate()
 
 
+def _local_folder(spark: SparkSession) -> str:
+    """One folder for a local application, removed when the process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder of ``spark.checkpoint.dir``, or below a
-    temporary one where the setting is missing in local mode (tests)."""
+    """A new folder below the shared folder that ``spark.checkpoint.dir`` names.  The
+    setting is required on a cluster; a local application without it gets one folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        base = _local_folder(spark)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
