@@ -56,4 +56,7 @@ def pinned(df: DataFrame) -> DataFrame:
     lineage, fixes values that depend on partitioning, and survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    # Spark drops the shuffle files of a finished job when the driver collects its garbage,
+    # which a small driver heap may not do for a long time
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
