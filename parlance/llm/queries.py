@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import byte_bpe, exact_dup, fingerprint, html_text, mixing, near_dup, token_counts, token_files, toxicity
+from parlance.llm import byte_bpe, exact_dup, fingerprint, html_text, mixing, near_dup, substring_dup, token_counts, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,6 +71,22 @@ def _op3(spark, path):
     return near_dup.near_duplicates(documents(spark, path))
 
 
+@query("op4_substring_dedup", r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM w, unnest(range(1, len(ws) - 11)) AS u(i)),
+r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM g) WHERE doc_id > least),
+c AS (
+  SELECT doc_id, list(DISTINCT i + j) AS cut FROM r, range(13) AS v(j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(cut), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN cut IS NULL THEN ws ELSE [x FOR x, i IN ws IF NOT list_contains(cut, i)] END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN c USING (doc_id)""")
+def _op4(spark, path):
+    return substring_dup.kept_digests(documents(spark, path), k=13)
+
+
 @query("op5_toxicity")
 def _op5(spark, path):
     return toxicity.toxicity(documents(spark, path), table(spark, path, "labels"), threshold=0.7)
