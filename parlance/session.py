@@ -59,4 +59,13 @@ def pinned(df: DataFrame) -> DataFrame:
     # Spark drops the shuffle files of a finished job when the driver collects its garbage,
     # which a small driver heap may not do for a long time
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pinned_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the folder of a ``pinned`` table that no later step reads."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._pinned_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
