@@ -19,21 +19,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.rows import text_key
 from parlance.llm.text_hash import windows, word_hashes
-from parlance.session import pinned
+from parlance.session import pinned, release
 
 SHORT = 5  # words of an anchor
 
 
-def normal_words(text: Column) -> Column:
-    """The words joined by one space."""
-    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
-
-
 def _hashes(column: pa.Array):
     texts = [t.as_py() for t in column.cast(pa.binary())]
     for first, last, counts, h in word_hashes(texts):
@@ -42,25 +37,46 @@ def _hashes(column: pa.Array):
             yield first + i, h[at[i]: at[i + 1]]
 
 
+def _marks(batches):
+    """Number and hash of the words of each text."""
+    for b in batches:
+        n, sha = [], []
+        for t in b.column("text").cast(pa.binary()):
+            words = (t.as_py() or b"").split()  # splits at the six white-space bytes only
+            line = b" ".join(words)
+            n.append(len(words))
+            sha.append(hashlib.sha256(line).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "text_key", "n_words", "sha"])
+
+
 def _anchor_runs(k: int):
-    """(anchor, class, first window, number of windows) of maximal runs with one anchor."""
+    """(anchor, class, first window, number of windows) of maximal runs with one anchor;
+    copies of a text of the same batch are left out."""
+    short = min(SHORT, k)
+
     def run(batches):
         for b in batches:
-            classes, seen = b.column("c").to_pylist(), set()
-            for at in range(0, b.num_rows, 500):
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for i, h in _hashes(b.column("words").slice(at, 500)):
-                    c, n = classes[at + i], len(h) - k + 1
-                    if n < 1 or c in seen:  # a copy of a text of this batch
-                        continue
-                    seen.add(c)
-                    short = windows(h, min(SHORT, k))
-                    least = np.minimum.reduce([short[j: n + j] for j in range(len(short) - n + 1)])
-                    start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-                    for o, v in zip(out, (least[start].view(np.int64), np.full(len(start), c, np.int64), start, np.diff(np.append(start, n)))):
-                        o.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["v", "c", "s", "n"])
+            classes = b.column("c").to_pylist()
+            fresh = list({c: i for i, c in enumerate(classes)}.values())
+            texts = [t.as_py() or b"" for t in b.column("text").cast(pa.binary()).take(pa.array(fresh, pa.int64()))]
+            for first, last, counts, h in word_hashes(texts):
+                n = len(h) - k + 1
+                if n < 1:
+                    continue
+                owner = np.repeat(np.arange(last - first), counts)
+                start = np.concatenate(([0], np.cumsum(counts)))[owner[:n]]
+                inside = owner[:n] == owner[k - 1:]
+                s = windows(h, short)
+                least = np.minimum.reduce([s[j: n + j] for j in range(k - short + 1)])
+                edge = np.flatnonzero(inside & np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:n] != owner[:n - 1]) | ~inside[:-1])))
+                if not len(edge):
+                    continue
+                # a run ends where the next begins or the windows of its text end
+                stop = (np.cumsum(counts) - k + 1)[owner[edge]]
+                size = np.minimum(np.append(edge[1:], n), stop) - edge
+                c = np.array([classes[fresh[first + j]] for j in range(last - first)], np.int64)[owner[edge]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((least[edge].view(np.int64), pa.int64()), (c, pa.int64()), (edge - start[edge], pa.int32()), (size, pa.int32()))],
+                                                 names=["v", "c", "s", "n"])
     return run
 
 
@@ -91,7 +107,7 @@ def _slice_digest(words: list[bytes], start: int, n: int) -> bytes:
 def _source_digests(batches):
     for b in batches:
         for i in range(b.num_rows):
-            words = b.column("words")[i].as_py().encode().split(b" ")
+            words = b.column("words")[i].as_py().encode().split()
             asked = b.column("asked")[i].as_py()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b.column("row")[i].as_py()] * len(asked), pa.int64()), pa.array([a["s"] for a in asked], pa.int32()), pa.array([a["n"] for a in asked], pa.int32()),
@@ -103,7 +119,7 @@ def _checked(batches):
     for b in batches:
         good, bad = [], []
         for i in range(b.num_rows):
-            words = b.column("words")[i].as_py().encode().split(b" ")
+            words = b.column("words")[i].as_py().encode().split()
             ok, no = [], []
             for x in b.column("spans")[i].as_py():
                 (ok if x["digest"] is not None and _slice_digest(words, x["start"], x["n"]) == x["digest"] else no).append({"start": x["start"], "n": x["n"]})
@@ -117,13 +133,13 @@ def _window_digests(k: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                words, pos = b.column("words")[i].as_py().encode().split(b" "), b.column("at")[i].as_py()
+                words, pos = b.column("words")[i].as_py().encode().split(), b.column("at")[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("row")[i].as_py()] * len(pos), pa.int64()), pa.array(pos, pa.int32()),
                                                   pa.array([_slice_digest(words, p, k) for p in pos], pa.binary())], names=["row", "pos", "digest"])
     return run
 
 
-def kept_words(words: list[str], spans: list[dict]) -> list[str]:
+def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
     """Words outside all spans (``start``, ``n``)."""
     off = np.zeros(len(words) + 1, np.int64)
     for x in spans:
@@ -132,21 +148,23 @@ def kept_words(words: list[str], spans: list[dict]) -> list[str]:
     return [w for w, o in zip(words, np.cumsum(off[:-1])) if not o]
 
 
-def _find(docs: DataFrame, k: int, id_col: str, text_col: str, hash_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Marks of all rows, and spans (``doc, c, spans``) of the rows that stand for a class."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), normal_words(F.col(text_col)).alias("words")).withColumn("c", F.xxhash64("words"))
-    n_words = F.when(F.col("words") == "", F.lit(0)).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
-    marks = pinned(rows.select("doc_id", "text_key", "c", n_words.cast("long").alias("n_words"), F.sha2("words", 256).alias("sha")))
-    owners = marks.groupBy("sha").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("copies"))
-    marks = pinned(marks.join(owners, "sha"))
+def _find(docs: DataFrame, k: int, id_col: str, text_col: str, hash_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Marks of all rows, spans (``row, doc, sha, spans``) of the texts that stand for a class
+    and lose words, and the texts that were searched."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    first = pinned(rows.mapInArrow(_marks, f"doc_id {kind}, text_key long, n_words long, sha string"))
+    owners = first.groupBy("sha").agg(F.min("doc_id").alias("owner"))
+    marks = pinned(first.join(owners, "sha"))
 
     # windows that can repeat
-    runs = rows.select("c", "words").mapInArrow(_anchor_runs(k), "v long, c long, s int, n int")
+    runs = pinned(rows.select(F.col("text_key").alias("c"), "text").mapInArrow(_anchor_runs(k), "v long, c long, s int, n int"))
     again = pinned(runs.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v"))
     some = pinned(runs.join(again, "v").groupBy("c").agg(F.collect_set(F.struct("s", "n")).alias("runs")))
-    heads = marks.where("doc_id = owner").groupBy("doc_id", "c").agg(F.count(F.lit(1)).alias("times"))
+    release(runs)
+    heads = marks.where("doc_id = owner").groupBy("doc_id", "sha").agg(F.min("text_key").alias("c"), F.count(F.lit(1)).alias("times"))
     pick = pinned(some.join(heads, "c").select(F.col("c").alias("_c"), F.col("doc_id").alias("doc"), "runs", "times"))
-    texts = rows.join(pick, (F.col("c") == F.col("_c")) & (F.col("doc_id") == F.col("doc"))).select("doc", "c", "words", "runs")
+    texts = rows.join(pick, (F.col("text_key") == F.col("_c")) & (F.col("doc_id") == F.col("doc"))).select("doc", F.col("text_key").alias("c"), F.col("text").alias("words"), "runs")
     if not pick.where("times > 1").isEmpty():
         texts = texts.dropDuplicates(["doc", "c"])
     texts = pinned(texts.withColumn("row", F.monotonically_increasing_id()))
@@ -186,12 +204,14 @@ def _find(docs: DataFrame, k: int, id_col: str, text_col: str, hash_bits: int) -
         more = exact.join(left, ["row", "pos"]).join(least, "digest").where("doc > least").select("row", F.col("pos").alias("start"), F.lit(k).alias("n"))
         spans = spans.unionByName(more)
     found = spans.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return marks, pinned(found.join(texts.select("row", "doc", "c"), "row").select("doc", "c", "spans"))
+    which = marks.select(F.col("doc_id").alias("doc"), F.col("text_key").alias("c"), "sha").distinct()
+    spans = found.join(texts.select("row", "doc", "c"), "row").join(which, ["doc", "c"])
+    return marks, pinned(spans.select("row", "doc", "sha", "spans")), texts
 
 
 def _with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
-    own = found.withColumnRenamed("c", "_c")
-    return rows.join(own, (F.col("doc_id") == F.col("doc")) & (F.col("c") == F.col("_c")) & (F.col("doc_id") == F.col("owner")), "left").drop("doc", "_c")
+    own = found.withColumnRenamed("sha", "_sha")
+    return rows.join(own, (F.col("doc_id") == F.col("doc")) & (F.col("sha") == F.col("_sha")), "left").drop("doc", "_sha")
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
@@ -204,41 +224,44 @@ def repeated_spans(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_co
     is neither source nor repeat.  An empty table gives no rows, other columns are not
     read.  ``hash_bits`` shortens the window hash (tests); windows whose hash misleads are
     compared by content."""
-    marks, found = _find(docs, k, id_col, text_col, hash_bits)
+    marks, found, _ = _find(docs, k, id_col, text_col, hash_bits)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("n")))
     copy = (F.col("doc_id") > F.col("owner")) & (F.col("n_words") >= k)
     none = F.array().cast("array<struct<start:int,n:int>>")
-    return _with_spans(marks, found).select("doc_id", "text_key", "n_words", F.coalesce(F.when(copy, whole), "spans", none).alias("spans"))
+    return _with_spans(marks, found.drop("row")).select("doc_id", "text_key", "n_words", F.coalesce(F.when(copy, whole), "spans", none).alias("spans"))
 
 
-def _strip(batches):
-    for b in batches:
-        kept, removed = [], []
-        for t, s in zip(b.column("words"), b.column("spans").to_pylist()):
-            words = t.as_py().split(" ")
-            left = kept_words(words, s)
-            kept.append(" ".join(left))
-            removed.append(len(words) - len(left))
-        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("c"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc", "c", "n_removed", "kept"])
+def _strip(keys: list[str]):
+    """Words left of each text, with the named columns beside them."""
+    def run(batches):
+        for b in batches:
+            kept, removed = [], []
+            for t, s in zip(b.column("words").cast(pa.binary()), b.column("spans").to_pylist()):
+                words = (t.as_py() or b"").split()
+                left = kept_words(words, s)
+                kept.append(b" ".join(left).decode())
+                removed.append(len(words) - len(left))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*keys, "n_removed", "kept"])
+    return run
 
 
 def remove_repeats(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: what is left of each text, its words joined by
     one space.  Edge cases as in ``repeated_spans``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), normal_words(F.col(text_col)).alias("words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("words"))
     marks = repeated_spans(docs, k, id_col, text_col).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}).dropDuplicates(["_id", "_key"])
     out = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    strip = out.select(F.col("doc_id").alias("doc"), F.col("n_words").alias("c"), "words", "spans").mapInArrow(_strip, f"doc {docs.schema[id_col].dataType.simpleString()}, c long, n_removed long, kept string")
-    return strip.select(F.col("doc").alias("doc_id"), F.col("c").alias("n_words"), F.when(F.col("c") > 0, F.col("n_removed")).otherwise(F.lit(0).cast("long")).alias("n_removed"), "kept")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return out.select("doc_id", "n_words", "words", "spans").mapInArrow(_strip(["doc_id", "n_words"]), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def kept_digests(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``: as ``remove_repeats``, with the SHA-256 of
     what is left; only texts that lose a part are read again."""
-    marks, found = _find(docs, k, id_col, text_col, hash_bits)
-    rows = docs.select(F.col(id_col).alias("doc_id"), normal_words(F.col(text_col)).alias("words")).withColumn("_c", F.xxhash64("words"))
-    cut = rows.join(found, (F.col("doc_id") == F.col("doc")) & (F.col("_c") == F.col("c"))).select("doc", "c", "words", "spans")
-    cut = pinned(cut.mapInArrow(_strip, "doc long, c long, n_removed long, kept string").select("doc", "c", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["doc", "c"]))
+    marks, found, texts = _find(docs, k, id_col, text_col, hash_bits)
+    cut = texts.select("row", "words").join(found, "row").select("doc", "sha", "words", "spans")
+    cut = cut.mapInArrow(_strip(["doc", "sha"]), "doc long, sha string, n_removed long, kept string")
+    cut = pinned(cut.select("doc", "sha", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
     copy = (F.col("doc_id") > F.col("owner")) & (F.col("n_words") >= k)
     return _with_spans(marks, cut).select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
