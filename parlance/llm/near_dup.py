@@ -8,9 +8,9 @@ similarity 0.75 misses all 48 bands of 4 rows with probability 1.2e-8.
 
 Buckets are never multiplied out.  In every bucket the members are first compared with
 the bucket's least node, which joins groups of near copies.  Where a bucket still holds
-several components, a small one is compared pair by pair across components, and a large
-one is cut by a second and third band (a similar pair shares about fifteen); what is
-still large then is compared with one further leader per round until none is left.
+several components, a small one is compared pair by pair across components.  In a large
+one, the members outside the leader's component are held against all others block by
+block: a task sees two blocks of signatures and lets out only the pairs that agree.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from parlance.session import pinned
 
 ROWS, BANDS = 4, 48
 HASHES = ROWS * BANDS
+BLOCK = 512  # members of a block of a large bucket
+SLACK = 0.12  # a linked pair's signatures fall short by so much once in ten thousand
 _SEEDS = np.random.PCG64(31_337).random_raw(2 * HASHES).astype(np.uint64)
 _A, _B = (_SEEDS[:HASHES] | np.uint64(1))[:, None], _SEEDS[HASHES:][:, None]
 
@@ -104,6 +106,24 @@ def _linked(percent: int):
     return run
 
 
+def _across(least: float):
+    """Pairs of two components in a group of two blocks whose signatures agree."""
+    def run(t: pa.Table) -> pa.Table:
+        node, label, side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
+        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        one = bool(t.column("kind")[0].as_py()) and t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        left = np.arange(len(node)) if one else np.flatnonzero(side == 0)
+        right = left if one else np.flatnonzero(side == 1)
+        for i in left:
+            with_i = right[(label[right] != label[i]) & ((node[right] > node[i]) if one else True)]
+            hit = with_i[(sign[with_i] == sign[i]).sum(axis=1) >= least * HASHES]
+            a.append(np.minimum(node[hit], node[i]))
+            b.append(np.maximum(node[hit], node[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+    return run
+
+
 class _Search:
     def __init__(self, rows: DataFrame, words: int, percent: int, small: int):
         self.small, self.percent = small, percent
@@ -125,9 +145,10 @@ class _Search:
             pairs = pairs.join(table.select(F.col("node").alias(end), F.col(value).alias(name)), end)
         return pairs
 
-    def link(self, pairs: DataFrame) -> None:
-        """Compare pairs (``a``, ``b``) and join the components of those linked."""
-        near = self._with(pairs, self.classes, "signature", ("sa", "sb")).mapInArrow(_alike(self.percent / 100 - 0.15), "a long, b long")
+    def link(self, pairs: DataFrame, signed: bool = False) -> None:
+        """Compare pairs (``a``, ``b``) and join the components of those linked; ``signed``
+        pairs have had their signatures compared."""
+        near = pairs if signed else self._with(pairs, self.classes, "signature", ("sa", "sb")).mapInArrow(_alike(self.percent / 100 - SLACK), "a long, b long")
         found = self._with(pinned(near), self.sets, "items", ("xa", "xb")).mapInArrow(_linked(self.percent), "a long, b long")
         if self.labels is None:
             self.labels = pinned(components(found))
@@ -156,26 +177,37 @@ class _Search:
         lead = members.where("node = lead").select("key", F.col("label").alias("_l"))
         self.link(members.join(lead, "key").where("node <> lead AND label <> _l").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
 
+    def compare_blocks(self, members: DataFrame) -> None:
+        """Large buckets: members outside the leader's component against all others, block by
+        block.  Signatures are compared inside a task; only pairs that agree leave it."""
+        lead = members.where("node = lead").select("key", F.col("label").alias("_l"))
+        m = members.join(lead, "key").withColumn("rest", (F.col("label") != F.col("_l")).cast("int"))
+        sizes = m.groupBy("key").agg(F.ceil(F.sum("rest") / BLOCK).cast("int").alias("nr"), F.ceil(F.sum(1 - F.col("rest")) / BLOCK).cast("int").alias("nc")).where("nr > 0")
+        m = m.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("rest") == 1, F.col("nr")).otherwise(F.col("nc"))).cast("int"))
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        core = m.where("rest = 0").withColumn("other", F.explode(every("nr"))).select("key", F.lit(0).alias("kind"), F.col("block").alias("x"), F.col("other").alias("y"), "node", "label", F.lit(0).alias("side"))
+        rest = m.where("rest = 1")
+        to_core = rest.withColumn("other", F.explode(every("nc"))).select("key", F.lit(0).alias("kind"), F.col("other").alias("x"), F.col("block").alias("y"), "node", "label", F.lit(1).alias("side"))
+        to_rest = rest.withColumn("other", F.explode(every("nr"))).select("key", F.lit(1).alias("kind"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "label",
+                                                                        (F.col("block") > F.col("other")).cast("int").alias("side"))
+        rows = core.union(to_core).union(to_rest).join(self.classes.select("node", "signature"), "node")
+        pairs = rows.groupBy("key", "kind", "x", "y").applyInArrow(_across(self.percent / 100 - SLACK), "a long, b long")
+        self.link(pairs.distinct(), signed=True)
+
     def run(self) -> None:
         # one comparison per node, with the leader it shares most bands with
         star = self.members.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
         best = star.groupBy("node").agg(F.max(F.struct("n", (-F.col("lead")).alias("l"))).alias("s"))
         self.link(best.select((-F.col("s.l")).alias("a"), F.col("node").alias("b")))
-        members, depth = self.labelled(self.members.drop("lead")), 1
-        while not members.isEmpty():
-            self.compare_small(members)
-            large = members.where(F.col("n") > self.small)
-            if large.isEmpty():
-                return
-            self.compare_lead(large)
-            if depth < 3:  # the next band of each member cuts the bucket
-                bands = self.classes.select("node", F.posexplode("bands").alias("_j", "_k"))
-                cut = self.labelled(large.select("key", "band", "node")).join(bands, "node").where("_j > band")
-                cut = cut.select(F.xxhash64("key", "_k").alias("key"), F.col("_j").alias("band"), "node")
-                depth += 1
-                members = self.labelled(cut)
-            else:
-                members = self.labelled(large.where("node <> lead").select("key", "band", "node"))
+        members = self.labelled(self.members.drop("lead"))
+        if members.isEmpty():
+            return
+        self.compare_lead(members)
+        members = self.labelled(self.members.drop("lead"))
+        self.compare_small(members)
+        members = self.labelled(self.members.drop("lead")).where(F.col("n") > self.small)
+        if not members.isEmpty():
+            self.compare_blocks(members)
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, small: int) -> DataFrame:
