@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from parlance.llm.units import Units, groups
 from parlance.session import pinned, scratch
 
-PIECE = 8192  # bytes of a training piece
+PIECE = 2048  # characters, then bytes, of a training piece
 SAMPLE, DICTIONARY = 2000, 64 << 10  # training pieces and bytes of the dictionary: both bounded
 SHARD = 8 << 20  # bytes of frames after which a shard ends
 LEVEL = 3
@@ -67,8 +67,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
     """A dictionary from at most SAMPLE texts of at most PIECE characters each, those of the
     least hash: a bounded sample spread over the whole corpus.  It decides the size of the
     files only, never their content.  Too little text gives the empty dictionary."""
-    part = F.substring("text", 1, PIECE)
-    sample = docs.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), part.alias("t")).orderBy("h", "t").limit(SAMPLE)
+    part, h = F.substring("text", 1, PIECE), F.xxhash64("doc_id", "text")
+    some = docs.where(F.length("text") > 0).where(F.pmod(h, F.lit(max(1, docs.count()))) < 2 * SAMPLE)  # about 2 x SAMPLE rows, however many there are
+    sample = some.select(h.alias("h"), part.alias("t")).orderBy("h", "t").limit(SAMPLE)
     ids = _ids(tokenizer_path).encode([r.t for r in sample.collect()], np.array([end_id], "<u4").tobytes())
     pieces = [x[:PIECE] for x in ids]
     if len(pieces) < 50:
@@ -155,15 +156,15 @@ def _open(frames: DataFrame, kind: str, dictionary: bytes, digest: bool) -> Data
                     raise ValueError("a shard was written with another dictionary")
                 data, offsets = b.column("frames")[i].as_buffer(), b.column("offsets")[i].as_py()
                 view = memoryview(data)
-                out, n = [], []
-                for j, k in enumerate(b.column("pick")[i].as_py()):
+                out, n, picked, before = [], [], b.column("pick")[i].as_py(), b.column("before")[i].as_py()
+                for k in picked:
                     ids = unpack.decompress(view[offsets[k] : offsets[k + 1]])
                     n.append(len(ids) // 4)
                     out.append(zlib.crc32(ids) if digest else ids)
-                pick = pa.array(b.column("pick")[i].as_py(), pa.int64())
+                pick = pa.array(picked, pa.int64())
                 start = b.column("base")[i].as_py() or 0
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_ids")[i].values.take(pick), pa.array([start + b.column("before")[i].as_py()[k] for k in pick.to_pylist()], pa.int64()),
+                    [b.column("doc_ids")[i].values.take(pick), pa.array([start + before[k] for k in picked], pa.int64()),
                      pa.array(n, pa.int64()), pa.array(out, pa.int64() if digest else pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
     return frames.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
