@@ -166,7 +166,7 @@ def _positions(df, keys, order, block_rows, total_rows):
     """Exact 0-based position per key in ``_scan_pos``, without one task per key."""
     parts = max(2, 2 * total_rows // max(block_rows, 1) + 1, df.sparkSession.sparkContext.defaultParallelism)
     # the block of a row depends on sampled range bounds, so it is written down once
-    ranged = pinned(df.repartitionByRange(int(min(parts, 20_000)), *[F.col(k) for k in keys], *order)
+    ranged = pinned(df.repartitionByRange(int(parts), *[F.col(k) for k in keys], *order)
                     .withColumn("_scan_block", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "_scan_block").agg(F.count(F.lit(1)).alias("_scan_n"))
     w = Window.partitionBy(*keys).orderBy("_scan_block").rowsBetween(Window.unboundedPreceding, -1)
