@@ -8,9 +8,9 @@ similarity 0.75 misses all 48 bands of 4 rows with probability 1.2e-8.
 
 Buckets are never multiplied out.  In every bucket the members are first compared with
 the bucket's least node, which joins groups of near copies.  Where a bucket still holds
-several components, a small one is compared pair by pair across components.  In a large
-one, the members outside the leader's component are held against all others block by
-block: a task sees two blocks of signatures and lets out only the pairs that agree.
+several components, the members outside the leader's component are held against all
+others block by block: a task sees two blocks of signatures and lets out only the pairs
+that agree.  Components are joined as graphs of labels, so nodes are relabelled once.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from parlance.session import pinned
 
 ROWS, BANDS = 4, 48
 HASHES = ROWS * BANDS
-BLOCK = 512  # members of a block of a large bucket
+BLOCK = 512  # members of a block of a bucket
 SLACK = 0.12  # a linked pair's signatures fall short by so much once in ten thousand
 _SEEDS = np.random.PCG64(31_337).random_raw(2 * HASHES).astype(np.uint64)
 _A, _B = (_SEEDS[:HASHES] | np.uint64(1))[:, None], _SEEDS[HASHES:][:, None]
@@ -75,26 +75,31 @@ def _marks(words: int):
 
 
 def _sets(words: int):
+    """The shingle set of each node, from the row whose text has the node's digest."""
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                part = [(s.astype(np.int64), _digest(s)) for _, s in _shingle_sets(b.column("text").slice(at, 500), words)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for _, d in part], pa.binary()), pa.array([s for s, _ in part], pa.list_(pa.int64()))], names=["digest", "items"])
+                part = [(n, s.astype(np.int64)) for n, d, (_, s) in zip(b.column("node")[at: at + 500].to_pylist(), b.column("digest")[at: at + 500].to_pylist(), _shingle_sets(b.column("text").slice(at, 500), words))
+                        if _digest(s) == d]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int64()), pa.array([s for _, s in part], pa.list_(pa.int64()))], names=["node", "items"])
     return run
 
 
+_PAIR, _PAIR_TYPE = ["a", "b", "la", "lb"], "a long, b long, la long, lb long"
+
+
 def _alike(least: float):
     """Pairs whose signatures agree in a share of at least ``least``."""
     def run(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), np.uint8).reshape(-1, HASHES) for c in ("sa", "sb"))
             ok = pa.array((x == y).mean(axis=1) >= least)
-            yield b.select(["a", "b"]).filter(ok)
+            yield b.select(_PAIR).filter(ok)
     return run
 
 
 def _linked(percent: int):
-    """Pairs with 100 |A and B| >= percent |A or B|, counted on whole sets."""
+    """Labels of pairs with 100 |A and B| >= percent |A or B|, counted on whole sets."""
     def run(batches):
         for b in batches:
             ok, x, y = [], b.column("xa"), b.column("xb")
@@ -102,119 +107,125 @@ def _linked(percent: int):
                 p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
                 both = len(p) + len(q) - len(np.union1d(p, q))
                 ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["la", "lb"]).rename_columns(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
+def _group_pairs(node, label, side, sign, one: bool, least: float):
+    """Places (i, j) in a group of two blocks whose components differ and signatures agree."""
+    left = np.arange(len(node)) if one else np.flatnonzero(side == 0)
+    right = left if one else np.flatnonzero(side == 1)
+    for i in left:
+        with_i = right[(label[right] != label[i]) & ((node[right] > node[i]) if one else True)]
+        for j in with_i[(sign[with_i] == sign[i]).sum(axis=1) >= least * HASHES]:
+            yield (i, j) if node[i] < node[j] else (j, i)
+
+
 def _across(least: float):
-    """Pairs of two components in a group of two blocks whose signatures agree."""
-    def run(t: pa.Table) -> pa.Table:
-        node, label, side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
+    """Pairs across components in every group (``key, kind, x, y``) of rows that come sorted
+    by group; only the group at the end of a batch is carried on."""
+    def pairs(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        node, label, side, kind, x, y = (t.column(c).to_numpy() for c in ("node", "label", "side", "kind", "x", "y"))
         sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        one = bool(t.column("kind")[0].as_py()) and t.column("x")[0].as_py() == t.column("y")[0].as_py()
-        left = np.arange(len(node)) if one else np.flatnonzero(side == 0)
-        right = left if one else np.flatnonzero(side == 1)
-        for i in left:
-            with_i = right[(label[right] != label[i]) & ((node[right] > node[i]) if one else True)]
-            hit = with_i[(sign[with_i] == sign[i]).sum(axis=1) >= least * HASHES]
-            a.append(np.minimum(node[hit], node[i]))
-            b.append(np.maximum(node[hit], node[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        found = [(lo + i, lo + j) for lo, hi in zip(cuts[:-1], cuts[1:])
+                 for i, j in _group_pairs(node[lo:hi], label[lo:hi], side[lo:hi], sign[lo:hi], bool(kind[lo]) and x[lo] == y[lo], least)]
+        i, j = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (node[i], node[j], label[i], label[j])], names=_PAIR)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            of = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "kind", "x", "y")])
+            cuts = np.concatenate(([0], np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1))
+            if len(cuts) > 1:
+                yield pairs(t.slice(0, cuts[-1]), cuts)
+            held = t.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield pairs(held, np.array([0, held.num_rows]))
     return run
 
 
 class _Search:
-    def __init__(self, rows: DataFrame, words: int, percent: int, small: int):
-        self.small, self.percent = small, percent
+    def __init__(self, rows: DataFrame, words: int, percent: int, block: int):
+        self.percent, self.block = percent, block
         self.marks = pinned(rows.mapInArrow(_marks(words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, n_shingles long, digest binary, bands array<long>, signature binary"))
         self.classes = pinned(self.marks.where("n_shingles > 0").groupBy("digest")
                               .agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
                               .withColumn("node", F.monotonically_increasing_id()))
-        self.labels = None
-        buckets = self.classes.select("node", F.posexplode("bands").alias("band", "key"))
-        met = pinned(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1"))
-        self.members = pinned(buckets.join(met, "key").select("key", "band", "node", "lead"))
-        some = self.members.select("node").distinct().join(self.classes, "node").select("node", "digest", "least")
-        texts = rows.join(some.select(F.col("least").alias("_least")).distinct(), F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-        items = texts.select("text").mapInArrow(_sets(words), "digest binary, items array<long>")
-        self.sets = pinned(items.join(some, "digest").dropDuplicates(["node"]).select("node", "items"))
+        self.steps: list[DataFrame] = []  # labels that each step gave to the labels before it
+        buckets = self.classes.select("node", F.explode("bands").alias("key"))
+        met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
+        self.members = pinned(buckets.join(met, "key").select("key", "node", "lead"))
+        some = self.classes.join(self.members.select("node"), "node", "left_semi").select("node", "digest", F.col("least").alias("_least"))
+        texts = rows.join(some, F.col("doc_id").eqNullSafe(F.col("_least"))).select("node", "digest", "text")
+        self.sets = pinned(texts.mapInArrow(_sets(words), "node long, items array<long>").dropDuplicates(["node"]))
 
     def _with(self, pairs: DataFrame, table: DataFrame, value: str, names: tuple[str, str]) -> DataFrame:
         for end, name in zip("ab", names):
             pairs = pairs.join(table.select(F.col("node").alias(end), F.col(value).alias(name)), end)
         return pairs
 
-    def link(self, pairs: DataFrame, signed: bool = False) -> None:
-        """Compare pairs (``a``, ``b``) and join the components of those linked; ``signed``
-        pairs have had their signatures compared."""
-        near = pairs if signed else self._with(pairs, self.classes, "signature", ("sa", "sb")).mapInArrow(_alike(self.percent / 100 - SLACK), "a long, b long")
-        found = self._with(pinned(near), self.sets, "items", ("xa", "xb")).mapInArrow(_linked(self.percent), "a long, b long")
-        if self.labels is None:
-            self.labels = pinned(components(found))
-            return
-        edges = found
-        for end in "ab":
-            label = self.labels.select(F.col("node").alias(end), F.col("root").alias("_r"))
-            edges = edges.join(label, end, "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
-        joined = components(edges)
-        old = self.labels.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left").select("node", F.coalesce("_r", "root").alias("root"))
-        self.labels = pinned(old.unionByName(joined.join(self.labels.select("node"), "node", "left_anti")))
-
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """Members of the buckets that hold more than one component, with bucket size."""
-        m = members.join(self.labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        mixed = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min("node").alias("lead")).where("_lo < _hi")
-        return pinned(m.join(mixed.select("key", "n", "lead"), "key"))
-
-    def compare_small(self, members: DataFrame) -> None:
-        m = members.where(F.col("n") <= self.small)
-        other = m.select("key", F.col("node").alias("b"), F.col("label").alias("_l"))
-        pairs = m.withColumnRenamed("node", "a").join(other, "key").where("a < b AND label <> _l").select("a", "b").distinct()
-        self.link(pairs)
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        return self._with(pairs, self.classes, "signature", ("sa", "sb")).mapInArrow(_alike(self.percent / 100 - SLACK), _PAIR_TYPE)
+
+    def link(self, near: DataFrame) -> None:
+        """Confirm pairs (nodes ``a``, ``b`` of the components ``la``, ``lb``) on whole sets and
+        join the components of those linked."""
+        self.steps.append(components(self._with(near, self.sets, "items", ("xa", "xb")).mapInArrow(_linked(self.percent), "a long, b long")))
+
+    def relabelled(self, rows: DataFrame, steps: list[DataFrame]) -> DataFrame:
+        for step in steps:
+            rows = rows.join(step.select(F.col("node").alias("label"), "root"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+        return rows
+
+    def mixed(self, members: DataFrame) -> DataFrame:
+        """Members of the buckets that hold more than one component after the last step,
+        with the bucket's least node and its label."""
+        m = self.relabelled(members, self.steps[-1:])
+        several = m.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min(F.struct("node", "label")).alias("_lead")).where("_lo < _hi")
+        return pinned(m.join(several.select("key", F.col("_lead.node").alias("lead"), F.col("_lead.label").alias("lead_label")), "key"))
 
     def compare_lead(self, members: DataFrame) -> None:
-        lead = members.where("node = lead").select("key", F.col("label").alias("_l"))
-        self.link(members.join(lead, "key").where("node <> lead AND label <> _l").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+        pairs = members.where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_label").alias("la"), F.col("label").alias("lb"))
+        self.link(self.alike(pairs.distinct()))
 
     def compare_blocks(self, members: DataFrame) -> None:
-        """Large buckets: members outside the leader's component against all others, block by
+        """Members outside the leader's component against all others of their bucket, block by
         block.  Signatures are compared inside a task; only pairs that agree leave it."""
-        lead = members.where("node = lead").select("key", F.col("label").alias("_l"))
-        m = members.join(lead, "key").withColumn("rest", (F.col("label") != F.col("_l")).cast("int"))
-        sizes = m.groupBy("key").agg(F.ceil(F.sum("rest") / BLOCK).cast("int").alias("nr"), F.ceil(F.sum(1 - F.col("rest")) / BLOCK).cast("int").alias("nc")).where("nr > 0")
+        m = members.withColumn("rest", (F.col("label") != F.col("lead_label")).cast("int"))
+        sizes = m.groupBy("key").agg(F.ceil(F.sum("rest") / self.block).cast("int").alias("nr"), F.ceil(F.sum(1 - F.col("rest")) / self.block).cast("int").alias("nc"))
         m = m.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("rest") == 1, F.col("nr")).otherwise(F.col("nc"))).cast("int"))
-        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        core = m.where("rest = 0").withColumn("other", F.explode(every("nr"))).select("key", F.lit(0).alias("kind"), F.col("block").alias("x"), F.col("other").alias("y"), "node", "label", F.lit(0).alias("side"))
-        rest = m.where("rest = 1")
-        to_core = rest.withColumn("other", F.explode(every("nc"))).select("key", F.lit(0).alias("kind"), F.col("other").alias("x"), F.col("block").alias("y"), "node", "label", F.lit(1).alias("side"))
-        to_rest = rest.withColumn("other", F.explode(every("nr"))).select("key", F.lit(1).alias("kind"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "label",
-                                                                        (F.col("block") > F.col("other")).cast("int").alias("side"))
-        rows = core.union(to_core).union(to_rest).join(self.classes.select("node", "signature"), "node")
-        pairs = rows.groupBy("key", "kind", "x", "y").applyInArrow(_across(self.percent / 100 - SLACK), "a long, b long")
-        self.link(pairs.distinct(), signed=True)
+        m = m.join(self.classes.select("node", "signature"), "node")
+        place = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+        block, zero, one = F.col("block"), F.lit(0), F.lit(1)
+        every = lambda n, fn: F.transform(F.sequence(F.lit(0), F.col(n) - 1), fn)
+        core = every("nr", lambda o: place(0, block, o, zero))
+        rest = F.concat(every("nc", lambda o: place(0, o, block, one)), every("nr", lambda o: place(1, F.least(block, o), F.greatest(block, o), block > o)))
+        rows = m.withColumn("at", F.explode(F.when(F.col("rest") == 0, core).otherwise(rest))).select("key", "at.kind", "at.x", "at.y", "at.side", "node", "label", "signature")
+        group = ["key", "kind", "x", "y"]
+        near = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_across(self.percent / 100 - SLACK), _PAIR_TYPE)
+        self.link(near.distinct())
 
     def run(self) -> None:
         # one comparison per node, with the leader it shares most bands with
-        star = self.members.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
-        best = star.groupBy("node").agg(F.max(F.struct("n", (-F.col("lead")).alias("l"))).alias("s"))
-        self.link(best.select((-F.col("s.l")).alias("a"), F.col("node").alias("b")))
-        members = self.labelled(self.members.drop("lead"))
-        if members.isEmpty():
-            return
+        best = self.members.where("node <> lead").groupBy("node").agg(F.mode("lead", True).alias("a"))
+        self.link(self.alike(best.select("a", F.col("node").alias("b"), F.col("a").alias("la"), F.col("node").alias("lb"))))
+        members = self.mixed(self.members.select("key", "node", F.col("node").alias("label")))
         self.compare_lead(members)
-        members = self.labelled(self.members.drop("lead"))
-        self.compare_small(members)
-        members = self.labelled(self.members.drop("lead")).where(F.col("n") > self.small)
-        if not members.isEmpty():
-            self.compare_blocks(members)
+        members = self.mixed(members.select("key", "node", "label"))
+        self.compare_blocks(members)
+
+    def labels(self) -> DataFrame:
+        return self.relabelled(self.classes.select("digest", "least", F.col("node").alias("label")), self.steps).withColumnRenamed("label", "root")
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, small: int) -> DataFrame:
+def _marked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int = BLOCK) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    s = _Search(rows, words, percent, small)
+    s = _Search(rows, words, percent, block)
     s.run()
-    nodes = s.classes.select("node", "digest", "least").join(s.labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = pinned(s.labels())
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = nodes.join(least, "root").select("digest", "component_id", "root")
     out = s.marks.select("doc_id", "text_key", "n_shingles", "digest").join(of_class, "digest", "left")
@@ -222,7 +233,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key", "root")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, small: int = 48) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs outside space and \\x09-\\x0D with A-Z lower-cased.  A text's set holds
@@ -231,15 +242,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked if 100 |A and B| >= ``percent`` |A or B|.  ``component_id`` is the least id
     reachable; ``kept`` marks the row that has it.  Repeated rows share a class; a null id
     is never the least unless a component has no other, and then its rows are kept.
-    Other columns are not read.  ``small`` is the bucket size up to which pairs are
-    compared directly; it decides the plan, not the result."""
-    return _marked(docs, id_col, text_col, words, percent, small).drop("text_key", "root")
+    Other columns are not read.  ``block`` is the number of members that one task holds
+    against as many others; it decides the plan, not the result."""
+    return _marked(docs, id_col, text_col, words, percent, block).drop("text_key", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """One row of each group, that of the least id, and all rows without words, with all
     their columns.  Among rows of that id the one of the least text key stays."""
-    rows = pinned(_marked(docs, id_col, text_col, words, percent, 48))
+    rows = pinned(_marked(docs, id_col, text_col, words, percent))
     one = rows.where("kept AND n_shingles > 0").groupBy("root").agg(F.min("text_key").alias("_one"))
     keep = F.col("kept") & (F.col("n_shingles").eqNullSafe(0) | (F.col("text_key") == F.col("_one")))
     marks = rows.join(one, "root", "left").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.coalesce(keep, F.lit(False)).alias("_keep"))

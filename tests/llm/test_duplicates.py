@@ -49,8 +49,8 @@ def linked(rows, percent=75):
     return sets, label
 
 
-@pytest.mark.parametrize("small", [48, 1])  # 1: every bucket takes the paths of large ones
-def test_near_components(spark, small):
+@pytest.mark.parametrize("block", [512, 1])  # 1: every member is a block of its own
+def test_near_components(spark, block):
     body = [f"n{i}" for i in range(80)]
     chain = [(200 + j, " ".join(body[:j] + [f"z{j}"] + body[j + 1:])) for j in range(0, 80, 4)]
     steps = [(300 + j, " ".join(f"s{i}" for i in range(6 * j, 6 * j + 60))) for j in range(8)]  # only neighbours are linked
@@ -61,7 +61,7 @@ def test_near_components(spark, small):
         if i is not None:
             least[x] = min(i, least.get(x, i))
     want = [(i, len(s), (least.get(x) if s else i)) for (i, _), s, x in zip(rows, sets, label)]
-    got = near_dup.near_duplicates(frame(spark, rows), small=small)
+    got = near_dup.near_duplicates(frame(spark, rows), block=block)
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == sorted(want, key=str)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
 
