@@ -96,6 +96,18 @@ def collected(df: DataFrame, keys: list[str], order: list[str], col: str, out: s
     return df.groupBy(*keys, "chunk").agg(F.transform(pairs, lambda x: x["v"]).alias(out))
 
 
+def joined_texts(df: DataFrame, key: str, ts: str, text: str, out: str, sep: str = "|") -> DataFrame:
+    """All texts of a key in time order in one value, one row per key, however many the
+    key has; null texts are left out, and a key without other texts has a null."""
+    pairs = F.array_sort(F.collect_list(F.struct(ts, text)))
+    return df.groupBy(key).agg(F.when(F.count(text) > 0, F.array_join(F.transform(pairs, lambda x: x[text]), sep)).alias(out))
+
+
+def action_counts(df: DataFrame, key: str, action: str, counts: dict[str, str]) -> DataFrame:
+    """One row per key: how often each action occurs among all its rows."""
+    return df.groupBy(key).agg(*[F.count_if(F.col(action) == a).alias(n) for n, a in counts.items()])
+
+
 def rank_in_type(jnd: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Question number within (sender, previous product type) and its label
     ``<number>_<code>``, null if the code is null."""

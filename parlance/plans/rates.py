@@ -253,8 +253,8 @@ def _(t):
 @query("a45_collect_texts", """
 SELECT sender_id, 0 AS chunk, string_agg(text, '|' ORDER BY ts) AS texts FROM fx_user GROUP BY 1""")
 def _(t):
-    c = S.collected(t.fx_user, ["sender_id"], ["ts"], "text", "texts")
-    return c.select("sender_id", F.col("chunk").cast("int").alias("chunk"), F.array_join("texts", "|").alias("texts"))
+    c = S.joined_texts(t.fx_user, "sender_id", "ts", "text", "texts")
+    return c.select("sender_id", F.lit(0).alias("chunk"), "texts")
 
 
 @query("a48_last_code_by_outcome", """

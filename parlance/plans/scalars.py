@@ -278,7 +278,5 @@ def _(t):
 WITH o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, action FROM fx_clicks)
 SELECT user_id, (r - 1) // 1000 AS chunk, count(*) FILTER (WHERE action = 'click') AS clicks, count(*) FILTER (WHERE action = 'add to cart') AS adds FROM o GROUP BY 1, 2""")
 def _(t):
-    from parlance.operators.sequence import collected
-    lists = collected(t.fx_clicks, ["user_id"], ["ts", "event_id"], "action", "actions", 1000)
-    return lists.select("user_id", "chunk", X.count_actions("actions", "click").cast("long").alias("clicks"),
-                        X.count_actions("actions", "add to cart").cast("long").alias("adds"))
+    from parlance.operators.sequence import action_counts
+    return action_counts(t.fx_clicks, "user_id", "action", {"clicks": "click", "adds": "add to cart"}).select("user_id", F.lit(0).cast("long").alias("chunk"), "clicks", "adds")

@@ -92,3 +92,15 @@ def test_collected_chunks(spark):
     df = spark.createDataFrame([(1, i) for i in range(25)], "k int, t int")
     got = sorted((r.chunk, r.l) for r in Q.collected(df, ["k"], ["t"], "t", "l", chunk=10).collect())
     assert [x for _, l in got for x in l] == list(range(25)) and [len(l) for _, l in got] == [10, 10, 5]
+
+
+def test_large_keys_give_one_row(spark, monkeypatch):
+    from types import SimpleNamespace
+    from parlance.plans import load
+    user = spark.range(10_500).select(F.lit("s").alias("sender_id"), F.col("id").alias("ts"), F.col("id").cast("string").alias("text"))
+    clicks = spark.range(2500).select(F.lit("u").alias("user_id"), F.col("id").alias("ts"), F.col("id").alias("event_id"), F.when(F.col("id") % 5 == 0, "add to cart").otherwise("click").alias("action"))
+    registry = load()
+    monkeypatch.setattr(registry, "Tables", lambda spark, path: SimpleNamespace(fx_user=user, fx_clicks=clicks))
+    texts = registry.QUERIES["a45_collect_texts"](spark, "").collect()
+    assert [(r.chunk, r.texts) for r in texts] == [(0, "|".join(map(str, range(10_500))))]
+    assert [tuple(r) for r in registry.QUERIES["p35_count_actions"](spark, "").collect()] == [("u", 0, 2000, 500)]
