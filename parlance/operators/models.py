@@ -10,9 +10,10 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from parlance.functions import metrics as M
 from parlance.functions.scan import null_safe_join
 from parlance.operators.sampling import stratified_folds
-from parlance.session import pinned
+from parlance.operators.textjobs import word_ids
+from parlance.session import pinned, release
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -72,19 +74,48 @@ def multiclass(train: DataFrame, test: DataFrame, trees: int = 20, depth: int =
 
 # --- text -------------------------------------------------------------------------
 
-def text_classifier(train: DataFrame, test: DataFrame, tokens: str, vocab: int = 1 << 16, rounds: int = 50) -> DataFrame:
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows written once with a number that stays."""
+    return pinned(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def token_ids(df: DataFrame, tokens: str) -> DataFrame:
+    """(word, id) of all tokens of the rows, however many and however rare; the table
+    stays on the executors."""
+    return pinned(word_ids(df.select(F.explode(tokens).alias("word")).where(F.col("word").isNotNull())))
+
+
+def count_vectors(df: DataFrame, tokens: str, ids: DataFrame, binary: bool = False) -> DataFrame:
+    """``features`` in place of the tokens: the sparse counts (or 0/1) of those that have an
+    id; a row without any has an empty vector.  ``df`` is a ``numbered`` table."""
+    size = ids.count()
+    n = F.lit(1.0) if binary else F.count(F.lit(1)).cast("double")
+    counts = df.select("_row", F.explode(tokens).alias("word")).groupBy("_row", "word").agg(n.alias("n"))
+    pairs = counts.join(ids, "word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("id"), "n"))).alias("_p"))
+    sparse = F.udf(lambda i, v: Vectors.sparse(size, i or [], v or []), VectorUDT())
+    return df.drop(tokens).join(pairs, "_row", "left").withColumn("features", sparse("_p.id", "_p.n")).drop("_row", "_p")
+
+
+def names_of(ids: DataFrame, wanted: set[int]) -> dict[int, str]:
+    """Words of the ids that a model picked."""
+    few = ids.sparkSession.createDataFrame([(i,) for i in sorted(wanted)], "id long")
+    return {r["id"]: r["word"] for r in ids.join(few, "id").collect()}
+
+
+def text_classifier(train: DataFrame, test: DataFrame, tokens: str, rounds: int = 50) -> DataFrame:
     """Token counts to logistic regression; predictions on the test rows."""
-    train = pinned(train.select("label", tokens))
-    cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocab).fit(train)
-    x = pinned(cv.transform(train).select(F.col("label").cast("double").alias("label"), "features"))
+    train = numbered(train.select("label", tokens))
+    ids = token_ids(train, tokens)
+    x = pinned(count_vectors(train, tokens, ids).select(F.col("label").cast("double").alias("label"), "features"))
+    release(train)
     lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=rounds).fit(x)
-    return lr.transform(cv.transform(test))
+    return lr.transform(count_vectors(numbered(test.select("label", tokens)), tokens, ids))
 
 
-def topics(df: DataFrame, key: str, tokens: str, k: int = 4, passes: int = 10, vocab: int = 1 << 16, least: float = 0.35, seed: int = 100) -> DataFrame:
+def topics(df: DataFrame, key: str, tokens: str, k: int = 4, passes: int = 10, least: float = 0.35, seed: int = 100) -> DataFrame:
     """(key, topic, weight): the dominant topic of each document where it is clear."""
-    df = pinned(df.select(key, tokens))
-    counts = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocab).fit(df).transform(df)
+    df = numbered(df.select(key, tokens))
+    counts = pinned(count_vectors(df, tokens, token_ids(df, tokens)).select(key, "features"))
     model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online").fit(counts)
     w = vector_to_array("topicDistribution")
     d = model.transform(counts).select(key, F.array_max(w).alias("weight"), (F.array_position(w, F.array_max(w)) - 1).alias("topic"))
@@ -93,19 +124,19 @@ def topics(df: DataFrame, key: str, tokens: str, k: int = 4, passes: int = 10, v
 
 # --- rules over items -------------------------------------------------------------
 
-def item_features(df: DataFrame, items: str, vocab: int = 1 << 16) -> tuple[DataFrame, list[str]]:
-    """0/1 item vectors and the item names."""
-    df = pinned(df)
-    cv = CountVectorizer(inputCol=items, outputCol="features", binary=True, vocabSize=vocab).fit(df)
-    return cv.transform(df), list(cv.vocabulary)
+def item_features(df: DataFrame, items: str) -> tuple[DataFrame, DataFrame]:
+    """0/1 vectors of all items, and (word, id) of the items."""
+    df = numbered(df)
+    ids = token_ids(df, items)
+    return pinned(count_vectors(df, items, ids, binary=True)), ids
 
 
 def l1_path(df: DataFrame, items: str, steps: int = 16, rounds: int = 100, least: float = 0.01) -> DataFrame:
     """L1 logistic regression over a grid of strengths: (step, strength, precision,
     recall, score, features).  The grid starts from the strength at which every
     coefficient is zero, divided by 10^3 .. 10^7."""
-    x, names = item_features(df, items)
-    x = pinned(x.select("label", "features"))
+    x, ids = item_features(df, items)
+    x = x.select("label", "features")
     sign = F.when(F.col("label") == 1, 1).otherwise(-1)
     # the largest |sum of signed labels| over the items gives the empty model
     sums = df.select(F.explode(F.array_distinct(items)).alias("i"), sign.alias("s")).groupBy("i").agg(F.abs(F.sum("s")).alias("a"))
@@ -118,18 +149,22 @@ def l1_path(df: DataFrame, items: str, steps: int = 16, rounds: int = 100, least
         c = model.transform(x).agg(F.count_if((F.col("label") == 1) & (F.col("prediction") == 1)).alias("tp"),
                                    F.count_if(F.col("prediction") == 1).alias("pp"), F.count_if(F.col("label") == 1).alias("ap")).first()
         precision, recall = (c.tp / c.pp if c.pp else 0.0), (c.tp / c.ap if c.ap else 0.0)
-        coef = sorted(((abs(float(v)), f"{m}:{float(v):.4f}") for m, v in zip(names, model.coefficients.toArray()) if abs(v) > least), reverse=True)
-        rows.append((i, strength, precision, recall, 0.9 * precision + 0.1 * recall, [t for _, t in coef]))
+        coef = {m: float(v) for m, v in enumerate(model.coefficients.toArray()) if abs(v) > least}
+        rows.append((i, strength, precision, recall, 0.9 * precision + 0.1 * recall, coef))
+    names = names_of(ids, {m for r in rows for m in r[-1]})
+    for k, (*head, coef) in enumerate(rows):
+        rows[k] = (*head, [t for _, t in sorted(((abs(v), f"{names[m]}:{v:.4f}") for m, v in coef.items()), reverse=True)])
     return df.sparkSession.createDataFrame(rows, "step int, strength double, precision double, recall double, score double, features array<string>")
 
 
 def forest_importance(df: DataFrame, items: str, trees: int = 50, least: float = 0.001, seed: int = 0) -> DataFrame:
     """(method, item, importance) of one-split trees and of an L1 linear model."""
-    x, names = item_features(df, items)
+    x, ids = item_features(df, items)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=1, seed=seed).fit(x)
     lasso = LinearRegression(labelCol="label", featuresCol="features", elasticNetParam=1.0, regParam=0.01).fit(x)
-    rows = [("forest", n, v) for n, v in top_features(rf, names, len(names), least)]
-    rows += [("linear", n, abs(float(v))) for n, v in zip(names, lasso.coefficients.toArray()) if abs(v) > least]
+    found = [(how, i, abs(float(v))) for how, x in (("forest", rf.featureImportances), ("linear", lasso.coefficients)) for i, v in enumerate(x.toArray()) if abs(v) > least]
+    names = names_of(ids, {i for _, i, _ in found})
+    rows = [(how, names[i], v) for how, i, v in found]
     return df.sparkSession.createDataFrame(rows, "method string, item string, importance double")
 
 
@@ -159,25 +194,27 @@ def _impurity(pos: Column, neg: Column) -> Column:
     return F.coalesce(2 * pos * neg / F.nullif(pos + neg, F.lit(0.0)), F.lit(0.0))
 
 
-def group_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 4, min_leaf: int = 5, min_gain: float = 0.01) -> DataFrame:
+def group_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 30, min_leaf: int = 5, min_gain: float = 0.01) -> DataFrame:
     """A classification tree per group, for all groups in one level-wise pass:
     (keys, node, path, label, cover, share, prob) per leaf.
 
     rows: keys, label (0/1), items.  Row weight is n / n_class of the row's class in
     its group.  A level counts (node, item) pairs of every group, picks the best item
     per node and sends the rows on; each level is checkpointed, so the plan stays flat
-    and a lost executor repeats one level only.  A group of one class is one leaf."""
+    and a lost executor repeats one level only.  Levels go on until no node splits, or to
+    ``depth``, the reference library's limit.  A group of one class is one leaf."""
     one = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_c"))
     size = one.groupBy(*keys).agg(F.sum("_c").alias("_size"))
     weights = null_safe_join(one, size, keys).withColumn("_w", F.col("_size") / F.col("_c")).drop("_c")
     d = null_safe_join(rows.select(*keys, "label", F.array_distinct(items).alias("items")), weights, [*keys, "label"])
-    d = pinned(d.withColumns({"node": F.lit(1).cast("long"), "path": F.array().cast("array<string>")}))
+    d = pinned(d.withColumns({"node": F.lit(1).cast("long"), "path": F.array().cast("array<string>"), "open": F.lit(True)}))
     node = [*keys, "node"]
     pos = F.sum(F.when(F.col("label") == 1, F.col("_w")).otherwise(0.0))
     neg = F.sum(F.when(F.col("label") == 1, 0.0).otherwise(F.col("_w")))
     for _ in range(depth):
-        whole = d.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), pos.alias("p"), neg.alias("q"), F.max("_size").alias("s"))
-        has = d.select(*node, "label", "_w", F.explode("items").alias("item")).groupBy(*node, "item").agg(
+        live = d.where("open")  # a node that did not split never will
+        whole = live.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), pos.alias("p"), neg.alias("q"), F.max("_size").alias("s"))
+        has = live.select(*node, "label", "_w", F.explode("items").alias("item")).groupBy(*node, "item").agg(
             F.count(F.lit(1)).alias("hn"), pos.alias("hp"), neg.alias("hq"))
         c = null_safe_join(has, whole, node).where((F.col("hn") >= min_leaf) & (F.col("n") - F.col("hn") >= min_leaf))
         gain = _impurity(F.col("p"), F.col("q")) - _impurity(F.col("hp"), F.col("hq")) - _impurity(F.col("p") - F.col("hp"), F.col("q") - F.col("hq"))
@@ -189,7 +226,10 @@ def group_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 4, mi
         term = F.concat("split", F.when(inside, ">=0.5").otherwise("< 0.5"))
         d = pinned(d.withColumns({
             "node": F.when(F.col("split").isNull(), F.col("node")).otherwise(F.col("node") * 2 + inside.cast("long")),
-            "path": F.when(F.col("split").isNull(), F.col("path")).otherwise(F.array_append("path", term))}).drop("split"))
+            "path": F.when(F.col("split").isNull(), F.col("path")).otherwise(F.array_append("path", term)),
+            "open": F.col("split").isNotNull()}).drop("split"))
+        if d.where("open").isEmpty():
+            break
     leaf = d.groupBy(*node, "path").agg(F.count(F.lit(1)).alias("cover"), pos.alias("p"), neg.alias("q"), F.max("_size").alias("s"))
     prob = F.col("p") / (F.col("p") + F.col("q"))
     return leaf.select(*node, "path", F.when(prob > 0.5, 1).otherwise(0).alias("label"), "cover", (F.col("cover") / F.col("s")).alias("share"), prob.alias("prob"))

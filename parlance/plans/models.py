@@ -73,7 +73,7 @@ def _(t):
     ids = label_ids(t.documents, "lang", "doc_id").withColumnRenamed("id", "label")
     d = t.texts.select("doc_id", "lang", TX.label_trigrams(TX.clean_text("text")).alias("grams")).join(ids, "lang")
     d = stratified_split(d, "doc_id", "lang")
-    p = M.text_classifier(d.where("part = 'train'"), d.where("part = 'test'"), "grams", vocab=4096, rounds=15)
+    p = M.text_classifier(d.where("part = 'train'"), d.where("part = 'test'"), "grams", rounds=15)
     return rounded(MET.class_report(p.withColumn("label", F.col("label").cast("double")), "label", "prediction"), "precision", "recall", "f1", digits=4)
 
 
@@ -99,7 +99,7 @@ def trees(t):
     r = PC.rows(t)
     docs = C.rule_docs(t.fx_items).withColumn("items", F.split("doc", " ")).drop("doc")
     d = C.pos_neg_dataset(r.drop("codes"), PC.pairs(r)).join(docs, "product_id").withColumnRenamed("class", "label")
-    return d, M.group_trees(d, C.GROUP, "items", depth=3)
+    return d, M.group_trees(d, C.GROUP, "items")
 
 
 @query("m08_decision_tree")
@@ -148,7 +148,7 @@ def _(t):
 @query("m12_topics")
 def _(t):
     d = t.texts.select("doc_id", TX.words("text").alias("w")).where(F.size("w") > 0)
-    return rounded(M.topics(d, "doc_id", "w", passes=5, vocab=4096), "weight", digits=4)
+    return rounded(M.topics(d, "doc_id", "w"), "weight", digits=4)
 
 
 def choices(t):

@@ -109,6 +109,28 @@ def test_group_trees(spark):
     assert rules.rule == "all" and rules.prob == 1.0
 
 
+def test_group_trees_until_no_node_splits(spark):
+    rnd = random.Random(6)
+    rows = [("x", [t for t in "abcdef" if rnd.random() < 0.85]) for _ in range(600)]
+    rows = [(g, int(len(its) == 6), its) for g, its in rows]
+    df = spark.createDataFrame(rows, "g string, label int, items array<string>")
+    n1 = sum(r[1] for r in rows)
+    weighted = [(y, its, len(rows) / (n1 if y else len(rows) - n1)) for _, y, its in rows]
+    want = {p: cover for p, cover, _, _ in tree(weighted, len(rows), 30)}
+    assert max(map(len, want)) == 6
+    assert {tuple(r.path): r.cover for r in M.group_trees(df, ["g"], "items").collect()} == want
+
+
+def test_vectors_hold_every_item(spark):
+    df = spark.range(70).select("id", F.concat(F.array(F.lit("a"), F.lit("a")), F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat_ws("_", "id", i))).alias("items"))
+    df = df.unionByName(spark.createDataFrame([(70, [])], df.schema))
+    x, ids = M.item_features(df, "items")
+    assert ids.count() == 70_001 and {v.features.size for v in x.collect()} == {70_001}
+    assert sorted(v.features.numNonzeros() for v in x.collect()) == [0] + [1001] * 70
+    n = M.count_vectors(M.numbered(df.where("id IN (3, 70)")), "items", ids.where("word IN ('a', '3_7')").withColumn("id", F.when(F.col("word") == "a", 1).otherwise(0))).collect()
+    assert {r.id: r.features.toArray().tolist() for r in n} == {3: [1.0, 2.0], 70: [0.0, 0.0]}
+
+
 def test_association_rules(spark):
     rnd = random.Random(9)
     baskets = [[x for x, p in zip("abcdz", (0.6, 0.5, 0.4, 0.3, 0.5)) if rnd.random() < p] for _ in range(80)]
