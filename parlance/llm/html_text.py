@@ -3,8 +3,10 @@
 Every DOM node has characters, tags, link characters and link tags below it; its
 composite density is characters per tag, damped by the share of links.  The sum of the
 densities of a node's children (a run of own text counts as a child) peaks at the node
-that holds the article.  The least density on the path from that node to the body is the
-threshold: nodes beside the path that reach it belong to the article too.
+that holds the article.  The least density on the path from that node to the body, body included, is the
+threshold: nodes beside the path that reach it, or the path's least characters outside
+links per tag, belong to the article too.  The lowest node that joins such a neighbour
+with the peak is given as a whole, without noise and lists of links.
 """
 
 from __future__ import annotations
@@ -143,7 +145,17 @@ def _measure(nodes: list[_Node], body: _Node) -> None:
         x.total = sum((len("".join(p.split())) if isinstance(p, str) else 0.0 if p.noise else p.density) for p in x.parts)
 
 
-def _blocks(nodes: list[_Node], out: list[str]) -> None:
+def _free(x: _Node) -> float:
+    """Characters outside links per tag."""
+    return (x.chars - x.link_chars) / max(x.tags, 1)
+
+
+def _is_links(x: _Node) -> bool:
+    """A block that is a list of links; a heading may be one."""
+    return not x.noise and x.tag in BLOCKS and not re.fullmatch("h[1-6]", x.tag) and 2 * x.link_chars > x.chars
+
+
+def _blocks(nodes: list[_Node | str | None], out: list[str]) -> None:
     """Texts of blocks in page order; iterative, so that depth is not bounded."""
     run: list[str] = []
 
@@ -199,16 +211,29 @@ def main_text(page: str) -> str:
     if whole:
         _blocks([whole], out)
         return "\n".join(out)
-    # below the body, whose own density the menus have pulled down
-    least = min(x.density for x in (path[:-1] or path))
+    # density grows with a node's size, so a short neighbour may also belong by its
+    # characters outside links per tag
+    least, even = min(x.density for x in path), max(min(map(_free, path)), 1)
     on, picked = set(map(id, path)), []
+
+    def belongs(x: _Node | str) -> bool:
+        if isinstance(x, str):
+            return len("".join(x.split())) >= even
+        return id(x) not in on and not x.noise and x.chars > 0 and (0 < x.density >= least or _free(x) >= even)
+
+    # the lowest node that joins the peak with a neighbour is the article as a whole, with title and short parts
+    join = next((x for x in path[1:] if any(map(belongs, x.parts))), best)
     stack = [body]
     while stack:
         x = stack.pop()
-        if x is best or (isinstance(x, _Node) and id(x) not in on and not x.noise and x.chars and x.density >= least):
+        if x is best:
             picked.append(x)
+        elif x is join:
+            picked.extend([None, *(p for p in x.parts if isinstance(p, str) or not _is_links(p)), None])
         elif isinstance(x, _Node) and id(x) in on:
-            stack.extend(reversed([p for p in x.parts if isinstance(p, _Node)]))
+            stack.extend(reversed(x.parts))
+        elif belongs(x):
+            picked.extend([None, x, None])
     _blocks(picked, out)
     return "\n".join(out)
 

@@ -65,3 +65,12 @@ def test_pages(spark):
     got = html_text.extract_pages(rows)
     assert got.count() == 4 and got.where("n_chars <> length(text)").count() == 0
     assert html_text.extract_pages(rows.limit(0)).count() == 0
+
+
+def test_title_and_lead_beside_a_nested_text_div():
+    inner = "".join(f"<p>{'word ' * 75}</p>" for _ in range(20))
+    menu = "<ul>" + "".join(f"<li><a href={i}>Menu {i}</a></li>" for i in range(12)) + "</ul>"
+    page = f"<body>{menu}<div class=post><h1>{'t' * 30}</h1>bare words <a href=1>here</a> too<p>{'lead ' * 75}</p><div class=text>{inner}</div></div></body>"
+    for p in (page, page.replace(menu, "")):
+        lines = html_text.main_text(p).split("\n")
+        assert lines[:3] == ["t" * 30, "bare words here too", ("lead " * 75).strip()] and lines[3:] == [("word " * 75).strip()] * 20
