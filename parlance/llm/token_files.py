@@ -67,14 +67,20 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
     """A dictionary from at most SAMPLE texts of at most PIECE characters each, those of the
     least hash: a bounded sample spread over the whole corpus.  It decides the size of the
     files only, never their content.  Too little text gives the empty dictionary."""
-    part, h = F.substring("text", 1, PIECE), F.xxhash64("doc_id", "text")
+    h = F.xxhash64("doc_id", "text")
+    # a piece starts anywhere in its text
+    part = F.substring("text", F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - PIECE + 1, F.lit(1))).cast("int") + 1, F.lit(PIECE))
     some = docs.where(F.length("text") > 0).where(F.pmod(h, F.lit(max(1, docs.count()))) < 2 * SAMPLE)  # about 2 x SAMPLE rows, however many there are
     sample = some.select(h.alias("h"), part.alias("t")).orderBy("h", "t").limit(SAMPLE)
     ids = _ids(tokenizer_path).encode([r.t for r in sample.collect()], np.array([end_id], "<u4").tobytes())
     pieces = [x[:PIECE] for x in ids]
-    if len(pieces) < 50:
+    size = min(DICTIONARY, sum(map(len, pieces)) // 8)
+    if len(pieces) < 50 or size < 256:  # the least size of a dictionary
+        return b""
+    try:
+        return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # pieces without anything in common
         return b""
-    return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, pieces)) // 8), pieces, level=LEVEL).as_bytes()
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:

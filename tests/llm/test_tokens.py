@@ -80,6 +80,14 @@ def test_files_round_trip(spark):
     assert token_files.encode_to_files(docs.limit(0), path).count() == 0
 
 
+def test_many_one_word_documents(spark):
+    path = P.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(60)], "doc_id long, text string")
+    library = Tokenizer.from_file(path)
+    got = token_files.encode_to_files(docs, path).collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == {i: zlib.crc32(struct.pack(f"<{len(x)}I", *x)) for i in range(60) for x in [library.encode(f"w{i}", add_special_tokens=False).ids + [2]]}
+
+
 def test_short_document_access(spark, tmp_path):
     path = P.path("byte_bpe_50k.json")
     token_files.write_ids(frame(spark), str(tmp_path / "ids"), path, partitions=3)
