@@ -172,11 +172,17 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)]], names=[*b.schema.names, "k0", "k1"])
 
 
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """(text, toxic): of texts with one label and both minima equal, that of the least id hash."""
+    keyed = sample.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("string").alias("id"), "text", "toxic").mapInArrow(_keys, "h long, id string, text string, toxic int, k0 long, k1 long")
+    return keyed.groupBy("toxic", "k0", "k1").agg(F.min(F.struct("h", "id", "text")).alias("x")).select("x.text", "toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS) -> Model:
     """Learn from at most ``rows`` labelled rows, those of the least hash of the id, never
     held-out ones: two thirds give the lexicon, a third the weights.
 
-    Of near copies one is used for the lexicon, else the words of a text that stands there
+    Of near copies with one label (both minima equal) one is used for the lexicon, else the words of a text that stands there
     many times would seem to be what makes it toxic.  A word is a term if its share of toxic
     texts exceeds the overall share by more than chance explains over all words (the
     exponential bound of the binomial, half a false term expected) and nine of ten texts
@@ -185,9 +191,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
     y = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
          .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     few = F.broadcast(y.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(3)).cast("int")))  # rows x 20 bytes at most
-    sample = pinned(docs.select("doc_id", "text").join(few, "doc_id").select("text", "toxic", "part"))
-    first = sample.where("part < 2").mapInArrow(_keys, "text string, toxic int, part int, k0 long, k1 long").dropDuplicates(["k0"]).dropDuplicates(["k1"])
-    first = pinned(first.select("text", "toxic"))
+    sample = pinned(docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "toxic", "part"))
+    first = pinned(one_of_copies(sample.where("part < 2")))
     n = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:

@@ -35,6 +35,19 @@ def test_held_out_accuracy(spark):
     assert good > 0.97 and r.where("predicted = 1 AND toxic = 0").count() <= 3
 
 
+def test_copies_need_both_minima_and_one_label(spark):
+    # texts that share a passage, so that some agree in one minimum only
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, f"{shared} " + " ".join(f"d{i}_{j}" for j in range(20)), 0) for i in range(60)] + [(100, shared, 0), (101, shared, 1), (102, shared, 0)]
+    schema = "doc_id long, text string, toxic int"
+    sample = spark.createDataFrame(rows, schema)
+    keys = sample.mapInArrow(toxicity._keys, schema + ", k0 long, k1 long").collect()
+    want = len({(r.toxic, r.k0, r.k1) for r in keys})
+    assert want > len({r.k0 for r in keys})
+    got = [sorted(map(tuple, toxicity.one_of_copies(spark.createDataFrame(r, schema).repartition(n)).collect())) for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert len(got[0]) == want and got[0] == got[1] and {t for _, t in got[0]} == {0, 1}
+
+
 def test_quotation_and_odd_rows(spark):
     model = toxicity.Model({"idiot": 8.0}, [3.0, 1.0, 0.0, 0.0], -4.0)
     s = toxicity.Scorer(model)
