@@ -131,6 +131,12 @@ def test_vectors_hold_every_item(spark):
     assert {r.id: r.features.toArray().tolist() for r in n} == {3: [1.0, 2.0], 70: [0.0, 0.0]}
 
 
+def test_category_values_without_limit(spark):
+    from parlance.operators.model_table import category_values
+    got = category_values(spark.range(70).select(F.format_string("v%02d", "id").alias("c")), ["c"])
+    assert got == {"c": [f"v{i:02d}" for i in range(70)]}
+
+
 def test_association_rules(spark):
     rnd = random.Random(9)
     baskets = [[x for x, p in zip("abcdz", (0.6, 0.5, 0.4, 0.3, 0.5)) if rnd.random() < p] for _ in range(80)]
