@@ -34,6 +34,9 @@ class Feature:
     fn: str = "sum"
 
 
+Steps = list["dict[str, Feature] | Callable[[DataFrame], DataFrame]"]
+
+
 def _c(e: Column | str) -> Column:
     return F.col(e) if isinstance(e, str) else e
 
@@ -64,6 +67,19 @@ def last_known_before(e) -> Feature:
     return Feature("before", _c(e), fn="last")
 
 
+def last_n_known_before(exprs: dict[str, Column], n: int) -> Steps:
+    """Steps that give, for each name, the last ``n`` known values before the row, oldest
+    first, as an array (null if there is none).  The state of a step is an array of at
+    most ``n`` values: the one of the step before at the last known row, and that row's
+    value.  All names share each step's window."""
+    name = lambda k, j: k if j == n else f"_last{j}_{k}"
+    steps: Steps = []
+    for j in range(1, n + 1):
+        grown = {k: F.array(e) if j == 1 else F.concat(F.coalesce(F.col(name(k, j - 1)), F.slice(F.array(e), 1, 0)), F.array(e)) for k, e in exprs.items()}
+        steps.append({name(k, j): last_known_before(F.when(e.isNotNull(), grown[k])) for k, e in exprs.items()})
+    return [*steps, lambda df: df.drop(*[name(k, j) for k in exprs for j in range(1, n)])]
+
+
 def position() -> Feature:
     return Feature("position", F.lit(1))
 
@@ -112,9 +128,6 @@ def find_skew(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> Sk
     return Skew(None if n is None else pinned(hot.drop("_scan_n")), limit, n or 0)
 
 
-Steps = list["dict[str, Feature] | Callable[[DataFrame], DataFrame]"]
-
-
 def ordered(df: DataFrame, keys: list[str], order: list, features: dict[str, Feature] | Steps,
             hot_rows: int | None = None, skew: Skew | None = None) -> DataFrame:
     """Add ordered features per key.  ``order`` must be unique within a key.

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import metrics as M
 from parlance.functions.scan import null_safe_join
+from parlance.operators.rule_mining import maximal as keep_maximal
 from parlance.operators.sampling import stratified_folds
 from parlance.operators.textjobs import word_ids
 from parlance.session import pinned, release
@@ -180,9 +181,7 @@ def association_rules(baskets: DataFrame, items: str, right: list[str] | None =
     if right:
         r = r.where(F.get(F.col("consequent"), F.lit(0)).isin(right))
     if maximal:
-        # every sub-rule one item shorter of some rule is not maximal
-        shorter = r.select("consequent", F.explode(F.transform("antecedent", lambda x: F.array_remove(F.col("antecedent"), x))).alias("antecedent")).distinct()
-        r = r.join(shorter, ["antecedent", "consequent"], "left_anti")
+        r = keep_maximal(r, ["consequent"], "antecedent")
     return (r.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")  # one row
             .withColumn("n", F.round(F.col("support") * F.col("_n")).cast("long")).drop("_k", "_n"))
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,26 +98,45 @@ def top_k_similar(cands: DataFrame, queries: DataFrame, k: int, drop_self: bool
     return top_per_key(hits, ["q_id"], [F.desc("score"), F.col("id")], k)
 
 
+_PRIME = 2_147_483_647
+
+
+def _draws(q: np.ndarray, c: np.ndarray, seed: int) -> np.ndarray:
+    """A number below 2^31 - 1 for every (query, candidate) pair of ids."""
+    h = ((q % _PRIME)[:, None] * 48_271 + (c % _PRIME)[None, :] * 69_621 + seed) % _PRIME
+    return (h * 16_807 + h * h % _PRIME) % _PRIME
+
+
 def candidate_set(cands: DataFrame, queries: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """Per query the k best distinct texts and k random candidates, in hash order:
-    (q_id, text, score, is_random).  cands: (id, vector, text)."""
+    """Per query the k best distinct texts and k candidates drawn for that query, in hash
+    order: (q_id, text, score, is_random).  cands and queries: (id, vector, text).
+
+    The draw takes the k least hashes of (query, candidate); a batch lets out its k best
+    texts and k least hashes of every query, so the draw needs no pass of its own."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        s, texts = _cosines(q, c), c["text"].to_numpy()
-        out = []
-        for i, own in enumerate(q["text"]):
-            d = pd.DataFrame({"text": texts, "score": s[i]})
-            best = d[d["text"] != own].groupby("text", as_index=False)["score"].max().nlargest(k, "score", keep="all")
-            out.append(best.assign(q_id=q["id"].iloc[i]))
-        return pd.concat(out)[["q_id", "text", "score"]] if out else pd.DataFrame({"q_id": [], "text": [], "score": []})
+        s, ids = _cosines(q, c), c["id"].to_numpy()
+        texts, code = np.unique(c["text"].to_numpy().astype(str), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        best = np.maximum.reduceat(s[:, order], np.searchsorted(code[order], np.arange(len(texts))), axis=1)
+        best[q["text"].to_numpy().astype(str)[:, None] == texts[None, :]] = -np.inf
+        top = np.argsort(-best, axis=1, kind="stable")[:, :k]  # ties in text order
+        h = _draws(q["id"].to_numpy(), ids, seed)
+        low = np.lexsort((np.broadcast_to(ids, h.shape), h), axis=1)[:, :k]
+        rows = lambda at: np.repeat(np.arange(len(q)), at.shape[1])
+        i, j = rows(top), rows(low)
+        out = pd.DataFrame({"q_id": q["id"].to_numpy()[np.concatenate((i, j))], "text": np.concatenate((texts[top.ravel()], c["text"].to_numpy()[low.ravel()])),
+                            "score": np.concatenate((best[i, top.ravel()], s[j, low.ravel()])), "draw": np.concatenate((np.full(len(i), -1), h[j, low.ravel()])),
+                            "id": np.concatenate((np.full(len(i), -1), ids[low.ravel()]))})
+        return out[np.isfinite(out["score"])]
 
     cols = ["id", "vector", "text"]
-    best = block_product(cands.select(cols), queries.select(cols), fn, "q_id long, text string, score double")
-    best = best.groupBy("q_id", "text").agg(F.max("score").alias("score"))
-    top = top_per_key(best, ["q_id"], [F.desc("score"), F.col("text")], k).drop("rank").withColumn("is_random", F.lit(False))
-    rnd = sample_n(cands.select(cols), "id", k, seed)
-    texts = score_pairs(rnd, queries).join(rnd.select("id", "text"), "id").select("q_id", "text", F.col("cos").alias("score"), F.lit(True).alias("is_random"))
-    shuffle = F.md5(F.concat_ws(":", F.lit(seed), "q_id", "text", "is_random"))
-    return top.unionByName(texts).orderBy("q_id", shuffle)
+    # texts of rows that have one, so that every row of the result shows a text
+    found = pinned(block_product(cands.select(cols).where(F.col("text").isNotNull()), queries.select(cols), fn, "q_id long, text string, score double, draw long, id long"))
+    best = found.where("draw < 0").groupBy("q_id", "text").agg(F.max("score").alias("score"))
+    top = top_per_key(best, ["q_id"], [F.desc("score"), F.col("text")], k)
+    rnd = top_per_key(found.where("draw >= 0"), ["q_id"], ["draw", "id"], k)
+    out = top.withColumn("is_random", F.lit(False)).drop("rank").unionByName(rnd.select("q_id", "text", "score", F.lit(True).alias("is_random")))
+    return out.orderBy("q_id", F.md5(F.concat_ws(":", F.lit(seed), "q_id", "text", "is_random")))
 
 
 # --- tags, messages, caches -------------------------------------------------------
@@ -181,18 +202,18 @@ class VectorSpec:
     scale: float = field(default=1.0)
 
 
-def _dims(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(vector).alias("dim", "v"))
-
-
-def _to_vector(dims: DataFrame, keys: list[str], out: str) -> DataFrame:
-    return dims.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("_l")).select(*keys, F.col("_l.v").alias(out))
+def vector_aggregates(df: DataFrame, keys: list[str], vector: str, **how: str) -> DataFrame:
+    """Element-wise aggregates of the vectors of a key (mean, max, min, sum; by output name).
+    Each task keeps one buffer of the vector's length for a key, and only buffers are
+    shuffled.  Null vectors are left out; the vectors of a key have one length."""
+    v = array_to_vector(F.col(vector).cast("array<double>"))
+    aggs = [vector_to_array(getattr(Summarizer, fn)(v)).alias(out) for out, fn in how.items()]
+    return df.where(F.col(vector).isNotNull()).groupBy(*keys).agg(*aggs)
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str) -> DataFrame:
-    """Mean vector per key; averaged per dimension, so a key's rows are never gathered."""
-    d = _dims(df, keys, vector).groupBy(*keys, "dim").agg(F.avg("v").alias("v"))
-    return _to_vector(d, keys, out)
+    """Mean vector per key."""
+    return vector_aggregates(df, keys, vector, **{out: "mean"})
 
 
 def message_vectors(messages: DataFrame, key: str, vectors: DataFrame, spec: VectorSpec) -> DataFrame:
@@ -202,16 +223,23 @@ def message_vectors(messages: DataFrame, key: str, vectors: DataFrame, spec: Vec
     parts = messages.select(key, F.col("vector").alias("_text"), *[f for f, _ in spec.fields], *(["text"] if spec.text_length else []))
     cols = ["_text"]
     look = vectors.select(F.col("name").alias("_name"), F.col("vector").alias("_v"))
+    one = vectors.where(F.col("name") == spec.filler).select(F.col("vector").alias("_f"), F.lit(1).alias("_k")).limit(1)
+
+    def looked_up(names: DataFrame) -> DataFrame:
+        """The vector of each name; a name without one counts as the filler."""
+        d = names.join(look, "_name", "left").withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k", "left")  # one row
+        return d.withColumn("_v", F.coalesce("_v", "_f"))
+
     if spec.fields and spec.mean:
         every = F.concat(*[F.coalesce(F.col(f), F.array().cast("array<string>")) for f, _ in spec.fields])
         names = messages.select(key, F.explode(F.when(F.size(every) > 0, every).otherwise(F.array(F.lit(spec.filler)))).alias("_name"))
-        mean = mean_vectors(names.join(look, "_name"), [key], "_v", "_mean")
+        mean = mean_vectors(looked_up(names), [key], "_v", "_mean")
         parts, cols = parts.join(mean, key, "left"), [*cols, "_mean"]
     elif spec.fields:
         empty = F.array().cast("array<string>")
         padded = F.concat(*[pad_array(F.coalesce(F.col(f), empty), n, spec.filler) for f, n in spec.fields])
-        names = messages.select(key, F.posexplode(padded).alias("_i", "_name")).join(look, "_name")
-        side = names.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_l")).select(key, F.flatten(F.col("_l._v")).alias("_fields"))
+        names = messages.select(key, F.posexplode(padded).alias("_i", "_name"))
+        side = looked_up(names).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_l")).select(key, F.flatten(F.col("_l._v")).alias("_fields"))
         parts, cols = parts.join(side, key, "left"), [*cols, "_fields"]
     extra = [count_values(F.coalesce(F.col(f), F.array().cast("array<string>"))).cast("double") for f, _ in spec.fields] if spec.counts else []
     if spec.text_length:
@@ -230,10 +258,8 @@ def pooled(tokens: DataFrame, text: str, order: str, vector: str, mask: str, how
     if how == "none":
         g = kept.groupBy(text).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vector).alias("v")))).alias("_l"))
         return g.select(text, F.flatten(F.col("_l.v")).alias("vector"))
-    aggs = {"mean": [F.avg], "max": [F.max], "mean+max": [F.avg, F.max]}[how]
-    d = _dims(kept, [text], vector).groupBy(text, "dim").agg(*[a("v").cast("double").alias(f"v{i}") for i, a in enumerate(aggs)])
-    g = d.groupBy(text).agg(F.array_sort(F.collect_list(F.struct("dim", *[f"v{i}" for i in range(len(aggs))]))).alias("_l"))
-    return g.select(text, F.concat(*[F.col(f"_l.v{i}") for i in range(len(aggs))]).alias("vector"))
+    v = vector_aggregates(kept, [text], vector, **{f"_{h}": h for h in how.split("+")})
+    return v.select(text, F.concat(*[F.col(f"_{h}") for h in how.split("+")]).alias("vector"))
 
 
 # --- evaluation -------------------------------------------------------------------
@@ -242,7 +268,7 @@ def _flagged_pairs(cands: DataFrame, queries: DataFrame, cut: float | None, coun
     """Pairs (or their counts per score) with a same-intent flag.  Counting happens
     inside each batch, so all pairs are never written anywhere."""
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        s = np.round(_angular(_cosines(q, c)), 6)
+        s = np.round(_angular(_cosines(q, c)), DIGITS)
         same = q["intent"].to_numpy()[:, None] == c["intent"].to_numpy()[None, :]
         qi, ci = np.nonzero(s >= cut) if cut is not None else np.nonzero(np.ones_like(same))
         d = pd.DataFrame({"intent": q["intent"].to_numpy()[qi], "score": s[qi, ci], "same": same[qi, ci].astype(np.int64)})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.scan import (
-    before, find_skew, lag, last_known, last_known_before, lead, null_safe_join, ordered,
+    before, find_skew, lag, last_known, last_known_before, last_n_known_before, lead, ordered,
     position, running, total,
 )
 
@@ -146,26 +146,12 @@ def last_n_features(df: DataFrame, key: str, order: list[str], cols: list[str],
     """The last n known earlier values of each column as ``<col>_0`` (oldest) ..
     ``<col>_<n-1>``, left-filled with ``None``.
 
-    Null values are skipped, so each row needs the values before it that are not
-    null: number the non-null values, carry the number forward, look the rows up."""
-    skew = find_skew(df, [key], hot_rows)
-    feats = {}
-    for c in cols:
-        known = F.col(c).isNotNull()
-        feats[f"_k_{c}"] = before(F.when(known, 1).otherwise(0))
-    df = ordered(df, [key], order, feats, skew=skew)
-    for c in cols:
-        seen = F.coalesce(F.col(f"_k_{c}"), F.lit(0))
-        df = df.withColumn(f"_k_{c}", seen)
-        known = df.where(F.col(c).isNotNull()).select(key, F.col(f"_k_{c}").alias("_i"), F.col(c).cast("string").alias("_v"))
-        if n > 1:
-            known = ordered(known, [key], ["_i"], {f"_v{j}": lag("_v", j) for j in range(1, n)}, skew=skew)
-        known = known.select(key, (F.col("_i") + 1).alias("_i"),
-                             *[F.col("_v" if j == 0 else f"_v{j}").alias(f"_w{j}") for j in range(n)])
-        df = (null_safe_join(df.withColumnRenamed(f"_k_{c}", "_i"), known, [key, "_i"], "left").drop("_i")
-              .withColumns({f"{c}_{n - 1 - j}": F.coalesce(F.col(f"_w{j}"), F.lit("None")) for j in range(n)})
-              .drop(*[f"_w{j}" for j in range(n)]))
-    return df
+    Null values are skipped.  All columns are read in one ordered scan, whose state is
+    the last n known values of each."""
+    known = last_n_known_before({f"_last_{c}": F.col(c).cast("string") for c in cols}, n)
+    df = ordered(df, [key], order, known, hot_rows)
+    at = lambda c, j: F.try_element_at(F.col(f"_last_{c}"), F.lit(j - n))  # from the end
+    return df.withColumns({f"{c}_{j}": F.coalesce(at(c, j), F.lit("None")) for c in cols for j in range(n)}).drop(*[f"_last_{c}" for c in cols])
 
 
 def holds_codes(df: DataFrame, key: str, col: str, codes: list[str]) -> DataFrame:

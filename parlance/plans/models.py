@@ -7,6 +7,7 @@ from parlance.functions import text as TX
 from parlance.operators import catalogue as C
 from parlance.operators import models as M
 from parlance.operators import model_table as MT
+from parlance.operators import rule_mining as RM
 from parlance.operators.sampling import stratified_split
 from parlance.operators.textjobs import label_ids
 from parlance.plans import catalogue as PC
@@ -95,10 +96,15 @@ def _(t):
     return rounded(M.forest_importance(baskets(t), "items"), "importance", digits=5)
 
 
-def trees(t):
+def labelled_items(t):
+    """Products of each group (class 1) and of its disjoint groups (class 0) with their items."""
     r = PC.rows(t)
     docs = C.rule_docs(t.fx_items).withColumn("items", F.split("doc", " ")).drop("doc")
-    d = C.pos_neg_dataset(r.drop("codes"), PC.pairs(r)).join(docs, "product_id").withColumnRenamed("class", "label")
+    return C.pos_neg_dataset(r.drop("codes"), PC.pairs(r)).join(docs, "product_id"), docs
+
+
+def trees(t):
+    d = labelled_items(t)[0].withColumnRenamed("class", "label")
     return d, M.group_trees(d, C.GROUP, "items")
 
 
@@ -127,10 +133,19 @@ def rule_baskets(t):
     return docs.join(code, "product_id").select("product_id", F.concat("items", "c").alias("items"))
 
 
-@query("m11_association_rules")
+@query("m11_association_rules", """
+WITH d AS (SELECT parent_type, gender, dress_code, class, list_sort(list_distinct(string_split(doc, ' '))) AS l FROM ck_dataset JOIN ck_docs USING (product_id)),
+n AS (SELECT parent_type, gender, dress_code, count(*) AS total FROM d GROUP BY ALL),
+x AS (SELECT parent_type, gender, dress_code, class, list_filter(l, lambda y, i: (m >> (i - 1)) & 1 = 1) AS a FROM d, unnest(range(1, CAST(1 << len(l) AS BIGINT))) AS u(m)),
+c AS (SELECT parent_type, gender, dress_code, a, count(*) AS n, count(*) FILTER (class = 1) AS hits FROM x GROUP BY ALL),
+r AS (SELECT c.*, total FROM c JOIN n USING (parent_type, gender, dress_code) WHERE hits >= greatest(1, ceil(round(total * 0.01, 9))) AND hits * 1.0 / n >= 0.8 AND len(a) <= 7)
+SELECT parent_type, gender, dress_code, array_to_string(a, ',') AS antecedent, hits AS n, round(hits * 1.0 / n, 6) AS confidence FROM r
+WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.parent_type = r.parent_type AND o.gender = r.gender AND o.dress_code = r.dress_code AND len(o.a) > len(r.a) AND list_has_all(o.a, r.a))""")
 def _(t):
-    r = M.association_rules(rule_baskets(t), "items", right=["code-festive", "code-economy", "code-standard", "code-medium", "code-small", "code-large", "code-promo"], confidence=0.5)
-    return r.select(F.array_join("antecedent", ",").alias("antecedent"), F.get("consequent", F.lit(0)).alias("consequent"), F.round("confidence", 6).alias("confidence"), "n").orderBy(F.desc("n"), "antecedent")
+    """Rules for the code of each group, over its products and those of its disjoint groups."""
+    rows, _docs = labelled_items(t)
+    r = RM.grouped_rules(rows, C.GROUP, "items", "class")
+    return r.select(*C.GROUP, F.array_join("antecedent", ",").alias("antecedent"), F.col("hits").alias("n"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("m11_pair_rules", """

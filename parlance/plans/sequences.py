@@ -168,23 +168,24 @@ def _(t):
                                   X.flag(F.col("question_rank") == F.col("last_question")).alias("is_last"))
 
 
-@query("w17_last_n_features", """
-WITH l AS (SELECT sender_id, ts, src, array_to_string(list_reverse(list_reverse(list_filter(list(response_code) OVER w, lambda x: x IS NOT NULL))[1:3]), ',') AS a FROM ck_union
- WINDOW w AS (PARTITION BY sender_id ORDER BY ts, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-p AS (SELECT sender_id, ts, src, CASE WHEN a IS NULL OR a = '' THEN ['None', 'None', 'None'] WHEN len(string_split(a, ',')) = 1 THEN ['None', 'None', a]
- WHEN len(string_split(a, ',')) = 2 THEN ['None', string_split(a, ',')[1], string_split(a, ',')[2]] ELSE string_split(a, ',') END AS l FROM l)
-SELECT sender_id, ts, src, l[1] AS response_code_0, l[2] AS response_code_1, l[3] AS response_code_2 FROM p""")
+LAST = ["response_code", "subvertical", "product_type"]
+LAST_N = ", ".join(f"CASE WHEN coalesce(len({c}_l), 0) >= {3 - j} THEN {c}_l[len({c}_l) - {2 - j}] ELSE 'None' END AS {c}_{j}" for c in LAST for j in range(3))
+
+
+@query("w17_last_n_features", f"""
+WITH l AS (SELECT sender_id, ts, src, {", ".join(f"list_filter(list({c}) OVER w, lambda x: x IS NOT NULL) AS {c}_l" for c in LAST)} FROM ck_union
+ WINDOW w AS (PARTITION BY sender_id ORDER BY ts, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT sender_id, ts, src, {LAST_N} FROM l""")
 def _(t):
-    j = S.interleave(t.fx_user, t.fx_bot).select("sender_id", "ts", "src", "response_code")
-    return S.last_n_features(j, "sender_id", S.ORDER, ["response_code"]).drop("response_code")
+    j = S.interleave(t.fx_user, t.fx_bot).select("sender_id", "ts", "src", *LAST)
+    return S.last_n_features(j, "sender_id", S.ORDER, LAST).drop(*LAST)
 
 
 @query("w18_typing_noise", """
-WITH k AS (SELECT sender_id, ts, x FROM (SELECT *, lead(x) OVER (PARTITION BY sender_id ORDER BY ts) AS nx FROM (SELECT *, substr(text, 1, 1) AS x FROM fx_user)) WHERE nx IS NULL OR NOT contains(nx, x))
+WITH k AS (SELECT sender_id, ts, x FROM (SELECT *, text AS x, lead(text) OVER (PARTITION BY sender_id ORDER BY ts) AS nx FROM fx_user) WHERE nx IS NULL OR NOT contains(nx, x))
 SELECT sender_id, ts, x AS text FROM k WHERE sender_id IN (SELECT sender_id FROM k GROUP BY 1 HAVING count(*) = 1)""")
 def _(t):
-    u = t.fx_user.select("sender_id", "ts", F.substring("text", 1, 1).alias("text"))
-    return S.typing_noise(u, "sender_id", ["ts"], "text")
+    return S.typing_noise(t.fx_user.select("sender_id", "ts", "text"), "sender_id", ["ts"], "text")
 
 
 @query("w19_previous_value", "SELECT sender_id, ts, src, lag_type, lag(ts) OVER (PARTITION BY sender_id ORDER BY ts, src) AS lag_ts FROM ck_jnd")

@@ -63,11 +63,14 @@ def documents_as_lines(t):
 
 
 @query("s07_sentence_lines", r"""
-WITH d AS (SELECT unnest(string_split(text, chr(10) || chr(10))) AS v FROM fx_texts),
-l AS (SELECT list_filter(list_transform(string_split(v, chr(10)), lambda s: trim(s, ' ')), lambda s: s <> '') AS l FROM d)
+WITH d AS (SELECT unnest(regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[ \t\f]*\n\s*')) AS v FROM fx_texts),
+l AS (SELECT list_filter(list_transform(string_split(v, chr(10)), lambda s: trim(s, ' ' || chr(9) || chr(12))), lambda s: s <> '') AS l FROM d)
 SELECT md5(array_to_string(l, chr(10))) AS doc_key, CAST(unnest(range(len(l))) AS INT) AS sent_no, unnest(l) AS text FROM l WHERE len(l) > 0""")
 def _(t):
-    return S.read_sentences(t.spark, documents_as_lines(t))
+    d = S.read_sentences(t.spark, documents_as_lines(t))
+    # the key names a file and place of this run: shown as the document's digest
+    whole = d.groupBy("doc_key").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_no", "text"))), lambda x: x["text"]), "\n")).alias("digest"))
+    return d.join(whole, "doc_key").select(F.col("digest").alias("doc_key"), "sent_no", "text")
 
 
 @query("s08_pair_lines", """

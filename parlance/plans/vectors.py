@@ -89,9 +89,10 @@ def messages(t):
 @query("t04_candidate_set", """
 WITH h AS (SELECT q.q_id, a.text AS own, c.text, c.vec_id AS id, round(list_cosine_similarity(a.v, c.v), 9) AS score FROM ck_query q JOIN ck_msg a ON a.vec_id = q.q_id CROSS JOIN ck_msg c),
 b AS (SELECT q_id, text, max(score) AS score FROM h WHERE text <> own GROUP BY 1, 2),
-s AS (SELECT vec_id AS id FROM ck_msg ORDER BY md5(concat('1:', CAST(vec_id AS VARCHAR))), vec_id LIMIT 10)
+d AS (SELECT *, (q_id % 2147483647 * 48271 + id % 2147483647 * 69621 + 1) % 2147483647 AS x FROM h),
+s AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY (x * 16807 + x * x % 2147483647) % 2147483647, id) AS r FROM d)
 SELECT q_id, text, round(score, 6) AS score, false AS is_random FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, text) AS r FROM b) WHERE r <= 10
-UNION ALL SELECT q_id, text, round(score, 6), true FROM h WHERE id IN (SELECT id FROM s)""")
+UNION ALL SELECT q_id, text, round(score, 6), true FROM s WHERE r <= 10""")
 def _(t):
     m = messages(t)
     return rounded(R.candidate_set(m, ROWS.distinct_by_key(m, ["intent"], ["id"]), 10), "score")
@@ -131,26 +132,25 @@ def _(t):
     return e.select(F.md5("text").alias("text_key"), "encoder", F.size("vector").alias("dims"), F.round(V.norm("vector"), 4).alias("length"))
 
 
-# entities of the checks: the intent, and for even ids the next intent; vectors are
-# the first four numbers of the intent's mean, zeros for the filler
+# entities of the checks: the intent, and for even ids the next one, which for the last
+# intent is a name without a vector; an entity's vector is its intent's mean
 check_view("ck_ent", """
-SELECT concat('i', CAST(intent AS VARCHAR)) AS name, c[1:4] AS e FROM ck_center UNION ALL SELECT '*', [0.0, 0.0, 0.0, 0.0]""")
+SELECT concat('i', CAST(intent AS VARCHAR)) AS name, c AS e FROM ck_center UNION ALL SELECT '*', list_transform(c, lambda x: 0.5) FROM (SELECT c FROM ck_center LIMIT 1)""")
 check_view("ck_fields", """
-SELECT vec_id, intent, v[1:4] AS t, concat('i', CAST(intent AS VARCHAR)) AS f1, CASE WHEN vec_id % 2 = 0 AND intent + 1 IN (SELECT intent FROM ck_center) THEN concat('i', CAST(intent + 1 AS VARCHAR)) ELSE '*' END AS f2 FROM ck_vec""")
+SELECT f.*, a.e AS e1, coalesce(b.e, z.e) AS e2 FROM (
+  SELECT vec_id, intent, v AS t, concat('i', CAST(intent AS VARCHAR)) AS f1, CASE WHEN vec_id % 2 = 0 THEN concat('i', CAST(intent + 1 AS VARCHAR)) ELSE '*' END AS f2 FROM ck_vec) f
+JOIN ck_ent a ON a.name = f1 LEFT JOIN ck_ent b ON b.name = f2 JOIN ck_ent z ON z.name = '*'""")
 
 
 def spec_messages(t):
-    nxt = centers(t).select((F.col("intent") - 1).alias("intent"), F.concat(F.lit("i"), F.col("intent").cast("string")).alias("nxt"))
-    d = vecs(t).join(nxt, "intent", "left").withColumn("vector", F.slice("vector", 1, 4))
-    own = F.concat(F.lit("i"), F.col("intent").cast("string"))
-    second = F.when(F.col("id") % 2 == 0, F.col("nxt"))
-    return d.withColumn("entities", F.array_compact(F.array(own, second))).withColumn("text", F.concat_ws(" ", "entities"))
+    name = lambda i: F.concat(F.lit("i"), i.cast("string"))
+    second = F.when(F.col("id") % 2 == 0, name(F.col("intent") + 1))
+    return vecs(t).withColumn("entities", F.array_compact(F.array(name(F.col("intent")), second))).withColumn("text", F.concat_ws(" ", "entities"))
 
 
 def entity_vectors(t):
-    c = centers(t).select(F.concat(F.lit("i"), F.col("intent").cast("string")).alias("name"), F.slice("center", 1, 4).alias("vector"))
-    star = t.spark.range(1).select(F.lit("*").alias("name"), F.array_repeat(F.lit(0.0), 4).alias("vector"))
-    return c.unionByName(star)
+    c = centers(t).select(F.concat(F.lit("i"), F.col("intent").cast("string")).alias("name"), F.col("center").alias("vector"))
+    return c.unionByName(c.limit(1).select(F.lit("*").alias("name"), F.transform("vector", lambda x: F.lit(0.5)).alias("vector")))
 
 
 def dims(df):
@@ -160,56 +160,55 @@ def dims(df):
 
 DIMS = "SELECT vec_id, CAST(dim AS INT) AS dim, round(v, 6) AS v FROM (SELECT vec_id, unnest(v) AS v, unnest(range(len(v))) AS dim FROM ({}))"
 FIELDS = R.VectorSpec(fields=(("entities", 2),))
+MEAN = R.VectorSpec(fields=(("entities", 2),), mean=True)
+COUNTS = R.VectorSpec(fields=(("entities", 2),), counts=True, text_length=True)
+SPEC_SQL = {
+    "text": "SELECT vec_id, t AS v FROM ck_fields",
+    "fields": "SELECT vec_id, list_concat(t, list_concat(e1, e2)) AS v FROM ck_fields",
+    "mean": "SELECT vec_id, list_concat(t, CASE WHEN f2 = '*' THEN e1 ELSE list_transform(e1, lambda x, i: (x + e2[i]) / 2) END) AS v FROM ck_fields",
+    "counts": "SELECT vec_id, list_concat(t, list_concat(list_concat(e1, e2), CASE WHEN f2 = '*' THEN [1.0, 1.0] ELSE [2.0, 2.0] END)) AS v FROM ck_fields",
+}
 
 
-@query("v06_concat_fields", DIMS.format("""
-SELECT vec_id, list_concat(t, list_concat(a.e, b.e)) AS v FROM ck_fields JOIN ck_ent a ON a.name = f1 JOIN ck_ent b ON b.name = f2"""))
+@query("v06_concat_fields", DIMS.format(SPEC_SQL["fields"]))
 def _(t):
     return dims(R.message_vectors(spec_messages(t), "id", entity_vectors(t), FIELDS))
 
 
-@query("v07_mean_entities", DIMS.format("""
-SELECT vec_id, list_concat(t, CASE WHEN f2 = '*' THEN a.e ELSE [(a.e[1] + b.e[1]) / 2, (a.e[2] + b.e[2]) / 2, (a.e[3] + b.e[3]) / 2, (a.e[4] + b.e[4]) / 2] END) AS v FROM ck_fields JOIN ck_ent a ON a.name = f1 JOIN ck_ent b ON b.name = f2"""))
+@query("v07_mean_entities", DIMS.format(SPEC_SQL["mean"]))
 def _(t):
-    return dims(R.message_vectors(spec_messages(t), "id", entity_vectors(t), R.VectorSpec(fields=(("entities", 2),), mean=True)))
+    return dims(R.message_vectors(spec_messages(t), "id", entity_vectors(t), MEAN))
 
 
-@query("v08_counts_as_dims", DIMS.format("""
-SELECT vec_id, list_concat(t, [CASE WHEN f2 = '*' THEN 1.0 ELSE 2.0 END, CASE WHEN f2 = '*' THEN 1.0 ELSE 2.0 END]) AS v FROM ck_fields"""))
+@query("v08_counts_as_dims", DIMS.format(SPEC_SQL["counts"]))
 def _(t):
-    m = spec_messages(t)
-    v = R.message_vectors(m, "id", entity_vectors(t), R.VectorSpec(fields=(("entities", 2),), counts=True, text_length=True))
-    # text vector, then sizes; the field vectors in between are V06
-    return dims(v.withColumn("vector", F.concat(F.slice("vector", 1, 4), F.slice("vector", -2, 2))))
+    return dims(R.message_vectors(spec_messages(t), "id", entity_vectors(t), COUNTS))
 
 
-@query("v12_message_vector_spec", """
-SELECT f AS spec, count(*) AS n, min(d) AS lo, max(d) AS hi FROM (
-SELECT 'text' AS f, 4 AS d FROM ck_fields UNION ALL SELECT 'fields', 12 FROM ck_fields UNION ALL SELECT 'mean', 8 FROM ck_fields UNION ALL SELECT 'counts', 13 FROM ck_fields) GROUP BY 1""")
+@query("v12_message_vector_spec", "SELECT spec, vec_id, len(v) AS n, round(list_sum(v), 5) AS total FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS spec, * FROM ({q})" for k, q in SPEC_SQL.items()) + ")")
 def _(t):
-    specs = {"text": R.VectorSpec(), "fields": FIELDS, "mean": R.VectorSpec(fields=(("entities", 2),), mean=True),
-             "counts": R.VectorSpec(fields=(("entities", 2),), counts=True)}
     m, e, out = spec_messages(t), entity_vectors(t), None
-    for name, s in specs.items():
-        n = F.size("vector")
-        one = R.message_vectors(m, "id", e, s).agg(F.lit(name).alias("spec"), F.count(F.lit(1)).alias("n"), F.min(n).alias("lo"), F.max(n).alias("hi"))
+    for name, s in {"text": R.VectorSpec(), "fields": FIELDS, "mean": MEAN, "counts": COUNTS}.items():
+        total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+        one = R.message_vectors(m, "id", e, s).select(F.lit(name).alias("spec"), F.col("id").alias("vec_id"), F.size("vector").cast("long").alias("n"), F.round(total, 5).alias("total"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-check_view("ck_tok", "SELECT intent, vec_id, CAST(vec_id % 5 <> 0 AS INT) AS mask, v[1:8] AS v FROM ck_vec")
-POOL = """SELECT intent, dim, {} AS x FROM (SELECT intent, vec_id, unnest(v) AS v, unnest(range(8)) AS dim FROM ck_tok WHERE mask = 1) GROUP BY 1, 2"""
+check_view("ck_tok", "SELECT intent, vec_id, CAST(vec_id % 5 <> 0 AS INT) AS mask, v FROM ck_vec")
+POOL = """SELECT intent, dim, {} AS x FROM (SELECT intent, vec_id, unnest(v) AS v, unnest(range(len(v))) AS dim FROM ck_tok WHERE mask = 1) GROUP BY 1, 2"""
 
 
 @query("v09_pooling", f"""
 SELECT how, intent, CAST(dim AS INT) AS dim, round(x, 6) AS v FROM (
 SELECT 'mean' AS how, * FROM ({POOL.format('avg(v)')}) UNION ALL SELECT 'max', * FROM ({POOL.format('max(v)')})
-UNION ALL SELECT 'mean+max', * FROM ({POOL.format('avg(v)')}) UNION ALL SELECT 'mean+max', intent, dim + 8, x FROM ({POOL.format('max(v)')})
-UNION ALL SELECT 'first', * FROM ({POOL.format('arg_min(v, vec_id)')}) UNION ALL SELECT 'last', * FROM ({POOL.format('arg_max(v, vec_id)')}))""")
+UNION ALL SELECT 'mean+max', * FROM ({POOL.format('avg(v)')}) UNION ALL SELECT 'mean+max', intent, dim + (SELECT max(len(v)) FROM ck_tok), x FROM ({POOL.format('max(v)')})
+UNION ALL SELECT 'first', * FROM ({POOL.format('arg_min(v, vec_id)')}) UNION ALL SELECT 'last', * FROM ({POOL.format('arg_max(v, vec_id)')})
+UNION ALL SELECT 'none', intent, row_number() OVER (PARTITION BY intent ORDER BY vec_id, dim) - 1, v FROM (SELECT intent, vec_id, unnest(v) AS v, unnest(range(len(v))) AS dim FROM ck_tok WHERE mask = 1))""")
 def _(t):
-    tok = vecs(t).select("intent", "id", (F.col("id") % 5 != 0).cast("int").alias("mask"), F.slice("vector", 1, 8).alias("vector"))
+    tok = vecs(t).select("intent", "id", (F.col("id") % 5 != 0).cast("int").alias("mask"), "vector")
     out = None
-    for how in ("mean", "max", "mean+max", "first", "last"):
+    for how in ("mean", "max", "mean+max", "first", "last", "none"):
         p = R.pooled(tok, "intent", "id", "vector", "mask", how).select(F.lit(how).alias("how"), "intent", F.posexplode(F.col("vector").cast("array<double>")).alias("dim", "v"))
         out = p if out is None else out.unionByName(p)
     return rounded(out, "v")
@@ -218,7 +217,7 @@ def _(t):
 N_QUERIES = 40
 check_view("ck_eval_q", f"SELECT vec_id, intent, v FROM ck_vec ORDER BY md5(concat('1:', CAST(vec_id AS VARCHAR))), vec_id LIMIT {N_QUERIES}")
 check_view("ck_eval_p", """
-SELECT q.vec_id AS q_id, c.vec_id AS id, q.intent, CAST(q.intent = c.intent AS INT) AS same, round(1 - acos(least(1, greatest(-1, round(list_cosine_similarity(q.v, c.v), 9)))), 6) AS score
+SELECT q.vec_id AS q_id, c.vec_id AS id, q.intent, CAST(q.intent = c.intent AS INT) AS same, round(1 - acos(least(1, greatest(-1, round(list_cosine_similarity(q.v, c.v), 9)))), 9) AS score
 FROM ck_eval_q q CROSS JOIN ck_vec c WHERE c.vec_id NOT IN (SELECT vec_id FROM ck_eval_q)""")
 CUM = """SELECT {g}score, n, tp, sum(n) OVER w AS cum_n, sum(tp) OVER w AS cum_tp, sum(n) OVER ({p}) AS total_n, sum(tp) OVER ({p}) AS total_tp FROM (SELECT {g}score, count(*) AS n, sum(same) AS tp FROM {src} GROUP BY ALL) WINDOW w AS ({p} ORDER BY score DESC)"""
 AP = "sum(tp * 1.0 / nullif(total_tp, 0) * cum_tp / cum_n)"

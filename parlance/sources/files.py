@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +31,17 @@ def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replace a stored table by the result, also when the result reads that table:
-    then it is staged first, because an overwrite would delete its own input."""
-    spark = df.sparkSession
-    if any(path.rstrip("/") + "/" in f for f in df.inputFiles()):
-        stage = scratch(spark)
-        df.write.parquet(stage)
-        df = spark.read.parquet(stage)
-    df.write.mode("overwrite").parquet(path)
+    """Replace a stored table by the result, also when the result reads that table: the
+    result is written beside it, once, and takes its place when it is whole."""
+    path = path.rstrip("/")
+    stage = f"{path}_{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    sc = df.sparkSession.sparkContext
+    old, new = (sc._jvm.org.apache.hadoop.fs.Path(p) for p in (path, stage))
+    fs = old.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{stage} could not take the place of {path}")
 
 
 def write_groups(df: DataFrame, keys: list[str], path: str) -> None:
@@ -58,13 +67,53 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(offsets, ["_file", "_at"]).select((F.col("_off") + F.col("_id") - F.col("_first")).alias("line_no"), "value")
 
 
+def _line_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within each file block: the blank lines before every line, and its number among the
+    other lines since the last of them.  Rows of a block come in file order."""
+    block, breaks, since = None, 0, 0
+    for b in batches:
+        text = pc.ascii_trim_whitespace(b.column("value"))
+        blank = pc.equal(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        keys = list(zip(b.column("file").to_pylist(), b.column("at").to_pylist()))
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        before, number = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo == hi:
+                continue
+            if keys[lo] != block:
+                block, breaks, since = keys[lo], 0, 0
+            gaps = np.cumsum(blank[lo:hi])
+            lines = np.cumsum(~blank[lo:hi]) + since
+            # lines counted up to the last blank line
+            start = np.maximum.accumulate(np.where(blank[lo:hi], lines, 0))
+            before[lo:hi], number[lo:hi] = breaks + gaps, lines - start - 1
+            breaks, since = breaks + int(gaps[-1]), int(lines[-1] - start[-1])
+        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("at"), text, pa.array(blank), pa.array(before), pa.array(number)], names=["file", "at", "text", "blank", "breaks", "number"])
+
+
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_key, sent_no, text) of files with a sentence per line and a blank line
-    between documents.  Blank-line separated records keep the files splittable."""
-    docs = spark.read.option("lineSep", "\n\n").text(path)
-    lines = F.filter(F.transform(F.split("value", "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    docs = docs.select(lines.alias("l")).where(F.size("l") > 0)
-    return docs.select(F.md5(F.array_join("l", "\n")).alias("doc_key"), F.posexplode("l").alias("sent_no", "text"))
+    """(doc_key, sent_no, text) of files with a sentence per line and a blank line between
+    documents; lines end with \\n, \\r\\n or \\r, and a line of white space is blank.
+
+    Files stay splittable and lines are not shuffled: a task counts blank lines and
+    sentences in its file blocks, and what a block takes over from the blocks before it
+    comes from a table with one row for each block.  ``doc_key`` names the file and the
+    place in it, so equal documents differ.  Text without a blank line is one document; an
+    empty file has none."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.mapInArrow(_line_blocks, "file string, at long, text string, blank boolean, breaks long, number long")
+    told = lines.groupBy("file", "at").agg(F.max("breaks").alias("n_breaks"), F.count_if(~F.col("blank")).alias("n_lines"),
+                                           F.max(F.when(~F.col("blank"), F.struct("breaks", "number"))).alias("last"))
+    # sentences at the end of a block that a next block goes on with
+    tail = F.when(F.col("last.breaks") == F.col("n_breaks"), F.col("last.number") + 1).otherwise(0)
+    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumns({"base": F.coalesce(F.sum("n_breaks").over(w), F.lit(0)), "seen": F.coalesce(F.sum("n_lines").over(w), F.lit(0))})
+    closed = F.when(F.col("n_breaks") > 0, F.col("seen") + F.col("n_lines") - tail)
+    told = told.withColumn("carry", F.col("seen") - F.coalesce(F.last(closed, ignorenulls=True).over(w), F.lit(0))).select("file", "at", "base", "carry")
+    # one row for each block of the input
+    d = lines.where(~F.col("blank")).join(told, ["file", "at"])
+    return d.select(F.concat_ws("#", "file", F.col("base") + F.col("breaks")).alias("doc_key"),
+                    (F.col("number") + F.when(F.col("breaks") == 0, F.col("carry")).otherwise(0)).cast("int").alias("sent_no"), "text")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -154,10 +203,11 @@ def read_qa(spark: SparkSession, path: str, multiline: bool = False) -> DataFram
 # --- stores -----------------------------------------------------------------------
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest version of every key: new rows replace stored ones."""
+    """One row per key: a new row replaces a stored one, whatever their versions; of several
+    new rows the highest version stays."""
     from parlance.functions.scan import top_per_key
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return top_per_key(both, keys, [F.desc(version), F.desc("_new")], 1, "_r").drop("_r", "_new")
+    return top_per_key(both, keys, [F.desc("_new"), F.desc(version)], 1, "_r").drop("_r", "_new")
 
 
 def append_results(df: DataFrame, path: str) -> None:

@@ -150,7 +150,7 @@ def test_association_rules(spark):
             base = sum(set(a) <= set(b) for b in baskets)
             if base and k >= math.ceil(sup * len(baskets)) and k / base >= conf:
                 rules[a] = k
-    want = {a: k for a, k in rules.items() if not any(set(a) < set(b) and len(b) == len(a) + 1 for b in rules)}
+    want = {a: k for a, k in rules.items() if not any(set(a) < set(b) for b in rules)}
     got = {tuple(r.antecedent): r.n for r in M.association_rules(df, "items", right=["z"], support=sup, confidence=conf).collect()}
     assert got == want
 
@@ -224,3 +224,94 @@ def test_tighten(spark):
     df = spark.createDataFrame([(1, ["(", "1895", "-", "1943", ")"], 0, 4), (2, ["a", "b"], 0, 1)], "id int, t array<string>, s int, e int")
     got = [(r.s, r.e) for r in J.tighten(df, "t", "s", "e", F.lit("1895")).orderBy("id").collect()]
     assert got == [(1, 1), (0, 1)]
+
+
+@pytest.mark.parametrize("only_maximal", [True, False])
+def test_rules_per_group_equal_brute_force(spark, only_maximal):
+    from parlance.operators.rule_mining import grouped_rules
+    rnd = random.Random(4)
+    rows = [(g, [x for x, p in zip("abcdef", (0.7, 0.6, 0.5, 0.4, 0.3, 0.2)) if rnd.random() < p] + (["a", None] if i % 9 == 0 else []), int(rnd.random() < 0.4))
+            for g in ("x", "y", None) for i in range(60)] + [("none", [], 1), ("none", None, None)]
+    sup, conf, want = 0.05, 0.4, set()
+    for g in {r[0] for r in rows}:
+        own = [({x for x in items or [] if x}, hit) for k, items, hit in rows if k == g]
+        rules = {}
+        for n in range(1, 5):
+            for a in itertools.combinations("abcdef", n):
+                n_a = [hit for b, hit in own if set(a) <= b]
+                if sum(n_a) >= max(1, math.ceil(round(sup * len(own), 9))) and sum(n_a) / len(n_a) >= conf:
+                    rules[a] = (len(n_a), sum(n_a))
+        want |= {(g, a, *v) for a, v in rules.items() if not only_maximal or not any(set(a) < set(b) for b in rules)}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "g string, items array<string>, hit int, n int")
+    got = grouped_rules(df, ["g"], "items", "hit", sup, conf, longest=5, only_maximal=only_maximal)
+    assert {(r.g, tuple(r.antecedent), r.n, r.hits) for r in got.collect()} == want and len(want) > 10
+    assert grouped_rules(df.limit(0), ["g"], "items", "hit").count() == 0
+
+
+def test_maximal_rules_skip_sizes(spark):
+    """A rule inside one that is two items longer goes, even if none lies between."""
+    from parlance.operators.rule_mining import maximal
+    df = spark.createDataFrame([("g", ["a"]), ("g", ["a", "b", "c"]), ("h", ["a"]), ("g", ["b", "d"])], "g string, l array<string>")
+    assert {(r.g, *r.l) for r in maximal(df, ["g"], "l").collect()} == {("g", "a", "b", "c"), ("h", "a"), ("g", "b", "d")}
+
+
+def test_sentence_files(spark, tmp_path):
+    from parlance.sources.files import read_sentences
+    (tmp_path / "a.txt").write_bytes(b"one\n \ntwo\r\nthree\r\n\r\n\t\r\nfour")
+    (tmp_path / "b.txt").write_bytes(b"\n\none\n\none\n")
+    (tmp_path / "c.txt").write_bytes(b"")
+    rows = read_sentences(spark, str(tmp_path)).collect()
+    docs = {}
+    for r in sorted(rows, key=lambda r: r.sent_no):
+        docs.setdefault(r.doc_key, []).append((r.sent_no, r.text))
+    assert sorted(docs.values()) == sorted([[(0, "one")], [(0, "two"), (1, "three")], [(0, "four")], [(0, "one")], [(0, "one")]])
+
+
+def test_sentences_across_file_blocks(spark, tmp_path):
+    """Documents that begin in one block and go on in others, with small blocks."""
+    from parlance.sources.files import read_sentences
+    rnd = random.Random(8)
+    lines = ["" if rnd.random() < 0.1 else f"line {i} " + "x" * rnd.randrange(40) for i in range(2000)] + [f"tail {i}" for i in range(500)]
+    (tmp_path / "t.txt").write_text("\n".join(lines))
+    want, doc = [], []
+    for x in [*lines, ""]:
+        if x.strip():
+            doc.append(x.strip())
+        elif doc:
+            want += [(i, s) for i, s in enumerate(doc)]
+            doc = []
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        rows = read_sentences(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.sent_no, r.text) for r in rows) == sorted(want)
+    assert len({r.doc_key for r in rows}) == sum(i == 0 for i, _ in want)
+
+
+def test_new_row_replaces_a_higher_version(spark):
+    from parlance.sources.files import upsert
+    old = spark.createDataFrame([(1, 9, "old"), (2, 1, "stays")], "k int, v int, x string")
+    new = spark.createDataFrame([(1, 2, "new"), (1, 3, "newest"), (3, 1, "added")], "k int, v int, x string")
+    assert {(r.k, r.v, r.x) for r in upsert(old, new, ["k"], "v").collect()} == {(1, 3, "newest"), (2, 1, "stays"), (3, 1, "added")}
+
+
+def test_names_without_vector_keep_the_length(spark):
+    m = spark.createDataFrame([(1, [1.0, 2.0], ["a", "zzz"]), (2, [3.0, 4.0], None)], "id int, vector array<double>, f array<string>")
+    v = spark.createDataFrame([("a", [5.0, 6.0]), ("*", [0.0, 8.0])], "name string, vector array<double>")
+    got = {r.id: r.vector for r in R.message_vectors(m, "id", v, R.VectorSpec(fields=(("f", 2),))).collect()}
+    assert got == {1: [1, 2, 5, 6, 0, 8], 2: [3, 4, 0, 8, 0, 8]}
+    mean = {r.id: r.vector for r in R.message_vectors(m, "id", v, R.VectorSpec(fields=(("f", 2),), mean=True)).collect()}
+    assert mean == {1: [1, 2, 2.5, 7], 2: [3, 4, 0, 8]}
+
+
+def test_candidates_are_drawn_per_query(spark):
+    c = spark.createDataFrame([(i, [float(i % 7), 1.0], f"t{i % 40}") for i in range(200)] + [(500, [1.0, 1.0], None)], "id long, vector array<double>, text string")
+    q = c.where("id < 5")
+    rows = R.candidate_set(c, q, 8).collect()
+    drawn = {k: sorted(r.text for r in rows if r.q_id == k and r.is_random) for k in range(5)}
+    assert all(len(v) == 8 for v in drawn.values()) and len({tuple(v) for v in drawn.values()}) == 5
+    for k in range(5):
+        top = [r.text for r in rows if r.q_id == k and not r.is_random]
+        assert len(top) == len(set(top)) == 8 and f"t{k}" not in top

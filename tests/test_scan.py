@@ -104,3 +104,23 @@ def test_large_keys_give_one_row(spark, monkeypatch):
     texts = registry.QUERIES["a45_collect_texts"](spark, "").collect()
     assert [(r.chunk, r.texts) for r in texts] == [(0, "|".join(map(str, range(10_500))))]
     assert [tuple(r) for r in registry.QUERIES["p35_count_actions"](spark, "").collect()] == [("u", 0, 2000, 500)]
+
+
+@pytest.mark.parametrize("hot", [10**9, 20])
+def test_last_n_of_three_columns_in_one_scan(spark, hot):
+    import random
+    rnd = random.Random(2)
+    rows = [(i % 3, i, *[rnd.choice(["a", "b", "c", None, None]) for _ in range(3)]) for i in range(150)] + [(None, i, None, "x", None) for i in range(4)]
+    df = spark.createDataFrame(rows, "k int, t int, u string, v string, w string")
+    out = Q.last_n_features(df, "k", ["t"], ["u", "v", "w"], hot_rows=hot)
+    got = {(r.k, r.t): [r[f"{c}_{j}"] for c in "uvw" for j in range(3)] for r in out.collect()}
+    for k, t, *_ in rows:
+        before = [r for r in sorted(rows, key=lambda r: r[1]) if r[0] == k and r[1] < t]
+        want = []
+        for c in range(2, 5):
+            known = [r[c] for r in before if r[c] is not None][-3:]
+            want += ["None"] * (3 - len(known)) + known
+        assert got[k, t] == want
+    assert len(got) == len(rows)
+    if hot == 10**9:
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
