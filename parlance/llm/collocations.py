@@ -11,8 +11,9 @@ never beat the edge around it.
 Pieces are first cut where a pair of words cannot be frequent.  A pass over the texts sums
 pairs and words in a table of hashed buckets of fixed size: a bucket below the least count
 proves all its pairs rare, and no frequent phrase holds a rare pair.  Cutting there turns
-the pair's word into a piece end and changes no frequent count; full buckets only mean
-fewer cuts.  Words are told apart by their bytes, never by a hash.
+the pair's word into a piece end and changes no frequent count.  The more text, the fuller
+the buckets and the fewer the cuts; at worst every run of N words is shuffled once.  Words
+are told apart by their bytes, never by a hash.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from parlance.functions.scan import top_per_key
 from parlance.llm.text_hash import mix, word_hashes
 from parlance.session import pinned
 
-BUCKETS, RANGE = 1 << 24, 1 << 16  # of the table of pairs and words: 2 MB as bits
+BUCKETS, RANGE = 1 << 27, 1 << 16  # of the table of pairs and words: 16 MB as bits
 CHUNK = 8 << 20  # bytes of text of one language that are counted together
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,21 +93,29 @@ def _chunks(batches, buckets: int, most: int) -> Iterator[tuple[str, Chunk]]:
         yield k, Chunk(held.pop(k), k, buckets)
 
 
+def _small(least: int) -> np.dtype:
+    """Counts stop at ``least``, so a bucket takes a byte where that fits."""
+    return np.dtype("u1" if least < 1 << 8 else "<u4")
+
+
 def _bucket_sums(least: int, buckets: int, chunk: int):
     """Counts by bucket, up to ``least``, in compressed ranges; and the words by language."""
     def run(batches):
-        table, words = np.zeros(buckets, np.uint32), {}
+        table, words = np.zeros(buckets, _small(least)), {}
         for lang, c in _chunks(batches, buckets, chunk):
             words[lang] = words.get(lang, 0) + len(c.ids)
-            np.add.at(table, c.word_buckets(), np.bincount(c.ids, minlength=len(c.words)).astype(np.uint32))
-            np.add.at(table, c.pair_buckets(np.flatnonzero(c.next_in_piece)), 1)
+            at, inverse = np.unique(c.word_buckets(), return_inverse=True)
+            seen = np.bincount(inverse, np.bincount(c.ids, minlength=len(c.words)), len(at)).astype(np.int64)
+            for u, n in ((at, seen), np.unique(c.pair_buckets(np.flatnonzero(c.next_in_piece)), return_counts=True)):
+                table[u] = np.minimum(table[u] + n, least)
         out = [(-1, k.encode(), n) for k, n in words.items()]
         if words:
             for r in range(-(-buckets // RANGE)):
-                part = np.minimum(table[r * RANGE: (r + 1) * RANGE], min(least, 2**31)).astype("<u4")
+                part = table[r * RANGE: (r + 1) * RANGE]
                 if part.any():
                     out.append((r, zlib.compress(part.tobytes(), 1), 0))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], names=["range", "data", "n"])
+        for i in range(0, max(len(out), 1), 256):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out[i: i + 256]], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.int64()))], names=["range", "data", "n"])
     return run
 
 
@@ -116,7 +125,7 @@ def _full_ranges(least: int):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for r, data in zip(b.column("range").to_pylist(), b.column("data")):
-                part = np.frombuffer(zlib.decompress(data.as_py()), "<u4").astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(data.as_py()), _small(least)).astype(np.uint64)
                 sums[r] = sums[r] + part if r in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(s >= least).tobytes() for s in sums.values()], pa.binary())], names=["range", "bits"])
     return run
@@ -131,19 +140,20 @@ def _joined(c: Chunk, at: np.ndarray, k: int) -> pa.Array:
 def _grams(bits: bytes, longest: int, buckets: int, chunk: int):
     """Edges (``longest`` words) and piece ends (fewer) of each chunk with their counts."""
     def run(batches):
-        full = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        packed = np.frombuffer(bits, np.uint8)
+        full = lambda at: (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
         for lang, c in _chunks(batches, buckets, chunk):
             n = len(c.ids)
             if not n:
                 continue
             at = np.flatnonzero(c.next_in_piece)
             link = np.zeros(n, bool)
-            link[at] = full[c.pair_buckets(at)]
+            link[at] = full(c.pair_buckets(at))
             ends = ~link
             begins = np.concatenate(([True], ends[:-1]))
             first = np.flatnonzero(begins)
             length = np.flatnonzero(ends) - first + 1  # of each run of linked words
-            common = full[c.word_buckets()]
+            common = full(c.word_buckets())
             out = []
 
             def count(key: np.ndarray, place: np.ndarray, k: int):
