@@ -27,21 +27,41 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from parlance.llm.units import Units, groups
-from parlance.session import pinned, scratch
+from parlance.session import scratch
 
 PIECE = 2048  # characters, then bytes, of a training piece
 SAMPLE, DICTIONARY = 2000, 64 << 10  # training pieces and bytes of the dictionary: both bounded
 SHARD = 8 << 20  # bytes of frames after which a shard ends
 LEVEL = 3
+SPACE = "\u0120"  # how byte-level vocabularies write a space
 
 
 class _Ids:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.units = Units(self._learn)
+        # tokens that begin with a space, which stands at the start of a unit only
+        self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
 
     def _learn(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        """Units with a leading space are encoded as one text and cut before the tokens
+        that begin with it; the library sees them as it does in a text."""
+        out: list[bytes] = [b""] * len(units)
+        joined = [i for i, u in enumerate(units) if u[:1] == " " and " " not in u[1:]]
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([units[i] for i in joined])], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) == len(joined) and cuts[0] == 0:
+                data, ends = ids.tobytes(), [*(cuts[1:] * 4).tolist(), len(ids) * 4]
+                for i, a, b in zip(joined, [0, *ends], ends):
+                    out[i] = data[a:b]
+            else:  # a tokenizer that joins or drops spaces
+                joined = []
+        rest = sorted(set(range(len(units))).difference(joined))
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i] for i in rest], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         return [b"".join(v) + end for v in self.units.values(texts)]
@@ -68,7 +88,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
     least hash: a bounded sample spread over the whole corpus.  It decides the size of the
     files only, never their content.  Too little text gives the empty dictionary."""
     h = F.xxhash64("doc_id", "text")
-    # a piece starts anywhere in its text
+    # a piece starts anywhere in its text; the rows are counted from the files' metadata
     part = F.substring("text", F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - PIECE + 1, F.lit(1))).cast("int") + 1, F.lit(PIECE))
     some = docs.where(F.length("text") > 0).where(F.pmod(h, F.lit(max(1, docs.count()))) < 2 * SAMPLE)  # about 2 x SAMPLE rows, however many there are
     sample = some.select(h.alias("h"), part.alias("t")).orderBy("h", "t").limit(SAMPLE)
@@ -101,11 +121,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
         press = _codec(dictionary)[0]
         for b in batches:
             for at, part in groups(b.column("text")):
-                ids = _ids(tokenizer_path).encode(part, end)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                                  pa.array([press.compress(x) for x in ids], pa.binary())], names=["doc_id", "n", "frame"])
+                for doc_id, x in zip(b.column("doc_id").slice(at, len(part)).to_pylist(), _ids(tokenizer_path).encode(part, end)):
+                    yield doc_id, len(x) // 4, press.compress(x)
 
-    frames = pinned(rows.mapInArrow(encode, f"doc_id {kind}, n long, frame binary"))
     sha, names = _sha(dictionary), ["range", "shard", "dict_sha256", "doc_ids", "before", "counts", "offsets", "frames"]
 
     def shards(batches):
@@ -122,21 +140,22 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
         types = [pa.int32(), pa.int32(), pa.string(), pa.list_(id_type), *[pa.list_(pa.int64())] * 3, pa.binary()]
-        for b in batches:
-            for x in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), (v.as_py() for v in b.column("frame"))):
-                part.append(x)
-                size += len(x[2])
-                if size >= SHARD:
-                    yield row()
-                    part, size = [], 0
+        for x in encode(batches):
+            part.append(x)
+            size += len(x[2])
+            if size >= SHARD:
+                yield row()
+                part, size = [], 0
         if part:
             yield row()
 
     from pyspark.sql.pandas.types import to_arrow_type
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("frame")]
-    ranged = frames.repartitionByRange(partitions, *order) if partitions else frames.repartitionByRange(*order)
-    (ranged.sortWithinPartitions(*order)
+    # the bounds are sampled through the driver: short keys only
+    rows = rows.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
+    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    (ranged.sortWithinPartitions(*keys, "text").select("doc_id", "text")
      .mapInArrow(shards, f"range int, shard int, dict_sha256 string, doc_ids array<{kind}>, before array<long>, counts array<long>, offsets array<long>, frames binary")
      .write.parquet(f"{path}/shards"))
     spark.createDataFrame([(bytearray(dictionary), sha, end_id)], "data binary, sha256 string, end_id long").write.parquet(f"{path}/dictionary")

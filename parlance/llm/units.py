@@ -3,18 +3,21 @@
 Where a single space stands between two characters that are not white space, no
 tokenizer used here joins or looks across the boundary before that space.  A text is
 therefore the row of its units, and what a tokenizer makes of a unit is kept for later
-texts of the same task.  The kept units are bounded; forgetting one costs time only.
+texts of the same task.  The kept units are bounded in bytes; forgetting one costs time
+only.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 LONGEST = 64  # characters of a unit that is kept
+ENTRY = 160  # bytes of a dictionary entry and its value
 
 
 class Units:
@@ -23,8 +26,8 @@ class Units:
     A unit's text holds its leading space, the first unit of a text has none.  Inside, the
     part after the space is the key, and a first unit has a space behind it."""
 
-    def __init__(self, learn: Callable[[list[str]], list], most: int = 900_000):
-        self.learn, self.half = learn, most // 2
+    def __init__(self, learn: Callable[[list[str]], list], memory: int = 128 << 20):
+        self.learn, self.half, self.size = learn, memory // 2, 0  # bytes, of known
         self.known: dict = {}
         self.older: dict = {}
 
@@ -38,6 +41,7 @@ class Units:
         for k in list(new):
             if k in self.older:
                 self.known[k] = self.older[k]
+                self.size += ENTRY + getsizeof(k)
                 new.discard(k)
         bad = {k for k in new if not (bare := k[:-1] if k[-1:] == " " else k) or bare[0].isspace() or bare[-1].isspace()}
         if bad:  # white space beside a space, or at an end
@@ -52,12 +56,14 @@ class Units:
                 self.known[k] = v
                 if len(k) > LONGEST:
                     long.append(k)
+                else:
+                    self.size += ENTRY + getsizeof(k)
         get = self.known.__getitem__
         out = [odd[i] if i in odd else list(map(get, keys)) for i, keys in enumerate(rows)]
         for k in long:
             del self.known[k]
-        if len(self.known) > self.half:
-            self.older, self.known = self.known, {}
+        if self.size > self.half:
+            self.older, self.known, self.size = self.known, {}, 0
         return out
 
 

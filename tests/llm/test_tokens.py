@@ -41,7 +41,7 @@ def test_counts_equal_library():
 
 
 def test_units_forget_without_harm():
-    units = Units(lambda us: us, most=4)
+    units = Units(lambda us: us, memory=1000)
     rows = [" ".join(f"w{i} v{j}" for i in range(9)) for j in range(5)] + ["", "  two  spaces ", "x" * 100]
     for _ in range(2):
         assert ["".join(v) for v in units.values(rows)] == rows
