@@ -1,19 +1,19 @@
 """Phrase collocations from a weighted De Bruijn graph of word n-grams.
 
-Nodes are runs of N-1 words, edges runs of N words: two nodes that overlap.  Only edges are
-counted, and, for every piece of text, what its end adds.  The shorter counts follow from
-the flow through the nodes: a run of k words is followed by a word (then some run of k+1
-words begins with it) or ends its piece, so its count is the flow of the runs it begins plus
-the ends.  Edges of equal weight joined by nodes that nothing else enters or leaves are
-compacted to paths by pointer doubling; a path has one weight, and a node inside it can
-never beat the edge around it.
-
-Pieces are first cut where a pair of words cannot be frequent.  A pass over the texts sums
-pairs and words in a table of hashed buckets of fixed size: a bucket below the least count
-proves all its pairs rare, and no frequent phrase holds a rare pair.  Cutting there turns
-the pair's word into a piece end and changes no frequent count.  The more text, the fuller
-the buckets and the fewer the cuts; at worst every run of N words is shuffled once.  Words
-are told apart by their bytes, never by a hash.
+Nodes are runs of N-1 words, edges runs of N words: two nodes that overlap.  Counted are
+edges and, where no edge begins, the shorter run that ends there: at the end of a piece of
+text, or where the next word makes a run that cannot be frequent.  The shorter counts
+follow from the flow through the nodes: a run of k words is followed by a word, and then
+some run of k+1 words begins with it, or it ends; so its count is the flow of the runs it
+begins plus the ends.  Edges of equal weight joined by nodes that nothing else enters or
+leaves are compacted to paths by pointer doubling; a path has one weight, and a node inside
+it can never beat the edge around it.
+
+That a run cannot be frequent is proved by a table of hashed buckets of fixed size, in which
+a pass over the texts counts all runs of two and of three words: a bucket below the least
+count holds rare runs only, and no frequent phrase has a rare part.  Ending a run there
+changes no frequent count.  The more text, the fuller the buckets and the longer the runs;
+at worst every edge is shuffled once.  Words are told apart by their bytes, never by a hash.
 """
 
 from __future__ import annotations
@@ -32,15 +32,15 @@ from parlance.functions.scan import top_per_key
 from parlance.llm.text_hash import mix, word_hashes
 from parlance.session import pinned
 
-BUCKETS, RANGE = 1 << 27, 1 << 16  # of the table of pairs and words: 16 MB as bits
-CHUNK = 8 << 20  # bytes of text of one language that are counted together
+BUCKETS, RANGE = 1 << 26, 1 << 16  # of the table of rare runs: 8 MB as bits
+CHUNK = 4 << 20  # bytes of text of one language that are counted together
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CUT, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _CUT[[10, 11, 12, 13, *b".,;:!?"]] = True
 _GAP[[9, 32]] = True
 _GAP |= _CUT
-_TO_FIRST, _TO_SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_TO_FIRST = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Chunk:
@@ -64,14 +64,16 @@ class Chunk:
         self.buckets = np.uint64(buckets)
         self.salt = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
-    def word_buckets(self) -> np.ndarray:
-        """Bucket of each distinct word."""
-        return (mix(self.hashes * _TO_SECOND + self.salt) % self.buckets).astype(np.int64)
-
-    def pair_buckets(self, at: np.ndarray) -> np.ndarray:
-        """Bucket of the pairs that begin at the places given."""
-        first, second = self.hashes[self.ids[at]], self.hashes[self.ids[at + 1]]
-        return (mix(first * _TO_FIRST + mix(second + self.salt)) % self.buckets).astype(np.int64)
+    def run_buckets(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places where two and where three words of a piece begin, and their buckets."""
+        out, at, h = [], np.arange(len(self.ids)), self.hashes[self.ids]
+        whole = h
+        for k in (2, 3):
+            go = self.next_in_piece[at + k - 2]
+            at, h = at[go], h[go]
+            h = mix(h * _TO_FIRST + mix(whole[at + k - 1] + self.salt))
+            out.append((at, (h % self.buckets).astype(np.int64)))
+        return out
 
 
 def _chunks(batches, buckets: int, most: int) -> Iterator[tuple[str, Chunk]]:
@@ -104,9 +106,8 @@ def _bucket_sums(least: int, buckets: int, chunk: int):
         table, words = np.zeros(buckets, _small(least)), {}
         for lang, c in _chunks(batches, buckets, chunk):
             words[lang] = words.get(lang, 0) + len(c.ids)
-            at, inverse = np.unique(c.word_buckets(), return_inverse=True)
-            seen = np.bincount(inverse, np.bincount(c.ids, minlength=len(c.words)), len(at)).astype(np.int64)
-            for u, n in ((at, seen), np.unique(c.pair_buckets(np.flatnonzero(c.next_in_piece)), return_counts=True)):
+            for _, buckets_of in c.run_buckets():
+                u, n = np.unique(buckets_of, return_counts=True)
                 table[u] = np.minimum(table[u] + n, least)
         out = [(-1, k.encode(), n) for k, n in words.items()]
         if words:
@@ -138,46 +139,37 @@ def _joined(c: Chunk, at: np.ndarray, k: int) -> pa.Array:
 
 
 def _grams(bits: bytes, longest: int, buckets: int, chunk: int):
-    """Edges (``longest`` words) and piece ends (fewer) of each chunk with their counts."""
+    """At every word the longest run, of ``longest`` words at most, that may be frequent;
+    counted by chunk."""
+    packed = np.frombuffer(bits, np.uint8)
+
+    def full(at: np.ndarray) -> np.ndarray:
+        return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
     def run(batches):
-        packed = np.frombuffer(bits, np.uint8)
-        full = lambda at: (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
         for lang, c in _chunks(batches, buckets, chunk):
             n = len(c.ids)
             if not n:
                 continue
-            at = np.flatnonzero(c.next_in_piece)
-            link = np.zeros(n, bool)
-            link[at] = full(c.pair_buckets(at))
-            ends = ~link
-            begins = np.concatenate(([True], ends[:-1]))
-            first = np.flatnonzero(begins)
-            length = np.flatnonzero(ends) - first + 1  # of each run of linked words
-            common = full(c.word_buckets())
-            out = []
-
-            def count(key: np.ndarray, place: np.ndarray, k: int):
-                _, one, times = np.unique(key, return_index=True, return_counts=True)
-                text = _joined(c, place[one], k)
-                out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(one), pa.string()), pa.array(np.full(len(one), k, np.int32)), text.cast(pa.large_string()).cast(pa.string()), pa.array(times)], names=["lang", "k", "phrase", "n"]))
-
-            # number the runs of k words by (run of k-1 words, next word)
-            number, place, left = c.ids, np.arange(n), np.repeat(length, length) - (np.arange(n) - np.repeat(first, length))
+            may = [np.ones(n, bool)]  # may[k - 1]: k words from here may be frequent
+            for k, (at, b) in enumerate(c.run_buckets()[: longest - 1], 2):
+                ok = np.zeros(n, bool)
+                ok[at[full(b)]] = True
+                may.append(ok if k == 2 else ok & may[-1] & np.append(may[-1][1:], False))
+            while len(may) < longest:
+                may.append(may[-1] & np.append(may[-1][1:], False))
+            number, place = c.ids, np.arange(n)
             for k in range(1, longest + 1):
-                if k > 1:
-                    go = left[place] >= k
+                if k > 1:  # number the runs of k words by (run of k-1 words, next word)
+                    go = may[k - 1][place]
                     place = place[go]
                     _, number = np.unique(number[go] * len(c.words) + c.ids[place + k - 1], return_inverse=True)
-                if k < longest:
-                    # an end is a whole shorter run, or the last longest-1 words of a longer one
-                    end = (left[place] == k) & (begins[place] | (k == longest - 1))
-                    if k == 1:
-                        end &= common[c.ids]
-                else:
-                    end = np.ones(len(place), bool)
+                end = ~may[k][place] if k < longest else np.ones(len(place), bool)
                 if end.any():
-                    count(number[end], place[end], k)
-            yield from out
+                    _, one, times = np.unique(number[end], return_index=True, return_counts=True)
+                    text = _joined(c, place[end][one], k)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(one), pa.string()), pa.array(np.full(len(one), k, np.int32)), text.cast(pa.large_string()).cast(pa.string()), pa.array(times)],
+                                                     names=["lang", "k", "phrase", "n"])
     return run
 
 
@@ -209,12 +201,11 @@ class PhraseGraph:
             bits[r.range * RANGE // 8: (r.range + 1) * RANGE // 8] = r.bits
         grams = rows.mapInArrow(_grams(bytes(bits), longest, buckets, chunk), "lang string, k int, phrase string, n long")
         grams = pinned(grams.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")))
-        own = lambda k: grams.where(F.col("k") == k).select("lang", "phrase", "n")
-        self.counts = {longest: own(longest)}
+        ends = lambda k: grams.where(F.col("k") == k).select("lang", "phrase", "n")
+        self.counts = {longest: ends(longest)}
         for k in range(longest - 1, 0, -1):
             flow = self.counts[k + 1].select("lang", _first("phrase", k).alias("phrase"), "n")
-            ends = grams.where(F.col("k").between(k, longest - 1)).select("lang", _first("phrase", -k).alias("phrase"), "n")
-            self.counts[k] = _summed(flow.unionByName(ends))
+            self.counts[k] = _summed(flow.unionByName(ends(k)))
 
     def frequent(self, k: int) -> DataFrame:
         return self.counts[k].where(F.col("n") >= self.least)
