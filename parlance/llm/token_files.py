@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parlance.llm.units import Units, groups
+from parlance.llm.units import UnitIds
 from parlance.session import scratch
 
 PIECE = 2048  # characters, then bytes, of a training piece
@@ -39,7 +39,7 @@ SPACE = "\u0120"  # how byte-level vocabularies write a space
 class _Ids:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = Units(self._learn)
+        self.units = UnitIds(self._learn, memory=160 << 20)
         # tokens that begin with a space, which stands at the start of a unit only
         self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
@@ -63,8 +63,10 @@ class _Ids:
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        return [b"".join(v) + end for v in self.units.values(texts)]
+    def encode(self, texts: pa.Array, end: bytes) -> Iterator[tuple[int, list[bytes]]]:
+        """(place of the first, ids with the end id) of slices of the texts."""
+        for at, part in self.units.texts(texts):
+            yield at, [x + end for x in part]
 
 
 @lru_cache(maxsize=2)
@@ -92,8 +94,8 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
     part = F.substring("text", F.pmod(F.xxhash64(F.lit(1), "text"), F.greatest(F.length("text") - PIECE + 1, F.lit(1))).cast("int") + 1, F.lit(PIECE))
     some = docs.where(F.length("text") > 0).where(F.pmod(h, F.lit(max(1, docs.count()))) < 2 * SAMPLE)  # about 2 x SAMPLE rows, however many there are
     sample = some.select(h.alias("h"), part.alias("t")).orderBy("h", "t").limit(SAMPLE)
-    ids = _ids(tokenizer_path).encode([r.t for r in sample.collect()], np.array([end_id], "<u4").tobytes())
-    pieces = [x[:PIECE] for x in ids]
+    texts = pa.array([r.t for r in sample.collect()], pa.string())
+    pieces = [x[:PIECE] for _, part in _ids(tokenizer_path).encode(texts, np.array([end_id], "<u4").tobytes()) for x in part]
     size = min(DICTIONARY, sum(map(len, pieces)) // 8)
     if len(pieces) < 50 or size < 256:  # the least size of a dictionary
         return b""
@@ -120,8 +122,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     def encode(batches):
         press = _codec(dictionary)[0]
         for b in batches:
-            for at, part in groups(b.column("text")):
-                for doc_id, x in zip(b.column("doc_id").slice(at, len(part)).to_pylist(), _ids(tokenizer_path).encode(part, end)):
+            for at, part in _ids(tokenizer_path).encode(b.column("text"), end):
+                for doc_id, x in zip(b.column("doc_id").slice(at, len(part)).to_pylist(), part):
                     yield doc_id, len(x) // 4, press.compress(x)
 
     sha, names = _sha(dictionary), ["range", "shard", "dict_sha256", "doc_ids", "before", "counts", "offsets", "frames"]

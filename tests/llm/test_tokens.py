@@ -4,13 +4,15 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from parlance.llm import byte_bpe, token_counts, token_files
-from parlance.llm.units import Units
+from parlance.llm.units import UnitIds, Units
 from tests.llm.cases import frame, texts
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -47,6 +49,18 @@ def test_units_forget_without_harm():
         assert ["".join(v) for v in units.values(rows)] == rows
 
 
+@pytest.mark.parametrize("memory,most", [(1 << 20, 1 << 20), (2000, 100), (0, 1)])
+def test_unit_ids_equal_library(memory, most):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = token_files._ids(P.path("byte_bpe_50k.json"))
+    units = UnitIds(ids._learn, memory)
+    rows = odd_texts() + [t for _, t in texts()] + ["<|endoftext|> a <|endoftext|>b", "a\u00a0 b \u2003c", "", " ", "x"]
+    column = pa.array(["skipped", *rows]).slice(1)
+    got = [x for _, part in units.texts(column, most) for x in part]
+    assert got == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in rows]
+    assert list(units.texts(column.slice(0, 0))) == []
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_queries_on_odd_rows(spark, empty):
     docs = frame(spark)
