@@ -10,7 +10,10 @@ Buckets are never multiplied out.  In every bucket the members are first compare
 the bucket's least node, which joins groups of near copies.  Where a bucket still holds
 several components, the members outside the leader's component are held against all
 others block by block: a task sees two blocks of signatures and lets out only the pairs
-that agree.  Components are joined as graphs of labels, so nodes are relabelled once.
+that agree, each in the first bucket the two share.  A bucket with more such pairs than a
+few for each member is dense: its members' whole sets are sent to the block tasks, once for
+each block, and pairs are confirmed there, until the block's labels are joined; only links
+come out.  Components are joined as graphs of labels, so nodes are relabelled once.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from parlance.session import pinned
 ROWS, BANDS = 4, 48
 HASHES = ROWS * BANDS
 BLOCK = 512  # members of a block of a bucket
+DENSE_BLOCK = 128  # the same where sets are held
+FEW = 4  # pairs let out for each member of a block
 SLACK = 0.12  # a linked pair's signatures fall short by so much once in ten thousand
 _SEEDS = np.random.PCG64(31_337).random_raw(2 * HASHES).astype(np.uint64)
 _A, _B = (_SEEDS[:HASHES] | np.uint64(1))[:, None], _SEEDS[HASHES:][:, None]
@@ -98,52 +103,99 @@ def _alike(least: float):
     return run
 
 
+def _are_linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether 100 |A and B| >= percent |A or B| for sets given as sorted arrays."""
+    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = len(p) + len(q) - len(np.union1d(p, q))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _linked(percent: int):
-    """Labels of pairs with 100 |A and B| >= percent |A or B|, counted on whole sets."""
+    """Labels of pairs that are linked, on whole sets."""
     def run(batches):
         for b in batches:
-            ok, x, y = [], b.column("xa"), b.column("xb")
-            for i in range(b.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
+            x, y = b.column("xa"), b.column("xb")
+            ok = [_are_linked(x[i].values.to_numpy(), y[i].values.to_numpy(), percent) for i in range(b.num_rows)]
             yield b.select(["la", "lb"]).rename_columns(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
-def _group_pairs(node, label, side, sign, one: bool, least: float):
-    """Places (i, j) in a group of two blocks whose components differ and signatures agree."""
-    left = np.arange(len(node)) if one else np.flatnonzero(side == 0)
-    right = left if one else np.flatnonzero(side == 1)
-    for i in left:
-        with_i = right[(label[right] != label[i]) & ((node[right] > node[i]) if one else True)]
-        for j in with_i[(sign[with_i] == sign[i]).sum(axis=1) >= least * HASHES]:
-            yield (i, j) if node[i] < node[j] else (j, i)
-
+class _Group:
+    """Members of two blocks of a bucket, or of one."""
+
+    def __init__(self, t: pa.Table):
+        self.t = t
+        self.node, self.label, self.side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
+        self.key, self.one = t.column("key")[0].as_py(), bool(t.column("kind")[0].as_py()) and t.column("x")[0] == t.column("y")[0]
+        self.sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, : t.column("band")[0].as_py()]
+        self.root = self.label.copy()
+
+    def join(self, i: int, j: int) -> None:
+        self.root[self.root == self.root[j]] = self.root[i]
+
+    def alike(self, least: float):
+        """Pairs (i, j) of different components that share no earlier bucket and agree in
+        their signatures; those of one i come together, as an array of j."""
+        left = np.arange(len(self.node)) if self.one else np.flatnonzero(self.side == 0)
+        right = left if self.one else np.flatnonzero(self.side == 1)
+        for i in left:
+            js = right[(self.root[right] != self.root[i]) & ((self.node[right] > self.node[i]) if self.one else True)]
+            js = js[(self.sign[js] == self.sign[i]).sum(axis=1) >= least * HASHES]
+            js = js[~(self.bands[js] == self.bands[i]).any(axis=1)]
+            if len(js):
+                yield i, js
+
+
+def _groups(batches):
+    """Every group (``key, kind, x, y``) of rows that come sorted by group; only the group
+    at the end of a batch is carried on."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        of = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "kind", "x", "y")])
+        cuts = np.concatenate(([0], np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield _Group(t.slice(lo, hi - lo))
+        held = t.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield _Group(held)
+
+
+_FOUND, _FOUND_TYPE = ["key", *_PAIR], "key long, " + _PAIR_TYPE
+
+
+def _across(least: float, few: int = FEW):
+    """Pairs across components in every group, or a row without a pair for a group that
+    has more than ``few`` for each member."""
+    def run(batches):
+        for g in _groups(batches):
+            found, most = [], few * len(g.node)
+            for i, js in g.alike(least):
+                found += [(i, j) if g.node[i] < g.node[j] else (j, i) for j in js]
+                if len(found) > most:
+                    break
+            i, j = np.array(found, np.int64).reshape(-1, 2).T
+            values = [None] * 4 if len(found) > most else [g.node[i], g.node[j], g.label[i], g.label[j]]
+            n = 1 if len(found) > most else len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, g.key), pa.int64()), *[pa.array([None] if v is None else v, pa.int64()) for v in values]], names=_FOUND)
+    return run
 
-def _across(least: float):
-    """Pairs across components in every group (``key, kind, x, y``) of rows that come sorted
-    by group; only the group at the end of a batch is carried on."""
-    def pairs(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
-        node, label, side, kind, x, y = (t.column(c).to_numpy() for c in ("node", "label", "side", "kind", "x", "y"))
-        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
-        found = [(lo + i, lo + j) for lo, hi in zip(cuts[:-1], cuts[1:])
-                 for i, j in _group_pairs(node[lo:hi], label[lo:hi], side[lo:hi], sign[lo:hi], bool(kind[lo]) and x[lo] == y[lo], least)]
-        i, j = np.array(found, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (node[i], node[j], label[i], label[j])], names=_PAIR)
 
+def _confirmed(least: float, percent: int):
+    """Labels of linked pairs of every group of members that bring their sets; a pair whose
+    labels are already joined in the group is not looked at."""
     def run(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t])
-            of = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "kind", "x", "y")])
-            cuts = np.concatenate(([0], np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1))
-            if len(cuts) > 1:
-                yield pairs(t.slice(0, cuts[-1]), cuts)
-            held = t.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield pairs(held, np.array([0, held.num_rows]))
+        for g in _groups(batches):
+            sets, links = [x.values.to_numpy() for x in g.t.column("items")], []
+            for i, js in g.alike(least):
+                for j in js:
+                    if g.root[i] != g.root[j] and _are_linked(sets[i], sets[j], percent):
+                        g.join(i, j)
+                        links.append((g.label[i], g.label[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -155,9 +207,9 @@ class _Search:
                               .agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
                               .withColumn("node", F.monotonically_increasing_id()))
         self.steps: list[DataFrame] = []  # labels that each step gave to the labels before it
-        buckets = self.classes.select("node", F.explode("bands").alias("key"))
+        buckets = self.classes.select("node", F.posexplode("bands").alias("band", "key"))
         met = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-        self.members = pinned(buckets.join(met, "key").select("key", "node", "lead"))
+        self.members = pinned(buckets.join(met, "key").select("key", "band", "node", "lead"))
         some = self.classes.join(self.members.select("node"), "node", "left_semi").select("node", "digest", F.col("least").alias("_least"))
         texts = rows.join(some, F.col("doc_id").eqNullSafe(F.col("_least"))).select("node", "digest", "text")
         self.sets = pinned(texts.mapInArrow(_sets(words), "node long, items array<long>").dropDuplicates(["node"]))
@@ -170,10 +222,14 @@ class _Search:
     def alike(self, pairs: DataFrame) -> DataFrame:
         return self._with(pairs, self.classes, "signature", ("sa", "sb")).mapInArrow(_alike(self.percent / 100 - SLACK), _PAIR_TYPE)
 
-    def link(self, near: DataFrame) -> None:
-        """Confirm pairs (nodes ``a``, ``b`` of the components ``la``, ``lb``) on whole sets and
-        join the components of those linked."""
-        self.steps.append(components(self._with(near, self.sets, "items", ("xa", "xb")).mapInArrow(_linked(self.percent), "a long, b long")))
+    def links(self, near: DataFrame) -> DataFrame:
+        """Labels of the pairs (nodes ``a``, ``b`` of the components ``la``, ``lb``) that are
+        linked, on whole sets."""
+        return self._with(near, self.sets, "items", ("xa", "xb")).mapInArrow(_linked(self.percent), "a long, b long")
+
+    def link(self, links: DataFrame) -> None:
+        """Join the components of linked labels."""
+        self.steps.append(components(links))
 
     def relabelled(self, rows: DataFrame, steps: list[DataFrame]) -> DataFrame:
         for step in steps:
@@ -189,32 +245,39 @@ class _Search:
 
     def compare_lead(self, members: DataFrame) -> None:
         pairs = members.where("label <> lead_label").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("lead_label").alias("la"), F.col("label").alias("lb"))
-        self.link(self.alike(pairs.distinct()))
+        self.link(self.links(self.alike(pairs.distinct())))
 
-    def compare_blocks(self, members: DataFrame) -> None:
-        """Members outside the leader's component against all others of their bucket, block by
-        block.  Signatures are compared inside a task; only pairs that agree leave it."""
+    def blocks(self, members: DataFrame, block: int) -> DataFrame:
+        """A row of each member for every group it stands in: members outside the leader's
+        component against all others of their bucket, block by block."""
         m = members.withColumn("rest", (F.col("label") != F.col("lead_label")).cast("int"))
-        sizes = m.groupBy("key").agg(F.ceil(F.sum("rest") / self.block).cast("int").alias("nr"), F.ceil(F.sum(1 - F.col("rest")) / self.block).cast("int").alias("nc"))
+        sizes = m.groupBy("key").agg(F.ceil(F.sum("rest") / block).cast("int").alias("nr"), F.ceil(F.sum(1 - F.col("rest")) / block).cast("int").alias("nc"))
         m = m.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("rest") == 1, F.col("nr")).otherwise(F.col("nc"))).cast("int"))
-        m = m.join(self.classes.select("node", "signature"), "node")
+        m = m.join(self.classes.select("node", "signature", "bands"), "node")
         place = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
-        block, zero, one = F.col("block"), F.lit(0), F.lit(1)
+        own, zero, one = F.col("block"), F.lit(0), F.lit(1)
         every = lambda n, fn: F.transform(F.sequence(F.lit(0), F.col(n) - 1), fn)
-        core = every("nr", lambda o: place(0, block, o, zero))
-        rest = F.concat(every("nc", lambda o: place(0, o, block, one)), every("nr", lambda o: place(1, F.least(block, o), F.greatest(block, o), block > o)))
-        rows = m.withColumn("at", F.explode(F.when(F.col("rest") == 0, core).otherwise(rest))).select("key", "at.kind", "at.x", "at.y", "at.side", "node", "label", "signature")
-        group = ["key", "kind", "x", "y"]
-        near = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_across(self.percent / 100 - SLACK), _PAIR_TYPE)
-        self.link(near.distinct())
+        core = every("nr", lambda o: place(0, own, o, zero))
+        rest = F.concat(every("nc", lambda o: place(0, o, own, one)), every("nr", lambda o: place(1, F.least(own, o), F.greatest(own, o), own > o)))
+        rows = m.withColumn("at", F.explode(F.when(F.col("rest") == 0, core).otherwise(rest)))
+        return rows.select("key", "at.kind", "at.x", "at.y", "at.side", "node", "label", "band", "signature", "bands")
+
+    def compare_blocks(self, members: DataFrame) -> None:
+        group, least = ["key", "kind", "x", "y"], self.percent / 100 - SLACK
+        sort = lambda rows: rows.repartition(*group).sortWithinPartitions(*group)
+        found = pinned(sort(self.blocks(members, self.block)).mapInArrow(_across(least), _FOUND_TYPE))
+        dense = found.where("a IS NULL").select("key").distinct()
+        links = self.links(found.where("a IS NOT NULL").join(dense, "key", "left_anti").select(*_PAIR))
+        sets = self.blocks(members.join(dense, "key", "left_semi"), min(self.block, DENSE_BLOCK)).join(self.sets, "node")
+        self.link(links.unionByName(sort(sets).mapInArrow(_confirmed(least, self.percent), "a long, b long")))
 
     def run(self) -> None:
         # one comparison per node, with the leader it shares most bands with
         best = self.members.where("node <> lead").groupBy("node").agg(F.mode("lead", True).alias("a"))
-        self.link(self.alike(best.select("a", F.col("node").alias("b"), F.col("a").alias("la"), F.col("node").alias("lb"))))
-        members = self.mixed(self.members.select("key", "node", F.col("node").alias("label")))
+        self.link(self.links(self.alike(best.select("a", F.col("node").alias("b"), F.col("a").alias("la"), F.col("node").alias("lb")))))
+        members = self.mixed(self.members.select("key", "band", "node", F.col("node").alias("label")))
         self.compare_lead(members)
-        members = self.mixed(members.select("key", "node", "label"))
+        members = self.mixed(members.select("key", "band", "node", "label"))
         self.compare_blocks(members)
 
     def labels(self) -> DataFrame:

@@ -66,6 +66,26 @@ def test_near_components(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
 
 
+@pytest.mark.parametrize("few", [4, 0])  # 0: every bucket is dense
+def test_dense_group(spark, few):
+    """Near copies of one text, most pairs between 0.60 and 0.80, against brute force."""
+    import random
+    rng = random.Random(6)
+    body = [f"d{i}" for i in range(100)]
+    rows = [(i, " ".join(w if rng.random() > rng.choice([0.01, 0.03, 0.05]) else f"x{rng.randrange(9)}" for w in body)) for i in range(250)]
+    sets, label = linked(rows)
+    least = {}
+    for (i, _), x in zip(rows, label):
+        least[x] = min(i, least.get(x, i))
+    across = near_dup._across
+    try:
+        near_dup._across = lambda value: across(value, few)
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), block=64).collect()}
+    finally:
+        near_dup._across = across
+    assert got == {i: least[x] for (i, _), x in zip(rows, label)}
+
+
 def test_drop_near_keeps_one_of_each_group(spark):
     rows = frame(spark)
     kept = near_dup.drop_near_duplicates(rows)
