@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.units import Units, groups
+from parlance.llm.units import UnitIds
 
 NONE = np.int32(2**31 - 1)
 CELLS = 1 << 20  # of a matrix
-KNOWN = 150_000  # pieces kept beside the units
+KNOWN, MEMORY = 60_000, 48 << 20  # pieces kept beside the units; bytes of the units kept
 
 
 class PairTable:
@@ -91,7 +92,7 @@ class ByteBpe:
         for t, r in self.ranks.items():
             self.tokens[r] = t
         self.known: dict[str, bytes] = {}
-        self.units = Units(self._learn_units)
+        self.units = UnitIds(self._learn_units, MEMORY)
 
     def _rounds(self, m: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         """Final rows of a matrix padded with -1."""
@@ -189,9 +190,13 @@ class ByteBpe:
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+        """(place of the first, ids of each) of slices of the texts, as little-endian unsigned
+        32-bit integers."""
+        return self.units.texts(texts)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [b"".join(v) for v in self.units.values(texts)]
+        return [x for _, part in self.slices(pa.array(texts, pa.large_string())) for x in part]
 
     def decode(self, ids: bytes) -> bytes:
         get = self.tokens.__getitem__
@@ -213,8 +218,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches):
         bpe = coder(ranks_path, pattern)
         for b in batches:
-            for at, part in groups(b.column("text")):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(bpe.encode(part), pa.binary())], names=["doc_id", "ids"])
+            for at, part in bpe.slices(b.column("text")):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(part, pa.binary())], names=["doc_id", "ids"])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
@@ -233,10 +238,9 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches):
         bpe = coder(ranks_path, pattern)
         for b in batches:
-            for at, part in groups(b.column("text")):
-                ids = bpe.encode(part)
+            for at, ids in bpe.slices(b.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    [b.column("doc_id").slice(at, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()),
                      pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                      pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -63,7 +63,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
 
 def _recipes(bits: int):
     def run(batches):
-        for b in batches:
+        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             ids, sums = [], []
             for _, data in _texts(b):
                 ids.append(_chunks(data, bits)[0])

@@ -65,7 +65,7 @@ def _marks(words: int):
     types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
-        for b in batches:
+        for b in (x.slice(at, 1000) for x in batches for at in range(0, x.num_rows, 1000)):
             rows = []
             for _, s in _shingle_sets(b.column("text"), words):
                 if len(s):

@@ -39,7 +39,7 @@ SPACE = "\u0120"  # how byte-level vocabularies write a space
 class _Ids:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = UnitIds(self._learn, memory=160 << 20)
+        self.units = UnitIds(self._learn, memory=128 << 20)
         # tokens that begin with a space, which stands at the start of a unit only
         self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True

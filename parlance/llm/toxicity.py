@@ -28,7 +28,7 @@ QUOTES = frozenset("\"“”„«»‹›‘’")
 REPORTING = frozenset("said says called quote quoted wrote sagte schrieb nannte zitat dit appelé écrit cité dijo llamó escribió cita".split())
 WINDOW = 6  # words on each side
 FUZZY = 5  # letters from which a term is also found with one edit
-KNOWN = 400_000  # words remembered by a task
+KNOWN = 150_000  # words remembered by a task, about 24 MB
 FEATURES = ("exact", "fuzzy", "quoted", "share")
 ROWS, TERMS = 50_000, 5_000  # labelled rows that the model sees at most; terms of the lexicon at most
 

@@ -95,7 +95,7 @@ class UnitIds:
             self.older, self.known, self.size = known, {}, 0
         return out
 
-    def texts(self, column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    def texts(self, column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
         """(place of the first, values) of consecutive texts of about ``most`` bytes."""
         column = column.fill_null("").cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
