@@ -18,7 +18,7 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int, weight: str | None = No
     (smallest -ln(u) / w).  A top-n, so every task keeps only n rows."""
     if weight is None:
         return df.withColumn("_h", hash_key(seed, key)).orderBy("_h", key).limit(n).drop("_h")
-    u = (F.conv(F.substring(hash_key(seed, key), 1, 7), 16, 10).cast("long") + 1) / F.lit(float(16 ** 7 + 1))
+    u = (F.conv(F.substring(hash_key(seed, key), 1, 13), 16, 10).cast("long") + 1) / F.lit(float(16 ** 13 + 1))
     return df.withColumn("_h", -F.ln(u) / F.col(weight)).orderBy("_h", key).limit(n).drop("_h")
 
 

@@ -96,11 +96,11 @@ def collected(df: DataFrame, keys: list[str], order: list[str], col: str, out: s
     return df.groupBy(*keys, "chunk").agg(F.transform(pairs, lambda x: x["v"]).alias(out))
 
 
-def joined_texts(df: DataFrame, key: str, ts: str, text: str, out: str, sep: str = "|") -> DataFrame:
-    """All texts of a key in time order in one value, one row per key, however many the
-    key has; null texts are left out, and a key without other texts has a null."""
-    pairs = F.array_sort(F.collect_list(F.struct(ts, text)))
-    return df.groupBy(key).agg(F.when(F.count(text) > 0, F.array_join(F.transform(pairs, lambda x: x[text]), sep)).alias(out))
+def ordered_texts(df: DataFrame, key: str, order: list[str], text: str, hot_rows: int | None = None) -> DataFrame:
+    """All texts of a key in order as long rows (key, pos, text), pos from 1, so that no
+    key has to fit one value or task; null texts are left out."""
+    known = df.where(F.col(text).isNotNull())
+    return ordered(known, [key], order, {"pos": position()}, hot_rows).select(key, "pos", text)
 
 
 def action_counts(df: DataFrame, key: str, action: str, counts: dict[str, str]) -> DataFrame:
@@ -154,6 +154,14 @@ def last_n_features(df: DataFrame, key: str, order: list[str], cols: list[str],
     return df.withColumns({f"{c}_{j}": F.coalesce(at(c, j), F.lit("None")) for c in cols for j in range(n)}).drop(*[f"_last_{c}" for c in cols])
 
 
+def silent_senders(turns: DataFrame, key: str, profile: DataFrame, more_than: int = 30, clicks: str = "clicks") -> DataFrame:
+    """(key, n): senders with ``more_than`` turns or more who never clicked.  ``profile``
+    has one row per sender that did something; a sender without one is silent."""
+    n = turns.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= more_than)
+    busy = profile.where(F.coalesce(F.col(clicks), F.lit(0)) > 0).select(key)
+    return n.join(busy, key, "left_anti")
+
+
 def holds_codes(df: DataFrame, key: str, col: str, codes: list[str]) -> DataFrame:
     """Keys whose sequence holds every one of the codes."""
     seen = df.groupBy(key).agg(*[F.max(F.coalesce(F.col(col) == c, F.lit(False))).alias(f"_{i}") for i, c in enumerate(codes)])

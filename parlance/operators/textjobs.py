@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,12 +215,65 @@ def span_labels(spans: DataFrame, answers: DataFrame, key: str, n_query: str) ->
 
 
 def tighten(df: DataFrame, tokens: str, start: str, end: str, answer: Column) -> DataFrame:
-    """Narrow start..end to the first sub-range whose tokens spell the answer
-    (smallest start, then largest end); unchanged where there is none."""
-    s, e = F.col(start), F.col(end)
-    pairs = F.flatten(F.transform(F.sequence(s, e), lambda i: F.transform(F.sequence(e, i), lambda j: F.struct(i.alias("s"), j.alias("e")))))
-    hit = F.get(F.filter(pairs, lambda p: F.array_join(F.slice(F.col(tokens), p["s"] + 1, p["e"] - p["s"] + 1), " ") == answer), F.lit(0))
-    return df.withColumn("_hit", hit).withColumns({start: F.coalesce("_hit.s", start), end: F.coalesce("_hit.e", end)}).drop("_hit")
+    """Narrow start..end to the first sub-range whose tokens, joined by one space, spell the
+    answer; unchanged where there is none.  Tokens hold no spaces, so an answer of m words
+    needs m tokens, and each start is looked at once."""
+    d = bind(df, _answer=answer, _tok=F.col(tokens))
+    m = F.size(F.split("_answer", " "))
+    last = F.col(end) - m + 1
+    starts = F.when(last >= F.col(start), F.sequence(F.col(start), last)).otherwise(F.array().cast("array<int>"))
+    d = bind(d, _m=m, _starts=starts)
+    hit = F.get(F.filter("_starts", lambda s: F.array_join(F.slice(F.col("_tok"), s + 1, F.col("_m")), " ") == F.col("_answer")), F.lit(0))
+    return d.withColumn("_hit", hit).withColumns({start: F.coalesce("_hit", start), end: F.when(F.col("_hit").isNotNull(), F.col("_hit") + F.col("_m") - 1).otherwise(F.col(end))}).drop("_hit", "_m", "_starts", "_answer", "_tok")
+
+
+def _window_pairs(n: int, longest: int):
+    """(k, pairs) of each window: its n best starts (where the window gives most context)
+    with its n best ends, ties to the first, as places in the document."""
+    def matrix(column: pa.Array, fill) -> tuple[np.ndarray, np.ndarray]:
+        size = pc.list_value_length(column).fill_null(0).to_numpy()
+        m = np.full((len(size), max(int(size.max(initial=0)), n)), fill)
+        m[np.arange(m.shape[1])[None, :] < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+        return m, size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, size = matrix(b.column("start_logits"), -np.inf)
+            e, _ = matrix(b.column("end_logits"), -np.inf)
+            fit, _ = matrix(b.column("is_max"), False)
+            at_s, at_e = (np.argsort(-m, axis=1, kind="stable")[:, :n] for m in (s, e))
+            row = np.arange(len(size))[:, None]
+            a, z = at_s[:, :, None], at_e[:, None, :]
+            ok = (a < size[:, None, None]) & (z < size[:, None, None]) & fit[row, at_s][:, :, None] & (z >= a) & (z - a + 1 <= longest)
+            w, i, j = np.nonzero(ok)
+            start = b.column("start").to_numpy()[w]
+            items = pa.StructArray.from_arrays([pa.array(x) for x in ((start + at_s[w, i]).astype(np.int32), (start + at_e[w, j]).astype(np.int32), s[w, at_s[w, i]] + e[w, at_e[w, j]])], names=["s", "e", "score"])
+            cuts = np.searchsorted(w, np.arange(len(size) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.ListArray.from_arrays(pa.array(cuts), items)], names=["k", "pairs"])
+    return run
+
+
+def _best_texts(n: int):
+    """(k, text, score): the n best distinct texts of the pairs of each document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, text, score = [], [], []
+            for i in range(b.num_rows):
+                words, pairs, best = b.column("words")[i].as_py(), b.column("pairs")[i].values, {}
+                places = {}
+                for s, e, v in zip(*(pairs.field(f).to_pylist() for f in ("s", "e", "score"))):
+                    if v > places.get((s, e), -np.inf):
+                        places[s, e] = v
+                for (s, e), v in places.items():
+                    t = " ".join(words[s: e + 1])
+                    if v > best.get(t, -np.inf):
+                        best[t] = v
+                top = heapq.nsmallest(n, ((-v, t) for t, v in best.items()))
+                at += [i] * len(top)
+                text += [t for _, t in top]
+                score += [-v for v, _ in top]
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at, pa.int64())), pa.array(text, pa.string()), pa.array(score, pa.float64())], names=["k", "text", "score"])
+    return run
 
 
 def best_spans(scores: DataFrame, docs: DataFrame, nulls: DataFrame, key: str, n_best: int, max_len: int,
@@ -222,25 +282,15 @@ def best_spans(scores: DataFrame, docs: DataFrame, nulls: DataFrame, key: str, n
 
     scores: one row per window as a model returns it: (key, start, start_logits,
     end_logits, is_max), arrays over the window's tokens; docs: (key, words);
-    nulls: (key, null_score).  Starts and ends are cut to the n best before they are
-    combined, inside the row: at most n_best^2 pairs per window exist."""
-    def ranked(values: Column) -> Column:
-        return F.slice(F.array_sort(F.transform(values, lambda v, i: F.struct((-v).alias("order"), i.alias("at")))), 1, n_best)
-
-    # is_max and the cut lists are read inside lambdas, so they are bound first
-    g = bind(scores.select(key, "start", "start_logits", "end_logits", "is_max"), _st=ranked(F.col("start_logits")),
-             _e=ranked(F.col("end_logits")), _m=F.col("is_max"))
-    g = bind(g, _s=F.filter("_st", lambda x: F.get(F.col("_m"), x["at"]))).select(key, "start", "_s", "_e")
-
-    def combine(s: Column) -> Column:
-        ok = F.filter("_e", lambda e: (e["at"] >= s["at"]) & (e["at"] - s["at"] + 1 <= max_len))
-        return F.transform(ok, lambda e: F.struct((F.col("start") + s["at"]).alias("s"), (F.col("start") + e["at"]).alias("e"), (-(s["order"] + e["order"])).alias("score")))
-
-    # a question's pairs meet its words once, so the words are not copied per pair
-    per = g.select(key, F.flatten(F.transform("_s", combine)).alias("_p")).groupBy(key).agg(F.flatten(F.collect_list("_p")).alias("_p"))
-    text = lambda p: F.array_join(F.slice(F.col("words"), p["s"] + 1, p["e"] - p["s"] + 1), " ")
-    texts = per.join(docs, key).select(key, F.explode(F.transform("_p", lambda p: F.struct(text(p).alias("text"), p["score"].alias("score")))).alias("t"))
-    texts = texts.groupBy(key, "t.text").agg(F.max("t.score").alias("score"))
+    nulls: (key, null_score).  A window keeps its n best starts and ends and lets out
+    their pairs, at most n^2; a question's pairs meet its words once, and only its n best
+    texts come out."""
+    kind = scores.schema[key].dataType.simpleString()
+    pair = "array<struct<s:int,e:int,score:double>>"
+    pairs = scores.select(F.col(key).alias("k"), "start", "start_logits", "end_logits", "is_max").mapInArrow(_window_pairs(n_best, max_len), f"k {kind}, pairs {pair}")
+    per = pairs.where(F.size("pairs") > 0).groupBy("k").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
+    words = docs.select(F.col(key).alias("k"), "words").join(per, "k")
+    texts = words.mapInArrow(_best_texts(n_best), f"k {kind}, text string, score double").withColumnRenamed("k", key)
     null_rows = nulls.select(key, F.lit("").alias("text"), F.col("null_score").alias("score"))
     kept = top_per_key_or(texts.unionByName(null_rows), key, n_best)
     w = Window.partitionBy(key)
@@ -263,9 +313,10 @@ def top_per_key_or(df: DataFrame, key: str, n: int) -> DataFrame:
 # --- masked tokens ----------------------------------------------------------------
 
 def hash_unit(*parts) -> Column:
-    """A repeatable number in [0, 1) from text parts (first 7 hex digits of md5)."""
+    """A repeatable number in [0, 1) from text parts (first 13 hex digits of md5, which a
+    double holds exactly)."""
     text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long") / F.lit(float(16 ** 7))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(16 ** 13))
 
 
 def masked_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, most: int = 20, share: float = 0.15, seed: int = 1) -> DataFrame:
@@ -288,6 +339,30 @@ def masked_tokens(df: DataFrame, key: str, tokens: str, vocab: DataFrame, most:
     return rest.unionByName(rand)
 
 
+def token_windows(df: DataFrame, key: str, tokens: str, size: int) -> DataFrame:
+    """(key, window, tokens): each row's tokens in consecutive windows of ``size`` between
+    ``[CLS]`` and ``[SEP]``; a row without tokens has none."""
+    n = F.ceil(F.size(tokens) / size).cast("int")
+    d = df.where(F.size(tokens) > 0).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col(tokens), i * size + 1, F.lit(size)))).alias("window", "_w"))
+    return d.select(key, "window", F.concat(F.array(F.lit("[CLS]")), "_w", F.array(F.lit("[SEP]"))).alias("tokens"))
+
+
+def token_ids(df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, length: int | None = None) -> DataFrame:
+    """(keys, ids): the vocabulary's ids of a token array in order, that of ``[UNK]`` for a
+    token it does not hold; cut or padded with 0 to ``length`` if given.  vocab: (word, id).
+    Every distinct token is joined once, so a frequent token is not a hot key."""
+    flat = df.select(*keys, F.posexplode(tokens).alias("_i", "word"))
+    known = flat.select("word").distinct().join(vocab, "word", "left")
+    unknown = vocab.where(F.col("word") == UNKNOWN).agg(F.min("id").alias("_u")).withColumn("_k", F.lit(1))
+    known = known.withColumn("_k", F.lit(1)).join(F.broadcast(unknown), "_k").select("word", F.coalesce("id", "_u").cast("long").alias("id"))  # one row
+    from parlance.functions.scan import null_safe_join
+    pairs = null_safe_join(flat, known, ["word"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "id"))).alias("_l"))
+    ids = F.col("_l.id")
+    if length:
+        ids = F.slice(F.concat(ids, F.array_repeat(F.lit(0).cast("long"), length)), 1, length)
+    return pairs.select(*keys, ids.alias("ids"))
+
+
 def word_ids(words: DataFrame) -> DataFrame:
     """(word, id) of distinct words, ids 0 .. n-1 in word order."""
     return ordered(words.select("word").distinct(), [], ["word"], {"_pos": position()}).select("word", (F.col("_pos") - 1).alias("id"))
@@ -295,62 +370,77 @@ def word_ids(words: DataFrame) -> DataFrame:
 
 # --- sentence pairs ---------------------------------------------------------------
 
-def pair_instances(docs: DataFrame, key: str, n_max: int = 64, short_prob: float = 0.1, seed: int = 1) -> DataFrame:
-    """Next-sentence pairs.  docs: (key, sentences array<array<string>>), one row each.
-
-    A document's sentences are gathered to a target length and split into A and B;
-    B is the real continuation or comes from another document, in which case the
-    unused sentences start the next chunk.  The walk happens inside the row; the
-    other document is found by a join on a dense index."""
+def _unit(*parts) -> float:
+    """As ``hash_unit``."""
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 16**13
+
+
+def _chunks(room: int, short_prob: float, seed: int):
+    """The chunks of each document: its sentences up to a target length, found in the
+    running sizes by binary search, cut in two at a drawn sentence."""
+    def walk(name: str, sizes: np.ndarray) -> Iterator[tuple[int, int, int, bool, int]]:
+        target = 2 + int(_unit(seed, name, "len") * (room - 1)) if _unit(seed, name, "short") < short_prob else room
+        cum, at, n = np.concatenate(([0], np.cumsum(sizes))), 0, len(sizes)
+        while at < n:
+            stop = min(max(int(np.searchsorted(cum, cum[at] + target)), at + 1), n)
+            size = stop - at
+            a_end = at + (1 + int(_unit(seed, name, "a", at) * (size - 1)) if size >= 2 else 1)
+            random = size == 1 or _unit(seed, name, "next", at) < 0.5
+            yield at, a_end, stop, random, target
+            at = a_end if random else stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for i, (name, sizes) in enumerate(zip(b.column("name").to_pylist(), b.column("sizes"))):
+                found += [(i, k, *c) for k, c in enumerate(walk(name, sizes.values.to_numpy()))]
+            col = lambda k, t: pa.array([f[k] for f in found], t)
+            yield pa.RecordBatch.from_arrays([b.column("name").take(col(0, pa.int64())), *[col(k, pa.int32()) for k in range(1, 5)], col(5, pa.bool_()), col(6, pa.int32())],
+                                             names=["name", "instance", "start", "a_end", "stop", "is_random", "target"])
+    return run
+
+
+def pair_instances(docs: DataFrame, key: str, n_max: int = 64, short_prob: float = 0.1, seed: int = 1, copies: int = 1) -> DataFrame:
+    """Next-sentence pairs: (key, copy, instance, is_random, a, b).  docs: (key, sentences
+    array<array<string>>), one row each; a document without sentences gives none.
+
+    A document's sentences are gathered to a target length and split into A and B; B is
+    the real continuation or comes from another document, in which case the unused
+    sentences start the next chunk.  The only document of a corpus is its own other one.
+    ``copies`` walks each document so many times with draws of their own.  Only the sizes
+    of the sentences are walked in Python, one step for a chunk; the other document is
+    found by a join on a dense index, for the pairs that need one."""
+    from parlance.functions.text import pair_limits
     room = n_max - 3
-    docs = docs.where(F.size("sentences") > 0)
-    u = lambda *p: hash_unit(seed, F.col(key), *p)
-    target = F.when(u("short") < short_prob, 2 + F.floor(u("len") * (room - 1))).otherwise(room).cast("int")
-    zero = F.struct(F.lit(0).alias("sum"), F.array(F.lit(0)).alias("all"))
-    sums = F.aggregate("sentences", zero, lambda a, s: F.struct(
-        (a["sum"] + F.size(s)).alias("sum"), F.array_append(a["all"], a["sum"] + F.size(s)).alias("all")), lambda a: a["all"])
-    d = bind(docs, _target=target, _cum=sums, _n=F.size("sentences"))
-    item = "array<struct<start:int,a_end:int,stop:int,random:boolean>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(item).alias("out"))
-
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        ends = F.sequence(at + 1, F.greatest(F.col("_n"), at + 1))
-        reached = F.filter(ends, lambda j: F.get(F.col("_cum"), j) - F.get(F.col("_cum"), at) >= F.col("_target"))
-        stop = F.coalesce(F.get(reached, F.lit(0)), F.col("_n"))
-        size = stop - at
-        a_len = F.when(size >= 2, 1 + F.floor(u("a", at) * (size - 1))).otherwise(1).cast("int")
-        random = (size == 1) | (u("next", at) < 0.5)
-        one = F.struct(at.alias("start"), (at + a_len).alias("a_end"), stop.alias("stop"), random.alias("random"))
-        nxt = F.when(random, at + a_len).otherwise(stop)
-        busy = at < F.col("_n")
-        return F.struct(F.when(busy, nxt).otherwise(at).alias("at"),
-                        F.when(busy, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    chunks = F.aggregate(F.sequence(F.lit(1), F.col("_n")), begin, step, lambda a: a["out"])
+    docs = docs.where(F.size("sentences") > 0).select(key, "sentences")
+    every = docs.select(key, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.transform("sentences", lambda x: F.size(x)).alias("sizes"))
+    name = F.concat_ws(":", F.col(key).cast("string"), "copy")
+    sizes = every.select(name.alias("name"), "sizes")
+    found = sizes.mapInArrow(_chunks(room, short_prob, seed), "name string, instance int, start int, a_end int, stop int, is_random boolean, target int")
+    u = lambda *p: hash_unit(seed, F.col("name"), *p)
+    # keys as text: the name is the key and the number of the copy
+    texts = docs.withColumn("_key", F.col(key).cast("string"))
+    found = found.withColumns({"_key": F.expr("substring(name, 1, length(name) - length(substring_index(name, ':', -1)) - 1)"),
+                               "copy": F.substring_index("name", ":", -1).cast("int")})
     part = lambda lo, hi: F.flatten(F.slice(F.col("sentences"), lo + 1, hi - lo))
-    inst = d.select(key, "_target", "sentences", F.posexplode(chunks).alias("instance", "c"))
-    inst = inst.select(key, "_target", "instance", F.col("c.random").alias("is_random"),
-                       part(F.col("c.start"), F.col("c.a_end")).alias("a"),
-                       F.when(~F.col("c.random"), part(F.col("c.a_end"), F.col("c.stop"))).alias("b"))
+    inst = found.join(texts, "_key").withColumns({"a": part(F.col("start"), F.col("a_end")), "b": F.when(~F.col("is_random"), part(F.col("a_end"), F.col("stop")))}).drop("sentences", "start", "a_end", "stop", "_key")
     index = ordered(docs.select(key), [], [key], {"_pos": position()})
     total = index.agg(F.max("_pos").alias("_m")).withColumn("_k", F.lit(1))
-    inst = (inst.join(index, key).withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")  # one row
-            .withColumn("_pick", 1 + F.floor(u("other", F.col("instance")) * (F.col("_m") - 1))))
-    inst = inst.withColumn("_pick", F.when(F.col("is_random"), F.col("_pick") + F.when(F.col("_pick") >= F.col("_pos"), 1).otherwise(0)))
+    drawn = (inst.where("is_random").drop("b").join(index, key).withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")  # one row
+             .withColumn("_pick", 1 + F.floor(u("other", F.col("instance")) * (F.col("_m") - 1))))
+    drawn = drawn.withColumn("_pick", F.col("_pick") + F.when((F.col("_pick") >= F.col("_pos")) & (F.col("_m") > 1), 1).otherwise(0))
     other = index.join(docs, key).select(F.col("_pos").alias("_pick"), F.col("sentences").alias("_other"))
-    j = inst.join(other, "_pick", "left")
+    drawn = drawn.join(other, "_pick")
     first = F.floor(u("start", F.col("instance")) * F.size("_other")).cast("int")
-    suffix = F.flatten(F.slice(F.col("_other"), first + 1, F.size("_other")))
     # sentences are added until the target is met; trimming then cuts to the same length
-    want = F.greatest(F.col("_target") - F.size("a"), F.lit(1))
-    j = j.withColumn("b", F.when(F.col("is_random"), F.slice(suffix, F.lit(1), want)).otherwise(F.col("b")))
-    from parlance.functions.text import pair_limits
+    want = F.greatest(F.col("target") - F.size("a"), F.lit(1))
+    drawn = drawn.withColumn("b", F.slice(F.flatten(F.slice(F.col("_other"), first + 1, F.size("_other"))), F.lit(1), want))
+    j = inst.where(~F.col("is_random")).unionByName(drawn.drop("_pick", "_pos", "_m", "_other"))
     na, nb = pair_limits(F.size("a"), F.size("b"), F.lit(room))
     j = j.withColumns({"_na": na, "_nb": nb})
     # trimming takes a hashed share of the surplus from the front, the rest from the end
     front = lambda c, n, salt: F.floor(u(salt, F.col("instance")) * (F.size(c) - F.col(n) + 1)).cast("int")
-    return j.select(key, "instance", "is_random", F.slice("a", front("a", "_na", "fa") + 1, F.col("_na")).alias("a"),
+    return j.select(key, "copy", "instance", "is_random", F.slice("a", front("a", "_na", "fa") + 1, F.col("_na")).alias("a"),
                     F.slice("b", front("b", "_nb", "fb") + 1, F.col("_nb")).alias("b"))
 
 

@@ -259,7 +259,19 @@ def _(t):
     return label_merge(t)
 
 
+check_view("ck_own_examples", """
+SELECT parent_type, gender, dress_code, aspect, val, product_id, CAST(CASE WHEN r <= 2 THEN r ELSE 3 END AS INT) AS slot FROM (
+SELECT *, row_number() OVER (PARTITION BY parent_type, gender, dress_code, aspect, val ORDER BY product_id) AS r, count(*) OVER (PARTITION BY parent_type, gender, dress_code, aspect, val) AS c FROM (
+SELECT parent_type, gender, dress_code, split_part(item, '-', 1) AS aspect, substr(item, length(split_part(item, '-', 1)) + 2) AS val, product_id
+FROM (SELECT *, unnest(string_split(doc, ' ')) AS item FROM ck_rows JOIN ck_docs USING (product_id)))) WHERE r <= 2 OR r = c""")
+FIVE = [*C.GROUP, "aspect", "val"]
+
+
 @query("j18_merge_examples", """
-SELECT parent_type, gender, dress_code, item, effect, product_id, slot FROM ck_effect JOIN ck_examples USING (item)""")
+SELECT parent_type, gender, dress_code, aspect, val, effect, product_id, slot FROM (
+SELECT *, split_part(item, '-', 1) AS aspect, substr(item, length(split_part(item, '-', 1)) + 2) AS val FROM ck_effect) JOIN ck_own_examples USING (parent_type, gender, dress_code, aspect, val)""")
 def _(t):
-    return effects(t).select(*C.GROUP, "item", "effect").join(examples(t), "item")
+    """Examples of the group itself, merged on group, aspect and value."""
+    items = rows(t).select(*C.GROUP, "product_id").join(C.rule_docs(t.fx_items), "product_id").select(*C.GROUP, "product_id", F.explode(F.split("doc", " ")).alias("item"))
+    items = items.withColumns({"aspect": F.split_part("item", F.lit("-"), F.lit(1)), "val": F.expr("substring(item, length(split_part(item, '-', 1)) + 2)")})
+    return effects(t).select(*FIVE, "effect").join(C.example_values(items, FIVE, "product_id"), FIVE)

@@ -251,10 +251,9 @@ def _(t):
 
 
 @query("a45_collect_texts", """
-SELECT sender_id, 0 AS chunk, string_agg(text, '|' ORDER BY ts) AS texts FROM fx_user GROUP BY 1""")
+SELECT sender_id, row_number() OVER (PARTITION BY sender_id ORDER BY ts) AS pos, message AS text FROM fx_user WHERE message IS NOT NULL""")
 def _(t):
-    c = S.joined_texts(t.fx_user, "sender_id", "ts", "text", "texts")
-    return c.select("sender_id", F.lit(0).alias("chunk"), "texts")
+    return S.ordered_texts(t.fx_user.select("sender_id", "ts", F.col("message").alias("text")), "sender_id", ["ts"], "text")
 
 
 @query("a48_last_code_by_outcome", """
@@ -287,10 +286,15 @@ def _(t):
     return rounded(R.rates(d, ["lag_type", "response_code"], ["is_answered"]), "mean", "ci")
 
 
+# the event stream by user and channel: automatic events come from senders that never click
+check_view("ck_stream", """
+SELECT concat(CAST(user_id AS VARCHAR), CASE WHEN event_type IN ('error', 'signup') THEN ':auto' ELSE ':own' END) AS sender_id, event_type FROM events""")
+
+
 @query("a51_silent_senders", """
-SELECT sender_id, n FROM (SELECT sender_id, count(*) AS n, sum(is_answered) AS a FROM ck_jnd GROUP BY 1) LEFT JOIN ck_profile p USING (sender_id) WHERE n >= 5 AND a = 0 AND coalesce(clicks, 0) < 8""")
+SELECT sender_id, count(*) AS n FROM ck_stream GROUP BY 1 HAVING count(*) >= 30 AND count(*) FILTER (WHERE event_type = 'click') = 0""")
 def _(t):
-    g = conversation(t).groupBy("sender_id").agg(F.count(F.lit(1)).alias("n"), F.sum("is_answered").alias("a"))
-    g = g.where((F.col("n") >= 5) & (F.col("a") == 0)).join(click_profile(t), "sender_id", "left")
-    # every user of this data clicks, so "silent" means few clicks here
-    return g.where(F.coalesce("clicks", F.lit(0)) < 8).select("sender_id", "n")
+    channel = F.when(F.col("event_type").isin("error", "signup"), ":auto").otherwise(":own")
+    d = t.events.select(F.concat(F.col("user_id").cast("string"), channel).alias("sender_id"), "event_type")
+    profile = d.groupBy("sender_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"))
+    return S.silent_senders(d, "sender_id", profile)

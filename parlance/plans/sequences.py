@@ -182,10 +182,10 @@ def _(t):
 
 
 @query("w18_typing_noise", """
-WITH k AS (SELECT sender_id, ts, x FROM (SELECT *, text AS x, lead(text) OVER (PARTITION BY sender_id ORDER BY ts) AS nx FROM fx_user) WHERE nx IS NULL OR NOT contains(nx, x))
+WITH k AS (SELECT sender_id, ts, x FROM (SELECT *, message AS x, lead(message) OVER (PARTITION BY sender_id ORDER BY ts) AS nx FROM fx_user) WHERE nx IS NULL OR NOT contains(nx, x))
 SELECT sender_id, ts, x AS text FROM k WHERE sender_id IN (SELECT sender_id FROM k GROUP BY 1 HAVING count(*) = 1)""")
 def _(t):
-    return S.typing_noise(t.fx_user.select("sender_id", "ts", "text"), "sender_id", ["ts"], "text")
+    return S.typing_noise(t.fx_user.select("sender_id", "ts", F.col("message").alias("text")), "sender_id", ["ts"], "text")
 
 
 @query("w19_previous_value", "SELECT sender_id, ts, src, lag_type, lag(ts) OVER (PARTITION BY sender_id ORDER BY ts, src) AS lag_ts FROM ck_jnd")

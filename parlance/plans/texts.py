@@ -134,15 +134,31 @@ check_view("ck_pairs_ab", """
 SELECT doc_id, ws[1:len(ws) // 2] AS a, ws[len(ws) // 2 + 1:] AS b, CAST(len(ws) // 2 AS INT) AS na, CAST(len(ws) - len(ws) // 2 AS INT) AS nb FROM ck_words""")
 
 
+check_view("ck_vocab", """
+SELECT word, row_number() OVER (ORDER BY word) + 99 AS id FROM ck_known UNION ALL SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]']), unnest(range(4))""")
+
+
+def id_vocab(t):
+    """(word, id): the special tokens first, then the known words from 100 on."""
+    special = t.spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3)], "word string, id long")
+    return J.word_ids(known(t)).select("word", (F.col("id") + 100).alias("id")).unionByName(special)
+
+
 @query("x11_to_features", """
-WITH c AS (SELECT *, CASE WHEN na + nb > 125 THEN least(na, greatest(63, 125 - nb)) ELSE na END AS ka, CASE WHEN na + nb > 125 THEN least(nb, greatest(62, 125 - na)) ELSE nb END AS kb FROM ck_pairs_ab)
-SELECT doc_id, md5(array_to_string(list_concat(['[CLS]'], a[1:ka], ['[SEP]'], b[1:kb], ['[SEP]']), ' ')) AS tokens_key, CAST(ka + kb + 3 AS BIGINT) AS n_mask, CAST(kb + 1 AS BIGINT) AS n_second FROM c""")
+WITH c AS (SELECT *, CASE WHEN na + nb > 125 THEN least(na, greatest(63, 125 - nb)) ELSE na END AS ka, CASE WHEN na + nb > 125 THEN least(nb, greatest(62, 125 - na)) ELSE nb END AS kb FROM ck_pairs_ab),
+k AS (SELECT doc_id, ka, kb, list_concat(['[CLS]'], a[1:ka], ['[SEP]'], b[1:kb], ['[SEP]']) AS t FROM c),
+e AS (SELECT doc_id, unnest(t) AS word, unnest(range(len(t))) AS i FROM k),
+i AS (SELECT doc_id, list(coalesce(v.id, 1) ORDER BY i) AS ids FROM e LEFT JOIN ck_vocab v ON v.word = e.word GROUP BY 1)
+SELECT doc_id, md5(array_to_string(t, ' ')) AS tokens_key, CAST(ka + kb + 3 AS BIGINT) AS n_mask, CAST(kb + 1 AS BIGINT) AS n_second,
+  md5(array_to_string(list_concat(ids, list_transform(range(128 - len(ids)), lambda x: CAST(0 AS BIGINT))), ' ')) AS ids_key FROM k JOIN i USING (doc_id)""")
 def _(t):
     half = F.floor(F.size("ws") / 2).cast("int")
     d = tokens(t).select("doc_id", F.slice("ws", F.lit(1), half).alias("a"), F.slice("ws", half + 1, F.size("ws")).alias("b"))
     f = T.model_features(F.col("a"), F.col("b"), 128)
     add = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x).cast("long")
-    return d.select("doc_id", F.md5(F.array_join(f["tokens"], " ")).alias("tokens_key"), add(f["mask"]).alias("n_mask"), add(f["segments"]).alias("n_second"))
+    d = d.select("doc_id", f["tokens"].alias("tokens"), add(f["mask"]).alias("n_mask"), add(f["segments"]).alias("n_second"))
+    ids = J.token_ids(d, ["doc_id"], "tokens", id_vocab(t), 128).select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_key"))
+    return d.join(ids, "doc_id").select("doc_id", F.md5(F.array_join("tokens", " ")).alias("tokens_key"), "n_mask", "n_second", "ids_key")
 
 
 # window settings of the checks: at most 64 tokens, stride 24, query of doc_id % 8 tokens
@@ -203,11 +219,14 @@ def _(t):
 
 
 @query("x13_tighten", """
-SELECT doc_id, CAST(s AS BIGINT) AS tok_start, CAST(e AS BIGINT) AS tok_end FROM (SELECT doc_id, len(ws) // 3 + CASE WHEN len(ws) > 8 AND ws[len(ws) // 3 + 1] <> ws[len(ws) // 3 + 2] THEN 1 ELSE 0 END AS s, CASE WHEN len(ws) > 8 THEN len(ws) // 3 + CASE WHEN ws[len(ws) // 3 + 1] = ws[len(ws) // 3 + 2] THEN 0 ELSE 1 END ELSE len(ws) - 1 END AS e FROM ck_words WHERE len(ws) > 8)""")
+WITH d AS (SELECT doc_id, ws, len(ws) // 3 AS lo, len(ws) - 1 AS hi, (2 * len(ws)) // 3 AS a FROM ck_words WHERE len(ws) > 0),
+x AS (SELECT *, least(3, len(ws) - a) AS m, array_to_string(ws[a + 1:a + 3], ' ') AS answer FROM d),
+h AS (SELECT *, list_min(list_filter(range(lo, hi - m + 2), lambda i: array_to_string(ws[i + 1:i + m], ' ') = answer)) AS hit FROM x)
+SELECT doc_id, CAST(coalesce(hit, lo) AS BIGINT) AS tok_start, CAST(coalesce(hit + m - 1, hi) AS BIGINT) AS tok_end FROM h""")
 def _(t):
     third = F.floor(F.col("len") / 3).cast("int")
-    d = long_docs(t).where("len > 8").select("doc_id", "ws", third.alias("tok_start"), (third + 2).alias("tok_end"))
-    d = d.withColumn("answer", F.get("ws", F.col("tok_start") + 1))
+    d = long_docs(t).select("doc_id", "ws", third.alias("tok_start"), (F.col("len") - 1).alias("tok_end"), F.floor(2 * F.col("len") / 3).cast("int").alias("a"))
+    d = d.withColumn("answer", F.array_join(F.slice("ws", F.col("a") + 1, F.lit(3)), " "))
     return longs(J.tighten(d, "ws", "tok_start", "tok_end", F.col("answer")).select("doc_id", "tok_start", "tok_end"), "tok_start", "tok_end")
 
 
@@ -240,29 +259,52 @@ def sentences(t):
     return t.texts.select("doc_id", F.filter(F.transform(lines, T.split_words), lambda s: F.size(s) > 0).alias("sentences"))
 
 
-@query("x15_pair_instances")
-def _(t):
-    p = J.pair_instances(sentences(t), "doc_id", n_max=64)
-    return p.select("doc_id", "instance", "is_random", F.size("a").alias("n_a"), F.size("b").alias("n_b"),
-                    F.md5(F.array_join(F.concat("a", F.array(F.lit("|")), "b"), " ")).alias("tokens_key"))
+UNIT = "(CAST(concat('0x', substr(md5(concat_ws(':', {})), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
-UNIT = "(CAST(concat('0x', substr(md5(concat_ws(':', {})), 1, 7)) AS BIGINT) / 268435456.0)"
+def drawn(*parts):
+    """The check's number in [0, 1) of an instance or document."""
+    return UNIT.format("'1', name, " + ", ".join(parts))
+
+
+CHUNK = f"""SELECT *, CASE WHEN random THEN p0 + a_len ELSE stop END AS nxt FROM (
+ SELECT *, CASE WHEN stop - p0 >= 2 THEN 1 + CAST(floor({drawn("'a'", "CAST(p0 AS VARCHAR)")} * (stop - p0 - 1)) AS BIGINT) ELSE 1 END AS a_len, stop - p0 = 1 OR {drawn("'next'", "CAST(p0 AS VARCHAR)")} < 0.5 AS random FROM (
+ SELECT *, coalesce(list_min(list_filter(range(p0 + 1, n + 1), lambda j: cum[j + 1] - cum[p0 + 1] >= target)), n) AS stop FROM ({{}})))"""
+
+
+@query("x15_pair_instances", f"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda l: length(trim(l, ' ')) > 0), lambda l: list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '')), lambda l: len(l) > 0) AS ss FROM fx_texts),
+d AS (SELECT doc_id, ss, len(ss) AS n, list_transform(range(0, len(ss) + 1), lambda j: CAST(coalesce(list_sum(list_transform(ss[1:j], lambda x: len(x))), 0) AS BIGINT)) AS cum,
+  row_number() OVER (ORDER BY doc_id) AS pos, count(*) OVER () AS m FROM s WHERE len(ss) > 0),
+t AS (SELECT *, CASE WHEN {drawn("'short'")} < 0.1 THEN 2 + CAST(floor({drawn("'len'")} * 60) AS BIGINT) ELSE 61 END AS target FROM (SELECT doc_id, n, cum, c, concat(CAST(doc_id AS VARCHAR), ':', CAST(c AS VARCHAR)) AS name FROM d, unnest(range(2)) AS u(c))),
+w AS ({CHUNK.format("SELECT doc_id, c, name, target, n, cum, CAST(0 AS BIGINT) AS inst, CAST(0 AS BIGINT) AS p0 FROM t")}
+ UNION ALL {CHUNK.format("SELECT doc_id, c, name, target, n, cum, inst + 1 AS inst, nxt AS p0 FROM w WHERE nxt < n")}),
+p AS (SELECT w.*, d.ss, pos, m, flatten(d.ss[p0 + 1:p0 + a_len]) AS a, 1 + CAST(floor({drawn("'other'", "CAST(inst AS VARCHAR)")} * (m - 1)) AS BIGINT) AS pk FROM w JOIN d USING (doc_id)),
+o AS (SELECT p.*, o.ss AS oss FROM p JOIN d o ON o.pos = pk + CASE WHEN pk >= p.pos AND p.m > 1 THEN 1 ELSE 0 END),
+b AS (SELECT *, CASE WHEN random THEN flatten(oss[CAST(floor({drawn("'start'", "CAST(inst AS VARCHAR)")} * len(oss)) AS BIGINT) + 1:])[1:greatest(target - len(a), 1)] ELSE flatten(ss[p0 + a_len + 1:stop]) END AS b FROM o),
+l AS (SELECT *, CASE WHEN len(a) + len(b) > 61 THEN least(len(a), greatest(31, 61 - len(b))) ELSE len(a) END AS na, CASE WHEN len(a) + len(b) > 61 THEN least(len(b), greatest(30, 61 - len(a))) ELSE len(b) END AS nb FROM b),
+f AS (SELECT *, CAST(floor({drawn("'fa'", "CAST(inst AS VARCHAR)")} * (len(a) - na + 1)) AS BIGINT) AS fa, CAST(floor({drawn("'fb'", "CAST(inst AS VARCHAR)")} * (len(b) - nb + 1)) AS BIGINT) AS fb FROM l)
+SELECT doc_id, CAST(c AS INT) AS copy, CAST(inst AS INT) AS instance, random AS is_random, CAST(na AS INT) AS n_a, CAST(nb AS INT) AS n_b,
+  md5(array_to_string(list_concat(list_append(a[fa + 1:fa + na], '|'), b[fb + 1:fb + nb]), ' ')) AS tokens_key FROM f""")
+def _(t):
+    p = J.pair_instances(sentences(t), "doc_id", n_max=64, copies=2)
+    return p.select("doc_id", "copy", "instance", "is_random", F.size("a").alias("n_a"), F.size("b").alias("n_b"),
+                    F.md5(F.array_join(F.concat("a", F.array(F.lit("|")), "b"), " ")).alias("tokens_key"))
 
 
 @query("x16_masked_tokens", f"""
-WITH tk AS (SELECT doc_id, list_concat(['[CLS]'], ws[1:62], ['[SEP]']) AS t FROM ck_words WHERE len(ws) > 0),
-c AS (SELECT doc_id, unnest(t) AS label, unnest(range(len(t))) AS pos, len(t) AS n FROM tk),
-h AS (SELECT *, {UNIT.format("'1', CAST(doc_id AS VARCHAR), CAST(pos AS VARCHAR)")} AS h FROM c WHERE label NOT IN ('[CLS]', '[SEP]')),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h, pos) AS r FROM h),
-m AS (SELECT *, {UNIT.format("'1', 'kind', CAST(doc_id AS VARCHAR), CAST(pos AS VARCHAR)")} AS kind FROM k WHERE r <= least(20, greatest(1, CAST(round_even(n * 0.15, 0) AS INT)))),
+WITH tk AS (SELECT doc_id, w, concat(CAST(doc_id AS VARCHAR), '#', CAST(w AS VARCHAR)) AS k, list_concat(['[CLS]'], ws[62 * w + 1:62 * w + 62], ['[SEP]']) AS t FROM ck_words, unnest(range((len(ws) + 61) // 62)) AS u(w)),
+c AS (SELECT doc_id, w, k, unnest(t) AS label, unnest(range(len(t))) AS pos, len(t) AS n FROM tk),
+h AS (SELECT *, {UNIT.format("'1', k, CAST(pos AS VARCHAR)")} AS h FROM c WHERE label NOT IN ('[CLS]', '[SEP]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h, pos) AS r FROM h),
+m AS (SELECT *, {UNIT.format("'1', 'kind', k, CAST(pos AS VARCHAR)")} AS kind FROM r WHERE r <= least(20, greatest(1, CAST(round_even(n * 0.15, 0) AS INT)))),
 v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM ck_known),
-w AS (SELECT m.*, CAST(floor({UNIT.format("'1', 'word', CAST(doc_id AS VARCHAR), CAST(pos AS VARCHAR)")} * (SELECT count(*) FROM v)) AS BIGINT) AS id FROM m)
-SELECT doc_id, CAST(pos AS INT) AS pos, label, CASE WHEN kind < 0.8 THEN '[MASK]' WHEN kind < 0.9 THEN label ELSE v.word END AS token FROM w LEFT JOIN v USING (id)""")
+o AS (SELECT m.*, CAST(floor({UNIT.format("'1', 'word', k, CAST(pos AS VARCHAR)")} * (SELECT count(*) FROM v)) AS BIGINT) AS id FROM m)
+SELECT doc_id, CAST(w AS INT) AS window, CAST(pos AS INT) AS pos, label, CASE WHEN kind < 0.8 THEN '[MASK]' WHEN kind < 0.9 THEN label ELSE v.word END AS token FROM o LEFT JOIN v USING (id)""")
 def _(t):
-    toks = F.concat(F.array(F.lit("[CLS]")), F.slice("ws", 1, 62), F.array(F.lit("[SEP]")))
-    d = tokens(t).where(F.size("ws") > 0).select("doc_id", toks.alias("tokens"))
-    return J.masked_tokens(d, "doc_id", "tokens", J.word_ids(known(t)))
+    w = J.token_windows(tokens(t), "doc_id", "ws", 62).withColumn("key", F.concat(F.col("doc_id").cast("string"), F.lit("#"), F.col("window").cast("string")))
+    m = J.masked_tokens(w, "key", "tokens", J.word_ids(known(t)))
+    return m.select(F.split_part("key", F.lit("#"), F.lit(1)).cast("long").alias("doc_id"), F.split_part("key", F.lit("#"), F.lit(2)).cast("int").alias("window"), "pos", "label", "token")
 
 
 @query("x17_training_text_stats", """
@@ -280,9 +322,9 @@ def _(t):
     return R.top_words(t.texts.select("lang", F.explode(T.words("text")).alias("word")), ["lang"], 30)
 
 
-@query("a23_text_counts", "SELECT text, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM fx_user GROUP BY 1")
+@query("a23_text_counts", "SELECT message AS text, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM fx_user GROUP BY 1")
 def _(t):
-    return R.count_share(t.fx_user, ["text"]).withColumn("share", F.round("share", 6))
+    return R.count_share(t.fx_user.select(F.col("message").alias("text")), ["text"]).withColumn("share", F.round("share", 6))
 
 
 @query("a53_label_word_freq", f"""

@@ -24,7 +24,7 @@ SELECT conv_id AS sender_id, CAST(conv_id % 3 AS INT) AS retailer_id, 1704067200
 FROM {conversations} WHERE role = 'assistant'""",
     "fx_user": """
 SELECT conv_id AS sender_id, CAST(conv_id % 3 AS INT) AS retailer_id, 1704067200 + conv_id * 100000 + turn * 45 AS ts,
-  concat(CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END, CAST((conv_id + turn) % 3 AS VARCHAR(9))) AS text,
+  concat(CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END, CAST((conv_id + turn) % 3 AS VARCHAR(9))) AS text, text AS message,
   CASE (conv_id + turn) % 4 WHEN 0 THEN 'color' WHEN 1 THEN 'color,fit' WHEN 2 THEN 'fit' END AS positive_aspects,
   CASE WHEN conv_id % 2 = 0 AND turn < 2 THEN NULL WHEN conv_id % 3 = 0 THEN 'clothing' ELSE 'footwear' END AS subvertical,
   CASE WHEN turn < 2 THEN NULL WHEN conv_id % 4 = 0 THEN 'shirt' WHEN conv_id % 4 = 1 THEN 'jeans' ELSE 'pants' END AS product_type

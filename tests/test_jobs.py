@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import metrics as ME
 from parlance.functions import vectors as V
+from parlance.operators import sequence as Q
 from parlance.operators import models as M
 from parlance.operators import retrieval as R
 from parlance.operators import sampling as S
@@ -315,3 +316,69 @@ def test_candidates_are_drawn_per_query(spark):
     for k in range(5):
         top = [r.text for r in rows if r.q_id == k and not r.is_random]
         assert len(top) == len(set(top)) == 8 and f"t{k}" not in top
+
+
+def test_token_ids(spark):
+    vocab = ["[UNK]", "[CLS]", "[SEP]", "want", "##want", "##ed", "wa", "un", "runn", "##ing", ","]
+    v = spark.createDataFrame([(w, i) for i, w in enumerate(vocab)], "word string, id long")
+    df = spark.createDataFrame([(1, ["un", "##want", "##ed", ",", "runn", "##ing"]), (2, ["zzz", None, "un"])], "k int, t array<string>")
+    assert {r.k: r.ids for r in J.token_ids(df, ["k"], "t", v).collect()} == {1: [7, 4, 5, 10, 8, 9], 2: [0, 0, 7]}
+    assert {r.k: r.ids for r in J.token_ids(df, ["k"], "t", v, 4).collect()} == {1: [7, 4, 5, 10], 2: [0, 0, 7, 0]}
+
+
+def test_token_windows_keep_every_word(spark):
+    df = spark.createDataFrame([(n, [f"w{i}" for i in range(n)]) for n in range(12)], "k int, t array<string>")
+    got = {}
+    for r in J.token_windows(df, "k", "t", 5).orderBy("k", "window").collect():
+        assert r.tokens[0] == "[CLS]" and r.tokens[-1] == "[SEP]" and len(r.tokens) <= 7
+        got[r.k] = got.get(r.k, []) + r.tokens[1:-1]
+    assert got == {n: [f"w{i}" for i in range(n)] for n in range(1, 12)}
+
+
+def test_pairs_of_one_document_and_of_copies(spark):
+    one = spark.createDataFrame([("only", [["a", "b"], ["c"]] * 4)], "id string, sentences array<array<string>>")
+    rows = J.pair_instances(one, "id", n_max=8, copies=5).collect()
+    assert {r.copy for r in rows} == set(range(5)) and any(r.is_random for r in rows)
+    assert all(r.a and r.b for r in rows if r.is_random)
+    docs = spark.createDataFrame([(i, [[f"{i}:{j}"] * 3 for j in range(20)]) for i in range(10)], "id int, sentences array<array<string>>")
+    made = {}
+    for r in J.pair_instances(docs, "id", n_max=20, copies=3).collect():
+        made.setdefault(r.copy, []).append((r.id, r.instance, r.is_random, tuple(r.a), tuple(r.b)))
+    assert len({tuple(sorted(v)) for v in made.values()}) == 3  # every copy draws for itself
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_spans_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    words = {k: [rnd.choice("abcdé") for _ in range(rnd.randrange(1, 40))] for k in range(12)}
+    nulls = {k: rnd.choice([-9.0, 1.0, 3.0]) for k in words}
+    scores = []
+    for k, ws in words.items():
+        for start in range(0, len(ws), 7):
+            n = min(10, len(ws) - start)
+            scores.append((k, start, [rnd.randrange(9) / 4 for _ in range(n)], [rnd.randrange(9) / 4 for _ in range(n)], [rnd.random() < 0.7 for _ in range(n)]))
+    want = set()
+    for k, ws in words.items():
+        best = {"": nulls[k]}
+        for key, start, s, e, fit in scores:
+            if key != k:
+                continue
+            top = lambda v: sorted(range(len(v)), key=lambda i: (-v[i], i))[:3]
+            for i in top(s):
+                for j in top(e):
+                    if fit[i] and i <= j < i + 4:
+                        t = " ".join(ws[start + i: start + j + 1])
+                        best[t] = max(best.get(t, -99), s[i] + e[j])
+        order = sorted(best.items(), key=lambda x: (-x[1], x[0]))
+        want |= {(k, i + 1, t, v) for i, (t, v) in enumerate(order[:3])}
+        if "" not in [t for t, _ in order[:3]]:
+            want.add((k, 4, "", nulls[k]))
+    df = spark.createDataFrame(scores, "k int, start int, start_logits array<double>, end_logits array<double>, is_max array<boolean>")
+    got = J.best_spans(df, spark.createDataFrame(list(words.items()), "k int, words array<string>"), spark.createDataFrame(list(nulls.items()), "k int, null_score double"), "k", 3, 4)
+    assert {(r.k, r["rank"], r.text, r.score) for r in got.collect()} == want
+
+
+def test_silent_senders(spark):
+    turns = spark.createDataFrame([(k,) for k, n in (("a", 40), ("b", 40), ("c", 29), ("d", 30), ("e", 50)) for _ in range(n)], "s string")
+    profile = spark.createDataFrame([("a", 0), ("b", 3), ("d", None)], "s string, clicks int")
+    assert {tuple(r) for r in Q.silent_senders(turns, "s", profile).collect()} == {("a", 40), ("d", 30), ("e", 50)}

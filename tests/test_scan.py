@@ -97,13 +97,14 @@ def test_collected_chunks(spark):
 def test_large_keys_give_one_row(spark, monkeypatch):
     from types import SimpleNamespace
     from parlance.plans import load
-    user = spark.range(10_500).select(F.lit("s").alias("sender_id"), F.col("id").alias("ts"), F.col("id").cast("string").alias("text"))
+    user = spark.range(10_500).select(F.lit("s").alias("sender_id"), F.col("id").alias("ts"), F.col("id").cast("string").alias("message"))
     clicks = spark.range(2500).select(F.lit("u").alias("user_id"), F.col("id").alias("ts"), F.col("id").alias("event_id"), F.when(F.col("id") % 5 == 0, "add to cart").otherwise("click").alias("action"))
     registry = load()
     monkeypatch.setattr(registry, "Tables", lambda spark, path: SimpleNamespace(fx_user=user, fx_clicks=clicks))
     texts = registry.QUERIES["a45_collect_texts"](spark, "").collect()
-    assert [(r.chunk, r.texts) for r in texts] == [(0, "|".join(map(str, range(10_500))))]
-    assert [tuple(r) for r in registry.QUERIES["p35_count_actions"](spark, "").collect()] == [("u", 0, 2000, 500)]
+    assert sorted((r.pos, r.text) for r in texts) == [(i + 1, str(i)) for i in range(10_500)]
+    assert sorted(tuple(r) for r in Q.ordered_texts(user, "sender_id", ["ts"], "message", hot_rows=1000).collect()) == sorted(("s", r.pos, r.text) for r in texts)
+    assert [tuple(r) for r in registry.QUERIES["p35_count_actions"](spark, "").collect()] == [("u", 2000, 500)]
 
 
 @pytest.mark.parametrize("hot", [10**9, 20])
