@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.expr import item_tokens, keep_scored, skipped_aspect
 from parlance.functions.scan import top_per_key
+from parlance.session import pinned
 
 GROUP = ["parent_type", "gender", "dress_code"]
 
@@ -182,21 +183,40 @@ def code_groups(rows: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes")))).alias("codes"), F.count(F.lit(1)).alias("n"))
 
 
-def disjoint_groups(groups: DataFrame) -> DataFrame:
+GROUPS = 500  # groups of one type and gender that a block holds
+
+
+def intersecting_groups(groups: DataFrame) -> DataFrame:
+    """(type, gender, dress_code, other_code): groups of one type and gender that share a
+    code, and every group with itself.  Found through an index from codes to groups."""
+    at = groups.select(*GROUP, F.explode("codes").alias("_code"))
+    met = at.join(at.withColumnRenamed("dress_code", "other_code"), ["parent_type", "gender", "_code"])
+    return met.select(*GROUP, "other_code").union(groups.select(*GROUP, F.col("dress_code"))).distinct()
+
+
+def disjoint_groups(groups: DataFrame, block: int = GROUPS) -> DataFrame:
     """Pairs of groups of one type and gender that share no code.  Works on the group
-    table (one row per type, gender and code), never on products."""
+    table (one row per type, gender and code), never on products.  The groups of a type and
+    gender meet block by block, so that one of them with many groups is not one task."""
     a = groups.select("parent_type", "gender", "dress_code", "codes")
-    b = a.withColumnsRenamed({"dress_code": "other_code", "codes": "other_codes"})
-    return (a.join(b, ["parent_type", "gender"])
+    n = a.groupBy("parent_type", "gender").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    a = a.join(n, ["parent_type", "gender"]).withColumn("_b", F.pmod(F.xxhash64("dress_code"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    left = a.withColumn("_c", every).drop("_n")
+    right = a.withColumnRenamed("_b", "_c").withColumn("_b", every).drop("_n").withColumnsRenamed({"dress_code": "other_code", "codes": "other_codes"})
+    return (left.join(right, ["parent_type", "gender", "_b", "_c"])
             .where((F.col("dress_code") != F.col("other_code")) & ~F.arrays_overlap("codes", "other_codes"))
             .select(*GROUP, "other_code"))
 
 
-def pos_neg_dataset(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of a group as class 1 and rows of its disjoint groups as class 0."""
+def pos_neg_dataset(rows: DataFrame, pairs: DataFrame, salts: int = 16) -> DataFrame:
+    """Rows of a group as class 1 and rows of its disjoint groups as class 0.  The rows of a
+    group are dealt to ``salts`` parts, which its pairs meet one by one."""
     pos = rows.withColumn("class", F.lit(1))
-    neg = (rows.withColumnRenamed("dress_code", "other_code").join(pairs, ["parent_type", "gender", "other_code"])
-           .drop("other_code").withColumn("class", F.lit(0)))
+    part = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    each = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    neg = (part.withColumnRenamed("dress_code", "other_code").join(each, ["parent_type", "gender", "other_code", "_salt"])
+           .drop("other_code", "_salt").withColumn("class", F.lit(0)))
     return pos.unionByName(neg.select(*pos.columns))
 
 
@@ -206,22 +226,27 @@ def rule_docs(items: DataFrame) -> DataFrame:
     return item_docs(keep.withColumn("item", F.replace("item", F.lit(" "), F.lit("_")))).withColumnRenamed("basket_id", "product_id")
 
 
-def feature_counts(rows: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """n, n_class, n_feature and n_both of every token in every group's positive /
-    negative data, without building that data: tokens are counted per group first
-    and only the counts are combined over the disjoint groups."""
-    own_n = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+def feature_counts(rows: DataFrame, docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """n, n_class, n_feature and n_both of every token in every group's positive / negative
+    data, without building that data or listing disjoint groups: tokens are counted per
+    group and per (type, gender), and from the latter the counts of the groups that share a
+    code are taken away.  groups: one row per group with its codes."""
+    near = pinned(intersecting_groups(groups))
+    side = GROUP[:2]
+    n = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
     tokens = rows.join(docs, "product_id").select(*GROUP, F.explode(F.array_distinct(F.split("doc", " "))).alias("item"))
-    own_f = tokens.groupBy(*GROUP, "item").agg(F.count(F.lit(1)).alias("n"))
-    link = ["parent_type", "gender", "other_code"]
-    other = lambda d: d.withColumnRenamed("dress_code", "other_code").join(pairs, link)
-    neg_n = other(own_n).groupBy(*GROUP).agg(F.sum("n").alias("neg"))
-    sizes = own_n.join(neg_n, GROUP, "left").select(
-        *GROUP, F.col("n").alias("n_class"), (F.col("n") + F.coalesce("neg", F.lit(0))).alias("n"))
-    both = own_f.select(*GROUP, "item", F.col("n").alias("b"), F.lit(0).cast("long").alias("o")).unionByName(
-        other(own_f).select(*GROUP, "item", F.lit(0).cast("long").alias("b"), F.col("n").alias("o")))
-    f = both.groupBy(*GROUP, "item").agg(F.sum("b").alias("n_both"), F.sum(F.col("b") + F.col("o")).alias("n_feature"))
-    return f.join(sizes, GROUP)
+    f = pinned(tokens.groupBy(*GROUP, "item").agg(F.count(F.lit(1)).alias("n")))
+    of_near = lambda d, more: (d.withColumnRenamed("dress_code", "other_code").join(near, [*side, "other_code"])
+                               .groupBy(*GROUP, *more).agg(F.sum("n").alias("near")))
+    whole = lambda d, more: d.groupBy(*side, *more).agg(F.sum("n").alias("all"))
+    sizes = n.join(whole(n, []), side).join(of_near(n, []), GROUP).select(
+        *GROUP, F.col("n").alias("n_class"), (F.col("n") + F.col("all") - F.col("near")).alias("n"))
+    # tokens of a group's own rows and of its disjoint groups' rows
+    own = f.select(*GROUP, "item", F.col("n").alias("n_both"))
+    every = n.select(*GROUP).join(whole(f, ["item"]), side)
+    c = every.join(own, [*GROUP, "item"], "left").join(of_near(f, ["item"]), [*GROUP, "item"], "left").na.fill(0, ["n_both", "near"])
+    c = c.select(*GROUP, "item", "n_both", (F.col("n_both") + F.col("all") - F.col("near")).alias("n_feature")).where("n_feature > 0")
+    return c.join(sizes, GROUP)
 
 
 def feature_effects(counts: DataFrame, thresh: float = 1.0, alpha: float = 2.0) -> DataFrame:

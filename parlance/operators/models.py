@@ -13,17 +13,18 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from parlance.functions import metrics as M
 from parlance.functions.scan import null_safe_join
 from parlance.operators.rule_mining import maximal as keep_maximal
 from parlance.operators.sampling import stratified_folds
 from parlance.operators.textjobs import word_ids
-from parlance.session import pinned, release
+from parlance.session import pinned, release, scratch
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -55,10 +56,19 @@ def boosted_trees_cv(df: DataFrame, key: str, folds: int = 3, **params) -> DataF
     return reduce(DataFrame.unionByName, out)
 
 
+def held_out(df: DataFrame, key: str, label: str = "label", share: float = 0.2) -> DataFrame:
+    """The rows written once with ``held_out``: true for ``share`` of each label."""
+    from parlance.operators.sampling import stratified_split
+    d = stratified_split(df, key, label, test=share, dev=0.0)
+    return pinned(d.withColumn("held_out", F.col("part") == "test").drop("part"))
+
+
 def weighted_trees(df: DataFrame, negative: float = 0.5, **params):
-    """Boosted trees with row weight 1 for positives and ``negative`` for the rest."""
+    """Boosted trees with row weight 1 for positives and ``negative`` for the rest.  With a
+    column ``held_out`` those rows are not fitted, and rounds end when they gain no more."""
     w = df.withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(negative))
-    return boosted_trees(weightCol="weight", **params).fit(pinned(w.select("label", "features", "weight")))
+    more = {"validationIndicatorCol": "held_out"} if "held_out" in df.columns else {}
+    return boosted_trees(weightCol="weight", **more, **params).fit(pinned(w.select("label", "features", "weight", *(["held_out"] if more else []))))
 
 
 def top_features(model, names: list[str], n: int = 20, least: float = 0.0) -> list[tuple[str, float]]:
@@ -88,13 +98,24 @@ def token_ids(df: DataFrame, tokens: str) -> DataFrame:
 
 def count_vectors(df: DataFrame, tokens: str, ids: DataFrame, binary: bool = False) -> DataFrame:
     """``features`` in place of the tokens: the sparse counts (or 0/1) of those that have an
-    id; a row without any has an empty vector.  ``df`` is a ``numbered`` table."""
+    id; a row without any has an empty vector.  ``df`` is a ``numbered`` table.
+
+    The vectors are made of columns: the table is written with the fields of a sparse
+    vector and read back as vectors, so no row passes through Python."""
     size = ids.count()
     n = F.lit(1.0) if binary else F.count(F.lit(1)).cast("double")
     counts = df.select("_row", F.explode(tokens).alias("word")).groupBy("_row", "word").agg(n.alias("n"))
     pairs = counts.join(ids, "word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("id"), "n"))).alias("_p"))
-    sparse = F.udf(lambda i, v: Vectors.sparse(size, i or [], v or []), VectorUDT())
-    return df.drop(tokens).join(pairs, "_row", "left").withColumn("features", sparse("_p.id", "_p.n")).drop("_row", "_p")
+    none = F.array().cast("array<struct<id:int,n:double>>")
+    d = df.drop(tokens).join(pairs, "_row", "left").withColumn("_p", F.coalesce("_p", none))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("_p.id").alias("indices"), F.col("_p.n").alias("values"))
+    d = d.withColumn("features", vector).drop("_row", "_p")
+    path = scratch(df.sparkSession)
+    d.write.parquet(path)
+    kept = [f for f in d.schema.fields if f.name != "features"]
+    out = df.sparkSession.read.schema(StructType([*kept, StructField("features", VectorUDT())])).parquet(path)
+    out._pinned_at = path
+    return out
 
 
 def names_of(ids: DataFrame, wanted: set[int]) -> dict[int, str]:
@@ -107,7 +128,7 @@ def text_classifier(train: DataFrame, test: DataFrame, tokens: str, rounds: int
     """Token counts to logistic regression; predictions on the test rows."""
     train = numbered(train.select("label", tokens))
     ids = token_ids(train, tokens)
-    x = pinned(count_vectors(train, tokens, ids).select(F.col("label").cast("double").alias("label"), "features"))
+    x = count_vectors(train, tokens, ids).select(F.col("label").cast("double").alias("label"), "features")
     release(train)
     lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=rounds).fit(x)
     return lr.transform(count_vectors(numbered(test.select("label", tokens)), tokens, ids))
@@ -116,7 +137,7 @@ def text_classifier(train: DataFrame, test: DataFrame, tokens: str, rounds: int
 def topics(df: DataFrame, key: str, tokens: str, k: int = 4, passes: int = 10, least: float = 0.35, seed: int = 100) -> DataFrame:
     """(key, topic, weight): the dominant topic of each document where it is clear."""
     df = numbered(df.select(key, tokens))
-    counts = pinned(count_vectors(df, tokens, token_ids(df, tokens)).select(key, "features"))
+    counts = count_vectors(df, tokens, token_ids(df, tokens)).select(key, "features")
     model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online").fit(counts)
     w = vector_to_array("topicDistribution")
     d = model.transform(counts).select(key, F.array_max(w).alias("weight"), (F.array_position(w, F.array_max(w)) - 1).alias("topic"))
@@ -129,13 +150,14 @@ def item_features(df: DataFrame, items: str) -> tuple[DataFrame, DataFrame]:
     """0/1 vectors of all items, and (word, id) of the items."""
     df = numbered(df)
     ids = token_ids(df, items)
-    return pinned(count_vectors(df, items, ids, binary=True)), ids
+    return count_vectors(df, items, ids, binary=True), ids
 
 
 def l1_path(df: DataFrame, items: str, steps: int = 16, rounds: int = 100, least: float = 0.01) -> DataFrame:
     """L1 logistic regression over a grid of strengths: (step, strength, precision,
-    recall, score, features).  The grid starts from the strength at which every
-    coefficient is zero, divided by 10^3 .. 10^7."""
+    recall, score, best, features).  The grid starts from the strength at which every
+    coefficient is zero, divided by 10^3 .. 10^7; ``best`` marks the highest score, 0.9
+    precision + 0.1 recall, and of equal ones the strongest penalty."""
     x, ids = item_features(df, items)
     x = x.select("label", "features")
     sign = F.when(F.col("label") == 1, 1).otherwise(-1)
@@ -153,16 +175,21 @@ def l1_path(df: DataFrame, items: str, steps: int = 16, rounds: int = 100, least
         coef = {m: float(v) for m, v in enumerate(model.coefficients.toArray()) if abs(v) > least}
         rows.append((i, strength, precision, recall, 0.9 * precision + 0.1 * recall, coef))
     names = names_of(ids, {m for r in rows for m in r[-1]})
+    best = max(rows, key=lambda r: (r[4], -r[0]))[0] if rows else None
     for k, (*head, coef) in enumerate(rows):
-        rows[k] = (*head, [t for _, t in sorted(((abs(v), f"{names[m]}:{v:.4f}") for m, v in coef.items()), reverse=True)])
-    return df.sparkSession.createDataFrame(rows, "step int, strength double, precision double, recall double, score double, features array<string>")
+        rows[k] = (*head, head[0] == best, [t for _, t in sorted(((abs(v), f"{names[m]}:{v:.4f}") for m, v in coef.items()), reverse=True)])
+    return df.sparkSession.createDataFrame(rows, "step int, strength double, precision double, recall double, score double, best boolean, features array<string>")
 
 
-def forest_importance(df: DataFrame, items: str, trees: int = 50, least: float = 0.001, seed: int = 0) -> DataFrame:
-    """(method, item, importance) of one-split trees and of an L1 linear model."""
+def forest_importance(df: DataFrame, items: str, trees: int = 50, least: float = 0.001, strength: float = 1.0, seed: int = 0) -> DataFrame:
+    """(method, item, importance) of one-split trees and of an L1 linear model of the given
+    strength on the plain 0/1 features."""
     x, ids = item_features(df, items)
-    rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=1, seed=seed).fit(x)
-    lasso = LinearRegression(labelCol="label", featuresCol="features", elasticNetParam=1.0, regParam=0.01).fit(x)
+    # on 0/1 labels the variance of a regression tree is half the Gini impurity, and unlike a
+    # classification tree it keeps a split whose sides have one majority
+    x = x.withColumn("label", F.col("label").cast("double"))
+    rf = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=1, featureSubsetStrategy="sqrt", seed=seed).fit(x)
+    lasso = LinearRegression(labelCol="label", featuresCol="features", elasticNetParam=1.0, regParam=strength, standardization=False).fit(x)
     found = [(how, i, abs(float(v))) for how, x in (("forest", rf.featureImportances), ("linear", lasso.coefficients)) for i, v in enumerate(x.toArray()) if abs(v) > least]
     names = names_of(ids, {i for _, i, _ in found})
     rows = [(how, names[i], v) for how, i, v in found]
@@ -193,28 +220,36 @@ def _impurity(pos: Column, neg: Column) -> Column:
     return F.coalesce(2 * pos * neg / F.nullif(pos + neg, F.lit(0.0)), F.lit(0.0))
 
 
-def group_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 30, min_leaf: int = 5, min_gain: float = 0.01) -> DataFrame:
-    """A classification tree per group, for all groups in one level-wise pass:
-    (keys, node, path, label, cover, share, prob) per leaf.
+def _class_weight(positive: bool) -> Column:
+    """Summed row weight of the positive class or of the rest."""
+    w = F.col("_w")
+    return F.sum(F.when(F.col("label") == 1, w if positive else 0.0).otherwise(0.0 if positive else w))
 
-    rows: keys, label (0/1), items.  Row weight is n / n_class of the row's class in
-    its group.  A level counts (node, item) pairs of every group, picks the best item
-    per node and sends the rows on; each level is checkpointed, so the plan stays flat
-    and a lost executor repeats one level only.  Levels go on until no node splits, or to
-    ``depth``, the reference library's limit.  A group of one class is one leaf."""
-    one = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_c"))
+
+def grow_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 30, min_leaf: int = 5, min_gain: float = 0.01, count: str | None = None) -> DataFrame:
+    """The rows' distinct item sets, each with its leaf in the tree of its group, for all
+    groups in one level-wise pass: (keys, label, items, node, path, n).
+
+    rows: keys, label (0/1), items, and in ``count`` how many rows one stands for (1 if
+    None).  Only counts of equal item sets go on: a set is kept once for a group and label,
+    however many rows have it.  Row weight is n / n_class of the row's class in its group.
+    A level counts (node, item) pairs of every group, picks the best item per node and
+    sends the sets on; each level is written, so the plan stays flat and a lost executor
+    repeats one level only.  Levels go on until no node splits, or to ``depth``, the
+    reference library's limit.  A group of one class is one leaf."""
+    times = F.sum(F.col(count) if count else F.lit(1)).cast("long")
+    d = rows.groupBy(*keys, "label", F.array_sort(F.array_distinct(items)).alias("items")).agg(times.alias("n"))
+    one = d.groupBy(*keys, "label").agg(F.sum("n").alias("_c"))
     size = one.groupBy(*keys).agg(F.sum("_c").alias("_size"))
     weights = null_safe_join(one, size, keys).withColumn("_w", F.col("_size") / F.col("_c")).drop("_c")
-    d = null_safe_join(rows.select(*keys, "label", F.array_distinct(items).alias("items")), weights, [*keys, "label"])
+    d = null_safe_join(d, weights, [*keys, "label"]).withColumn("_w", F.col("_w") * F.col("n"))
     d = pinned(d.withColumns({"node": F.lit(1).cast("long"), "path": F.array().cast("array<string>"), "open": F.lit(True)}))
     node = [*keys, "node"]
-    pos = F.sum(F.when(F.col("label") == 1, F.col("_w")).otherwise(0.0))
-    neg = F.sum(F.when(F.col("label") == 1, 0.0).otherwise(F.col("_w")))
     for _ in range(depth):
         live = d.where("open")  # a node that did not split never will
-        whole = live.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), pos.alias("p"), neg.alias("q"), F.max("_size").alias("s"))
-        has = live.select(*node, "label", "_w", F.explode("items").alias("item")).groupBy(*node, "item").agg(
-            F.count(F.lit(1)).alias("hn"), pos.alias("hp"), neg.alias("hq"))
+        whole = live.groupBy(*node).agg(F.sum("n").alias("n"), _class_weight(True).alias("p"), _class_weight(False).alias("q"), F.max("_size").alias("s"))
+        has = live.select(*node, "label", "_w", "n", F.explode("items").alias("item")).groupBy(*node, "item").agg(
+            F.sum("n").alias("hn"), _class_weight(True).alias("hp"), _class_weight(False).alias("hq"))
         c = null_safe_join(has, whole, node).where((F.col("hn") >= min_leaf) & (F.col("n") - F.col("hn") >= min_leaf))
         gain = _impurity(F.col("p"), F.col("q")) - _impurity(F.col("hp"), F.col("hq")) - _impurity(F.col("p") - F.col("hp"), F.col("q") - F.col("hq"))
         # a balanced root has impurity size; rounding makes equal gains tie
@@ -229,9 +264,28 @@ def group_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 30, m
             "open": F.col("split").isNotNull()}).drop("split"))
         if d.where("open").isEmpty():
             break
-    leaf = d.groupBy(*node, "path").agg(F.count(F.lit(1)).alias("cover"), pos.alias("p"), neg.alias("q"), F.max("_size").alias("s"))
+    return d
+
+
+def tree_leaves(grown: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, path, label, cover, share, prob) per leaf of grown trees."""
+    leaf = grown.groupBy(*keys, "node", "path").agg(F.sum("n").alias("cover"), _class_weight(True).alias("p"), _class_weight(False).alias("q"), F.max("_size").alias("s"))
     prob = F.col("p") / (F.col("p") + F.col("q"))
-    return leaf.select(*node, "path", F.when(prob > 0.5, 1).otherwise(0).alias("label"), "cover", (F.col("cover") / F.col("s")).alias("share"), prob.alias("prob"))
+    return leaf.select(*keys, "node", "path", F.when(prob > 0.5, 1).otherwise(0).alias("label"), "cover", (F.col("cover") / F.col("s")).alias("share"), prob.alias("prob"))
+
+
+def group_trees(rows: DataFrame, keys: list[str], items: str, depth: int = 30, min_leaf: int = 5, min_gain: float = 0.01, count: str | None = None) -> DataFrame:
+    """Leaves of a classification tree per group; see ``grow_trees``."""
+    return tree_leaves(grow_trees(rows, keys, items, depth, min_leaf, min_gain, count), keys)
+
+
+def tree_splits(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, split, cover) of the inner nodes of the trees, read from the leaves'
+    paths: the root is node 1, and node k has the children 2 k (without the item), 2 k + 1."""
+    inner = leaves.select(*keys, "cover", F.explode(F.transform("path", lambda c, i: F.struct(
+        F.col("node").alias("leaf"), (F.size("path") - i).alias("up"), F.regexp_replace(c, r"(>=|< )0\.5$", "").alias("split")))).alias("x"))
+    node = F.expr("shiftright(x.leaf, x.up)").alias("node")
+    return inner.select(*keys, node, F.col("x.split").alias("split"), "cover").groupBy(*keys, "node", "split").agg(F.sum("cover").alias("cover"))
 
 
 def tree_rules(leaves: DataFrame, keys: list[str]) -> DataFrame:
@@ -243,12 +297,20 @@ def tree_rules(leaves: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rule_of_row(rows: DataFrame, keys: list[str], items: str, leaves: DataFrame) -> DataFrame:
-    """The leaf each row falls into: all conditions of the leaf's path hold."""
-    def holds(c: Column) -> Column:
-        item = F.regexp_replace(c, r"(>=|< )0\.5$", "")
-        return F.array_contains(items, item) == c.endswith(">=0.5")
-    j = rows.join(leaves.select(*keys, "node", "path", F.col("label").alias("predicted"), "prob"), keys)
-    return j.where(F.forall("path", holds))
+    """The leaf each row falls into.  A row walks down its group's tree: one join with the
+    split of the node it is at for each level, so a row meets one node at a time, never all
+    leaves of its group.  A row of a group without a tree is left out."""
+    splits = pinned(tree_splits(leaves, keys).select(*keys, F.col("node").alias("_node"), "split"))
+    deep = leaves.agg(F.max(F.size("path"))).head()[0] or 0
+    d = rows.withColumn("_node", F.lit(1).cast("long"))
+    for level in range(1, deep + 1):
+        d = null_safe_join(d, splits, [*keys, "_node"], "left")
+        step = F.col("_node") * 2 + F.coalesce(F.array_contains(items, F.col("split")), F.lit(False)).cast("long")
+        d = d.withColumn("_node", F.when(F.col("split").isNull(), F.col("_node")).otherwise(step)).drop("split")
+        if level % 4 == 0:
+            d = pinned(d)
+    ends = leaves.select(*keys, F.col("node").alias("_node"), "path", F.col("label").alias("predicted"), "prob")
+    return null_safe_join(d, ends, [*keys, "_node"]).withColumnRenamed("_node", "node")
 
 
 # --- choosing the next question ---------------------------------------------------

@@ -58,7 +58,7 @@ def pairs(r):
 
 def effects(t):
     r = rows(t)
-    return C.feature_effects(C.feature_counts(r, C.rule_docs(t.fx_items), pairs(r)))
+    return C.feature_effects(C.feature_counts(r, C.rule_docs(t.fx_items), C.code_groups(r)))
 
 
 @query("j05_lookup_array", """

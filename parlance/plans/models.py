@@ -18,7 +18,6 @@ from parlance.session import pinned
 
 CODES = ["color_question", "fit_question", "product_type_selection", "subvertical_selection"]
 CATEGORIES = {"response_code": CODES, "last_product_type": ["shirt", "jeans", "pants", "other"]}
-ROUNDS = {"rounds": 10, "depth": 4, "rate": 0.1}
 
 
 def table(t):
@@ -37,34 +36,48 @@ def features(t):
 @query("m03_boosted_trees_cv")
 def _(t):
     d, _names = features(t)
-    return rounded(M.boosted_trees_cv(d, "key", **ROUNDS), "auc", digits=4)
+    return rounded(M.boosted_trees_cv(d, "key"), "auc", digits=4)
 
 
 @query("m04_weighted_trees")
 def _(t):
+    """Scores of the held-out rows."""
     d, _names = features(t)
-    s = M.positive_probability(M.weighted_trees(d, **ROUNDS).transform(d))
+    d = M.held_out(d, "key")
+    s = M.positive_probability(M.weighted_trees(d).transform(d.where("held_out")))
     return s.select("key", "label", F.round("p", 6).alias("p"))
 
 
+@query("m04_held_out_auc")
+def _(t):
+    """AP and AUC of the same model on the rows it was fitted on and on the held-out rows."""
+    d, _names = features(t)
+    d = M.held_out(d, "key")
+    s = M.positive_probability(M.weighted_trees(d).transform(d)).withColumn("part", F.when(F.col("held_out"), "test").otherwise("train"))
+    return rounded(MET.ap_auc(s.select("part", "p", "label"), "p", "label", ["part"]).select("part", "ap", "auc", "n"), "ap", "auc", digits=4)
+
+
 @query("t06_top_features")
 def _(t):
     d, names = features(t)
-    first = M.top_features(M.weighted_trees(d, **ROUNDS), names, 20)
+    first = M.top_features(M.weighted_trees(M.held_out(d, "key")), names, 20)
     keep = [n for n, _ in first[:3]] or names[:1]
     m, _names = table(t)
-    again = M.weighted_trees(M.assemble(m, keep), **ROUNDS)
+    again = M.weighted_trees(M.held_out(M.assemble(m, keep).select("key", "label", "features"), "key"))
     rows = [("all", n, v) for n, v in first] + [("top 3", n, v) for n, v in M.top_features(again, keep, 3)]
     return t.spark.createDataFrame(rows, "model string, feature string, importance double")
 
 
 @query("m05_multiclass")
 def _(t):
-    """Which of the question codes was asked, reported on answered and unanswered turns."""
+    """Which of the question codes was asked: fitted on answered turns, reported on held-out
+    answered turns and on all unanswered ones."""
     m, _names = table(t)
     m = m.withColumn("answered", F.col("label")).withColumn("label", sum(F.col(f"response_code_{c}") * (i + 1) for i, c in enumerate(CODES)).cast("double"))
-    x = M.assemble(m, [f"last_product_type_{v}" for v in CATEGORIES["last_product_type"]] + MT.NUMBERS)
-    p = pinned(M.multiclass(x, x).select("label", "prediction", "answered"))
+    x = M.assemble(m, [f"last_product_type_{v}" for v in CATEGORIES["last_product_type"]] + MT.NUMBERS).select("key", "answered", "label", "features")
+    x = M.held_out(x, "key")
+    seen = (F.col("answered") == 1) & ~F.col("held_out")
+    p = pinned(M.multiclass(x.where(seen), x.where(~seen)).select("label", "prediction", "answered"))
     parts = [MET.class_report(p.where(F.col("answered") == a), "label", "prediction").withColumn("answered", F.lit(a)) for a in (0, 1)]
     return rounded(parts[0].unionByName(parts[1]), "precision", "recall", "f1", digits=4)
 
@@ -74,7 +87,7 @@ def _(t):
     ids = label_ids(t.documents, "lang", "doc_id").withColumnRenamed("id", "label")
     d = t.texts.select("doc_id", "lang", TX.label_trigrams(TX.clean_text("text")).alias("grams")).join(ids, "lang")
     d = stratified_split(d, "doc_id", "lang")
-    p = M.text_classifier(d.where("part = 'train'"), d.where("part = 'test'"), "grams", rounds=15)
+    p = M.text_classifier(d.where("part = 'train'"), d.where("part = 'test'"), "grams")
     return rounded(MET.class_report(p.withColumn("label", F.col("label").cast("double")), "label", "prediction"), "precision", "recall", "f1", digits=4)
 
 
@@ -87,8 +100,8 @@ def baskets(t):
 
 @query("m07_l1_path")
 def _(t):
-    p = M.l1_path(baskets(t), "items", rounds=10)
-    return p.select("step", "strength", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"), F.round("score", 4).alias("score"), F.size("features").alias("n_features"))
+    p = M.l1_path(baskets(t), "items")
+    return p.select("step", "strength", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"), F.round("score", 4).alias("score"), "best", F.size("features").alias("n_features"))
 
 
 @query("m10_forest_importance")
@@ -104,26 +117,60 @@ def labelled_items(t):
 
 
 def trees(t):
-    d = labelled_items(t)[0].withColumnRenamed("class", "label")
-    return d, M.group_trees(d, C.GROUP, "items")
+    """Leaves of the trees, grown from counts of equal item sets: sets are counted per group
+    before the disjoint groups' sets join as negatives."""
+    r = PC.rows(t)
+    docs = C.rule_docs(t.fx_items).withColumn("items", F.split("doc", " ")).drop("doc")
+    sets = r.select("product_id", *C.GROUP).join(docs, "product_id").groupBy(*C.GROUP, "items").agg(F.count(F.lit(1)).alias("n"))
+    d = C.pos_neg_dataset(sets, PC.pairs(r)).withColumnRenamed("class", "label")
+    return M.group_trees(d, C.GROUP, "items", count="n")
 
 
 @query("m08_decision_tree")
 def _(t):
-    _, leaves = trees(t)
-    return leaves.select(*C.GROUP, "node", F.array_join("path", " ").alias("path"), "label", "cover", F.round("share", 4).alias("share"), F.round("prob", 4).alias("prob"))
+    return trees(t).select(*C.GROUP, "node", F.array_join("path", " ").alias("path"), "label", "cover", F.round("share", 4).alias("share"), F.round("prob", 4).alias("prob"))
+
+
+def _split_sql(rows: str, nodes: str) -> str:
+    """The best item of every node of ``rows`` (group, class, l, w, total, node)."""
+    g = "parent_type, gender, dress_code, node"
+    gini = lambda p, q: f"coalesce(2 * ({p}) * ({q}) / nullif(({p}) + ({q}), 0), 0)"
+    return f"""
+{nodes}_w AS (SELECT {g}, count(*) AS n, sum(w) FILTER (WHERE class = 1) AS p, sum(w) FILTER (WHERE class = 0) AS q, any_value(total) AS s FROM {rows} GROUP BY ALL),
+{nodes}_i AS (SELECT {g}, item, count(*) AS hn, coalesce(sum(w) FILTER (WHERE class = 1), 0) AS hp, coalesce(sum(w) FILTER (WHERE class = 0), 0) AS hq FROM (SELECT *, unnest(l) AS item FROM {rows}) GROUP BY ALL),
+{nodes}_g AS (SELECT *, round(({gini('p', 'q')} - {gini('hp', 'hq')} - {gini('p - hp', 'q - hq')}) / s, 9) AS gain FROM {nodes}_i JOIN (SELECT {g}, n, coalesce(p, 0) AS p, coalesce(q, 0) AS q, s FROM {nodes}_w) USING ({g}) WHERE hn >= 5 AND n - hn >= 5),
+{nodes} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY gain DESC, item) AS r FROM {nodes}_g WHERE gain > 0.01) WHERE r = 1)"""
+
+
+@query("m08_first_splits", f"""
+WITH d AS (SELECT parent_type, gender, dress_code, class, list_distinct(string_split(doc, ' ')) AS l FROM ck_dataset JOIN ck_docs USING (product_id)),
+one AS (SELECT *, 1 AS node, total * 1.0 / count(*) OVER (PARTITION BY parent_type, gender, dress_code, class) AS w FROM (SELECT *, count(*) OVER (PARTITION BY parent_type, gender, dress_code) AS total FROM d)),
+{_split_sql('one', 'root')},
+two AS (SELECT one.* EXCLUDE (node), 2 + CAST(list_contains(l, item) AS INT) AS node FROM one JOIN root USING (parent_type, gender, dress_code)),
+{_split_sql('two', 'next')}
+SELECT parent_type, gender, dress_code, CAST(node AS BIGINT) AS node, item AS split, n AS cover FROM root
+UNION ALL SELECT parent_type, gender, dress_code, CAST(node AS BIGINT), item, n FROM next""")
+def _(t):
+    """The first two levels of every tree, with the rows they decide."""
+    return M.tree_splits(trees(t), C.GROUP).where("node < 4").select(*C.GROUP, "node", "split", "cover")
+
+
+@query("m08_leaf_covers", """
+SELECT parent_type, gender, dress_code, count(*) AS cover FROM ck_dataset JOIN ck_docs USING (product_id) GROUP BY ALL""")
+def _(t):
+    """The leaves of a group hold all its rows, once."""
+    return trees(t).groupBy(*C.GROUP).agg(F.sum("cover").alias("cover"))
 
 
 @query("m09_tree_rules")
 def _(t):
-    _, leaves = trees(t)
-    return M.tree_rules(leaves, C.GROUP).withColumn("prob", F.round("prob", 2))
+    return M.tree_rules(trees(t), C.GROUP).withColumn("prob", F.round("prob", 2))
 
 
 @query("m09_rule_of_row")
 def _(t):
-    d, leaves = trees(t)
-    r = M.rule_of_row(d, C.GROUP, "items", leaves)
+    d = labelled_items(t)[0].withColumnRenamed("class", "label")
+    r = M.rule_of_row(d, C.GROUP, "items", trees(t))
     return r.select(*C.GROUP, "product_id", "label", "node", "predicted", F.round("prob", 4).alias("prob"))
 
 
@@ -168,7 +215,7 @@ def _(t):
 
 def choices(t):
     d, names = features(t)
-    model = M.weighted_trees(d, **ROUNDS)
+    model = M.weighted_trees(M.held_out(d, "key"))
     j = conversation(t).where(F.col("response_code").isNotNull()).withColumns({
         "hour": F.hour(F.timestamp_seconds("ts")), "day_of_week": F.weekday(F.timestamp_seconds("ts")) + 1, "sum_answer": F.coalesce("sum_answer", F.lit(0)),
         "key": F.concat_ws(":", "sender_id", "ts"), "options": F.array(*[F.lit(c) for c in CODES])})

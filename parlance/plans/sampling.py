@@ -68,13 +68,14 @@ check_view("ck_top_type", """
 SELECT last_product_type AS v FROM (SELECT last_product_type, count(*) * 1.0 / sum(count(*)) OVER () AS share, row_number() OVER (ORDER BY count(*) DESC, last_product_type NULLS LAST) AS r FROM ck_table GROUP BY 1) WHERE share >= 0.005 AND r <= 40 AND last_product_type IS NOT NULL""")
 
 
-@query("m15_model_table", """
-SELECT sender_id, ts, is_answered, CAST(response_code = 'color_question' AS INT) AS response_code_color_question, CAST(response_code = 'fit_question' AS INT) AS response_code_fit_question,
-  CAST(coalesce(last_product_type, '') = 'shirt' AND 'shirt' IN (SELECT v FROM ck_top_type) AS INT) AS last_product_type_shirt,
-  CAST(coalesce(last_product_type, '') NOT IN (SELECT v FROM ck_top_type) AS INT) AS last_product_type_other,
+CODES, TYPES = ["color_question", "fit_question", "product_type_selection", "subvertical_selection"], ["jeans", "other", "pants", "shirt"]
+
+
+@query("m15_model_table", f"""
+SELECT sender_id, ts, is_answered, {", ".join(f"CAST(response_code = '{c}' AS INT) AS response_code_{c}" for c in CODES)},
+  {", ".join(f"CAST(CASE WHEN last_product_type IN (SELECT v FROM ck_top_type) THEN last_product_type ELSE 'other' END = '{c}' AS INT) AS last_product_type_{c}" for c in TYPES)},
   customer_type, CAST(question_rank AS DOUBLE) AS question_rank, CAST(time_from_start AS DOUBLE) AS time_from_start, CAST(coalesce(sum_answer, 0) AS DOUBLE) AS sum_answer,
   CAST(num_quick_replies AS DOUBLE) AS num_quick_replies, CAST(hour AS DOUBLE) AS hour, CAST(day_of_week AS DOUBLE) AS day_of_week FROM ck_table WHERE time_from_start <= 500""")
 def _(t):
-    m = MT.model_table(conversation(t), outcomes(t), {
-        "response_code": ["color_question", "fit_question"], "last_product_type": ["shirt", "other"]}, keep=["customer_type"])
-    return m
+    """Every value of the bucketed data has its column; the check lists those of this data."""
+    return MT.model_table(conversation(t), outcomes(t), ["response_code", "last_product_type"], keep=["customer_type"])
