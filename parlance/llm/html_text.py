@@ -30,10 +30,13 @@ NOISE = frozenset("head script style noscript template iframe svg math canvas ob
                   "button select option input textarea label menu dialog title noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: words in class, id or role that mark a part that is no article
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-                        "comment comments disqus respond replies reply sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social "
-                        "related recommended newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager search complementary contentinfo skip".split())
+#: parts of a class, id or role that mark what is no article, wherever they stand in it
+NOISE_PARTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion cookie cookies consent gdpr "
+                        "comment comments disqus respond replies sidebar aside nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social "
+                        "related recommended newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager complementary contentinfo".split())
+#: words that do so alone, or with a word of the site around them (site-header, top-menu)
+NOISE_WORDS = frozenset("header menu banner notice notices alert widget search reply skip".split())
+SITE_WORDS = frozenset("site page main top bottom global user mobile primary secondary list area box bar wrap wrapper container".split())
 _ENDS_P = BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body"}
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
          "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -42,21 +45,49 @@ _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
 class _Node:
     __slots__ = ("tag", "up", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: _Node | None, noise: bool):
+    def __init__(self, tag: str, up: _Node | None, noise: bool | None):
         self.tag, self.up, self.noise, self.parts = tag, up, noise, []
 
 
-def _is_noise(tag: str, attrs: str, inside: bool) -> bool:
+def _names_noise(names: str) -> bool | None:
+    """Whether a class list, id or role names a part that is no article: None where
+    only a word of the second kind does.  ``entry-header`` or ``search-results`` names a part of
+    an article."""
+    told: bool | None = False
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if p]
+        if not NOISE_PARTS.isdisjoint(parts):
+            return True
+        if not NOISE_WORDS.isdisjoint(parts) and NOISE_WORDS.union(SITE_WORDS).issuperset(parts):
+            told = None
+    return told
+
+
+def _is_noise(tag: str, attrs: str, inside: bool) -> bool | None:
+    """True by tag, a plain name or because hidden; None where a name may be misread."""
     if tag in NOISE or (tag == "header" and not inside):
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     if _HIDDEN.search(attrs):
         return True
-    for m in _NAMES.finditer(attrs):
-        if not NOISE_WORDS.isdisjoint(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+    told = {_names_noise(m[1] or m[2] or m[3] or "") for m in _NAMES.finditer(attrs)}
+    return True if True in told else None if None in told else False
+
+
+def _settle_names(root: _Node) -> None:
+    """A part that a name of the second kind marks is noise, unless it holds most of the page's
+    text outside links: then the name is about the article."""
+    order = [root]
+    for x in order:
+        order.extend(p for p in x.parts if isinstance(p, _Node) and p.noise is not True)
+    free: dict[int, int] = {}
+    for x in reversed(order):
+        n = 0 if x.tag == "a" else sum(len("".join(p.split())) if isinstance(p, str) else free.get(id(p), 0) for p in x.parts)
+        free[id(x)] = n
+    for x in order:
+        if x.noise is None:
+            x.noise = 2 * free[id(x)] <= free[id(root)]
 
 
 def parse(page: str) -> _Node:
@@ -187,6 +218,7 @@ def _blocks(nodes: list[_Node | str | None], out: list[str]) -> None:
 
 def main_text(page: str) -> str:
     root = parse(page)
+    _settle_names(root)
     nodes = _order(root)
     body = next((x for x in nodes if x.tag == "body"), root)
     _measure(nodes, body)
@@ -205,8 +237,9 @@ def main_text(page: str) -> str:
     path = [best]
     while path[-1] is not body and path[-1].up is not None:
         path.append(path[-1].up)
-    # an article element around the peak is the article
-    whole = next((x for x in reversed(path) if x.tag in ("article", "main")), None)
+    # an article element around the peak is the article, or else the main element; density
+    # tells which of several articles
+    whole = next((x for tag in ("article", "main") for x in reversed(path) if x.tag == tag), None)
     out: list[str] = []
     if whole:
         _blocks([whole], out)

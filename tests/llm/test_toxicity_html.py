@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from parlance.llm import html_text, toxicity
@@ -87,3 +88,21 @@ def test_title_and_lead_beside_a_nested_text_div():
     for p in (page, page.replace(menu, "")):
         lines = html_text.main_text(p).split("\n")
         assert lines[:3] == ["t" * 30, "bare words here too", ("lead " * 75).strip()] and lines[3:] == [("word " * 75).strip()] * 20
+
+
+BODY = "".join(f"<p>Paragraph {i} of the article, long enough to count as running text of its own.</p>" for i in range(6))
+TEXT = [f"Paragraph {i} of the article, long enough to count as running text of its own." for i in range(6)]
+MENU = "<ul class='menu'>" + "".join(f"<li><a href='/{i}'>Entry {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><header class='entry-header'><h1>Title</h1></header>{BODY}</article>", ["Title", *TEXT]),
+    (f"<article><div class='article-header'><h1>Title</h1><p>Lead text.</p></div>{BODY}</article>", ["Title", "Lead text.", *TEXT]),
+    (f"<div class='search-results-page'>{BODY}</div>", TEXT),
+    (f"<div class='widget' id='main-search'>{BODY}</div>", TEXT),
+    (f"<main><div class='teaser'><p>Read also this.</p></div><article><h1>Title</h1>{BODY}</article><article><h2>Other</h2><p>Short teaser of another article.</p></article></main>", ["Title", *TEXT]),
+    (f"<main><h1>Title</h1>{BODY}<div class='share-buttons'>Share it</div></main>", ["Title", *TEXT]),
+])
+def test_titles_leads_and_teasers(page, want):
+    whole = f"<html><body><div class='site-header'>The site</div>{MENU}{page}<div class='cookie-notice'>We use cookies.</div><div class='site-footer'>Imprint</div></body></html>"
+    assert html_text.main_text(whole).split("\n") == want
