@@ -170,9 +170,11 @@ def _find(docs: DataFrame, k: int, id_col: str, text_col: str, hash_bits: int) -
     texts = pinned(texts.withColumn("row", F.monotonically_increasing_id()))
 
     # edges in several documents, with what tells their occurrences apart
-    edges = texts.mapInArrow(_edges(k), "h long, doc long, row long, pos int")
-    if hash_bits < 64:
-        edges = edges.withColumn("h", F.shiftrightunsigned("h", 64 - hash_bits))
+    def hashed(some: DataFrame) -> DataFrame:
+        e = some.mapInArrow(_edges(k), "h long, doc long, row long, pos int")
+        return e.withColumn("h", F.shiftrightunsigned("h", 64 - hash_bits)) if hash_bits < 64 else e
+
+    edges = hashed(texts)
     known = pinned(edges.groupBy("h").agg(F.min("doc").alias("src"), F.max("doc").alias("_hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("fx"))
                    .where("src < _hi").select("h", "src", "n", "fx"))
     # compact: a path goes on while places follow each other and occurrences are the same
@@ -197,7 +199,10 @@ def _find(docs: DataFrame, k: int, id_col: str, text_col: str, hash_bits: int) -
     bad = checked.where(F.size("bad") > 0).select("row", F.explode("bad").alias("x"))
     if not bad.isEmpty():
         left = bad.select("row", F.explode(F.sequence(F.col("x.start"), F.col("x.start") + F.col("x.n") - k)).alias("pos")).distinct()
-        places = pinned(edges.join(edges.join(left, ["row", "pos"]).select("h").distinct(), "h"))
+        # only the texts with such spans are hashed again for their windows; written, the
+        # hashes have a known size, and where they are few the edges meet them unshuffled
+        again = hashed(texts.join(bad.select("row").distinct(), "row", "left_semi")).join(left, ["row", "pos"])
+        places = pinned(edges.join(pinned(again.select("h").distinct()), "h"))
         at = places.groupBy("row").agg(F.collect_list("pos").alias("at"))
         exact = pinned(places.join(texts.select("row", "words").join(at, "row").mapInArrow(_window_digests(k), "row long, pos int, digest binary"), ["row", "pos"]))
         least = exact.groupBy("digest").agg(F.min("doc").alias("least"))
