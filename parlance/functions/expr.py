@@ -245,7 +245,9 @@ def top_shares(df: DataFrame, cols: list[str], top: int = 40) -> DataFrame:
 
 def bucket_rare(df: DataFrame, cols: list[str], least: float = 0.005, top: int = 40) -> DataFrame:
     """Values outside the frequent ones, and nulls, become ``other``."""
-    keep = top_shares(df, cols, top).where((F.col("share") >= least) & F.col("value").isNotNull())
+    from parlance.session import pinned
+    # at most ``top`` rows a column, read once for each
+    keep = pinned(top_shares(df, cols, top).where((F.col("share") >= least) & F.col("value").isNotNull()))
     for c in cols:
         names = keep.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"))
         df = (df.join(F.broadcast(names), F.col(c).cast("string") == F.col(f"_v_{c}"), "left")  # at most ``top`` rows

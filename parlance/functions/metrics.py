@@ -95,13 +95,14 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, hot_row
         counts = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
         ranks = average_ranks(counts, col, "_n", by, out, hot_rows).drop("_n")
         pairs = null_safe_join(pairs, ranks, [*by, col])
-    n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
-    sums = [F.sum(n).alias("n"), F.sum(n * rx).alias("sx"), F.sum(n * ry).alias("sy"), F.sum(n * rx * ry).alias("sxy"),
-            F.sum(n * rx * rx).alias("sxx"), F.sum(n * ry * ry).alias("syy")]
+    # ranks have the mean (n + 1) / 2; sums of squares around it keep their digits
+    size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all")) if by else df.agg(F.count(F.lit(1)).alias("_all"))
+    pairs = null_safe_join(pairs, size, by) if by else pairs.withColumn("_k", F.lit(1)).join(F.broadcast(size.withColumn("_k", F.lit(1))), "_k").drop("_k")  # one row
+    mean = (F.col("_all") + 1) / 2
+    n, rx, ry = F.col("n"), F.col("rx") - mean, F.col("ry") - mean
+    sums = [F.sum(n).alias("n"), F.sum(n * rx * ry).alias("sxy"), F.sum(n * rx * rx).alias("sxx"), F.sum(n * ry * ry).alias("syy")]
     s = pairs.groupBy(*by).agg(*sums) if by else pairs.agg(*sums)
-    c = F.col
-    rho = F.try_divide(c("n") * c("sxy") - c("sx") * c("sy"),
-                       F.sqrt(c("n") * c("sxx") - c("sx") * c("sx")) * F.sqrt(c("n") * c("syy") - c("sy") * c("sy")))
+    rho = F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))
     return s.select(*by, rho.alias("rho"), "n")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.expr import item_tokens, keep_scored, skipped_aspect
-from parlance.functions.scan import top_per_key
+from parlance.functions.scan import ordered, running, top_per_key
 from parlance.session import pinned
 
 GROUP = ["parent_type", "gender", "dress_code"]
@@ -158,6 +158,24 @@ def readable_rules(rules: DataFrame, conditions: str) -> DataFrame:
     return d.where(F.size(F.concat(types, pos)) > 0).withColumn("rule", F.array_join(text, ",")).drop("_t")
 
 
+def parse_rule_lines(lines: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Rules of a tree's rule text, a line per row: (keys, rule_no, label, cover, prob,
+    conditions).  A rule begins with a line that holds ``Rule`` and, in brackets,
+    ``class=``, ``cover=`` and ``prob=``; the lines after it are its conditions
+    (``feature< x``, ``feature>=x``), other lines are passed over.  Lines before the first
+    rule are no rule's.  The lines of a key may be many; a rule is short."""
+    text = F.trim(value)
+    head = F.contains(text, F.lit("Rule"))
+    d = ordered(lines, keys, [order], {"rule_no": running(F.when(head, 1).otherwise(0))})
+    d = d.where((F.col("rule_no") > 0) & (head | text.rlike(r"^[^<>]+(<|>=)")))
+    field = lambda name, shape: F.nullif(F.regexp_extract(text, rf"\b{name}=({shape})", 1), F.lit(""))
+    of_head = lambda c: F.max(F.when(head, c))
+    lists = F.array_sort(F.collect_list(F.when(~head, F.struct(F.col(order).alias("at"), text.alias("c")))))
+    g = d.groupBy(*keys, "rule_no").agg(of_head(field("class", "[0-9]+")).cast("int").alias("label"), of_head(field("cover", "[0-9]+")).cast("long").alias("cover"),
+                                        of_head(field("prob", "[0-9.]+")).alias("prob"), F.transform(lists, lambda x: x["c"]).alias("conditions"))
+    return g.select(*keys, "rule_no", "label", "cover", "prob", "conditions")
+
+
 def group_name_parts(path: Column) -> dict[str, Column]:
     """``type#gender#dress_code_x.csv`` to its three parts."""
     parts = F.split(F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.csv$", ""), "#")

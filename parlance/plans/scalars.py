@@ -6,6 +6,8 @@ from parlance.functions import expr as X
 from parlance.functions.scan import top_per_key
 from parlance.operators import catalogue as C
 from parlance.plans.registry import query
+from parlance.session import scratch
+from parlance.sources.files import numbered_lines
 from parlance.sources.schemas import CHANNEL, NBR_RESPONSE, NLU_RESPONSE
 
 FMT = "yyyy-MM-dd HH:mm:ss"
@@ -131,10 +133,10 @@ def _(t):
 
 @query("p17_bucket_rare", """
 WITH v AS (SELECT p_name, count(*) AS n, count(*) * 1.0 / sum(count(*)) OVER () AS share, row_number() OVER (ORDER BY count(*) DESC, p_name NULLS LAST) AS r FROM part GROUP BY 1)
-SELECT p_partkey, coalesce(v.p_name, 'other') AS name, p_brand FROM part LEFT JOIN v ON part.p_name = v.p_name AND share >= 0.02 AND r <= 12""")
+SELECT p_partkey, coalesce(v.p_name, 'other') AS name, p_brand FROM part LEFT JOIN v ON part.p_name = v.p_name AND share >= 0.005 AND r <= 40""")
 def _(t):
     d = t.part.select("p_partkey", F.col("p_name").alias("name"), "p_brand")
-    return X.bucket_rare(d, ["name"], least=0.02, top=12)
+    return X.bucket_rare(d, ["name"])
 
 
 @query("p18_cut_bins", """
@@ -258,6 +260,22 @@ def _(t):
     return C.readable_rules(rules, "conditions").select("rule_id", "rule", "prob")
 
 
+@query("p32_rule_lines", """
+SELECT p_partkey AS cover, concat(split_part(p_name, ' ', 2), ',brand ', lower(p_brand), ',type not ', lower(p_type)) AS rule, concat('0.', lpad(CAST(p_size % 100 AS VARCHAR), 2, '0')) AS prob
+FROM part WHERE p_size % 2 = 1""")
+def _(t):
+    """Rule text as a tree writes it, to a file and back: readable rules of the class 1."""
+    part = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    head = part("Rule number: ", F.col("p_partkey").cast("string"), " [class=", (F.col("p_size") % 2).cast("string"), " cover=", F.col("p_partkey").cast("string"), " (1%) prob=0.",
+                F.lpad((F.col("p_size") % 100).cast("string"), 2, F.lit("0")), "]")
+    name = F.lower(F.replace("p_brand", F.lit(" "), F.lit("_")))
+    conditions = [part("type-", F.lower("p_type"), "< 0.5"), part("brand-", name, ">=0.5"), part("product_type-", F.split_part("p_name", F.lit(" "), F.lit(2)), ">=0.5")]
+    path = scratch(t.spark)
+    t.part.select(F.concat_ws("\n", F.lit(""), head, *[part("   ", c) for c in conditions]).alias("value")).write.text(path)
+    rules = C.parse_rule_lines(numbered_lines(t.spark, path), [], "line_no", "value").where("label = 1")
+    return C.readable_rules(rules, "conditions").select("cover", "rule", "prob")
+
+
 @query("p33_group_name_parts", """
 SELECT product_id, lower(gender) AS gender, product_type AS type, code AS dress_code FROM fx_products JOIN fx_product_codes USING (product_id)""")
 def _(t):

@@ -7,21 +7,21 @@ from parlance.plans import vectors as PV
 from parlance.plans.registry import query
 from parlance.sources import files as S
 
-EVENT = "event_id long, user_id long, event_type string, value double, props string"
+STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts"
 
 
-@query("s01_csv_events", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("s01_csv_events", f"SELECT event_id, {STAMP}, user_id, event_type, value, props FROM events")
 def _(t):
-    path = S.scratch(t.spark)
-    S.write_table(t.events.select("event_id", "user_id", "event_type", "value", "props"), path)
-    return S.read_events(t.spark, path, EVENT)
+    path, e = S.scratch(t.spark), t.events
+    S.write_table(e, path)
+    return S.read_events(t.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields)).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@query("s02_tsv_events", "SELECT conversation_id, retailer_id, created_at, channel FROM fx_conv_raw")
+@query("s02_tsv_events", "SELECT * FROM fx_conv_raw")
 def _(t):
-    path = S.scratch(t.spark)
-    S.write_table(t.fx_conv_raw.select("conversation_id", "retailer_id", "created_at", "channel"), path, sep="\t")
-    return S.read_events(t.spark, path, "conversation_id long, retailer_id int, created_at string, channel string", sep="\t")
+    path, d = S.scratch(t.spark), t.fx_conv_raw
+    S.write_table(d, path, sep="\t")
+    return S.read_events(t.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields), sep="\t")
 
 
 @query("s03_parquet_io", "SELECT sender_id, ts, response_code, replies FROM fx_bot")
@@ -148,17 +148,19 @@ def _(t):
 
 
 @query("s13_upsert_embeddings", """
-SELECT vec_id AS message_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS version, round(CAST(embedding[1] AS DOUBLE) * CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END, 5) AS v0 FROM embeddings
-UNION ALL SELECT vec_id + 1000000000, 2, round(CAST(embedding[1] AS DOUBLE) * 2, 5) FROM embeddings WHERE vec_id % 2 = 1""")
+WITH v AS (SELECT vec_id AS message_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 3 END AS version, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END AS f, embedding FROM embeddings
+ UNION ALL SELECT vec_id + 1000000000, 2, 2, embedding FROM embeddings WHERE vec_id % 2 = 1)
+SELECT message_id, version, CAST(dim AS INT) AS dim, round(CAST(x AS DOUBLE) * f, 5) AS v FROM (SELECT *, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM v)""")
 def _(t):
+    """Stored vectors have version 3, new ones 2: a new row replaces all the same."""
     path = S.scratch(t.spark)
     e = t.embeddings.select(F.col("vec_id").alias("message_id"), (F.col("vec_id") % 10).alias("conversation_id"), F.lit(0).alias("message_index"), F.lit("text").alias("rpr_key"),
-                            F.get("embedding", F.lit(0)).cast("double").alias("v0"))
-    S.replace_table(e.withColumn("version", F.lit(1)), path)
-    new = e.withColumn("version", F.lit(2)).withColumn("v0", F.col("v0") * 2).withColumn(
+                            F.col("embedding").cast("array<double>").alias("vector"))
+    S.replace_table(e.withColumn("version", F.lit(3)), path)
+    new = e.withColumn("version", F.lit(2)).withColumn("vector", F.transform("vector", lambda x: x * 2)).withColumn(
         "message_id", F.when(F.col("message_id") % 2 == 0, F.col("message_id")).otherwise(F.col("message_id") + 1000000000))
     S.replace_table(S.upsert(t.spark.read.parquet(path), new, ["message_id", "conversation_id", "message_index", "rpr_key"], "version"), path)
-    return t.spark.read.parquet(path).select("message_id", "version", F.round("v0", 5).alias("v0"))
+    return t.spark.read.parquet(path).select("message_id", "version", F.posexplode("vector").alias("dim", "v")).withColumn("v", F.round("v", 5))
 
 
 @query("s14_results_log", "SELECT version, pooling, metric, v FROM ck_results UNION ALL SELECT version, pooling, concat(metric, '_again'), v FROM ck_results")
@@ -189,11 +191,16 @@ def _(t):
 
 
 @query("s17_token_vectors", """
-SELECT vec_id, CAST(tok AS INT) AS tok, CAST(layer AS INT) AS layer, round(CAST(embedding[tok * 4 + CASE layer WHEN -1 THEN 1 ELSE 2 END] AS DOUBLE), 6) AS v0 FROM embeddings, (VALUES (0), (1), (2)) k(tok), (VALUES (-1), (-2)) l(layer)""")
+SELECT vec_id, CAST(i // 16 AS INT) AS tok, CAST(layer AS INT) AS layer, CAST(i % 16 AS INT) AS dim, round(CAST(x AS DOUBLE) * CASE layer WHEN -1 THEN 1 ELSE 0.5 END, 6) AS v
+FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), (VALUES (-1), (-2)) l(layer)""")
 def _(t):
+    """Every vector as tokens of 16 numbers, in two layers."""
     path = S.scratch(t.spark)
-    at = lambda i: F.array(*[F.slice("embedding", k * 4 + i, 2) for k in range(3)])
-    d = t.embeddings.select("vec_id", F.array(*[F.lit(f"t{k}") for k in range(3)]).alias("tokens"), at(1).alias("a"), at(2).alias("b"))
+    n = F.ceil(F.size("embedding") / 16).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(F.col("embedding"), k * 16 + 1, F.lit(16)))
+    d = t.embeddings.select("vec_id", F.transform(cut, lambda _, k: F.concat(F.lit("t"), k.cast("string"))).alias("tokens"), cut.alias("a"),
+                            F.transform(cut, lambda v: F.transform(v, lambda x: x.cast("double") * 0.5)).alias("b"))
     S.token_layers(d, "vec_id", "tokens", {-1: "a", -2: "b"}).write.parquet(path)
     back = t.spark.read.parquet(path).select("vec_id", F.posexplode("features").alias("tok", "f"))
-    return back.select("vec_id", "tok", F.explode("f.layers").alias("l")).select("vec_id", "tok", F.col("l.index").alias("layer"), F.get("l.values", F.lit(0)).alias("v0"))
+    back = back.select("vec_id", "tok", F.explode("f.layers").alias("l"))
+    return back.select("vec_id", "tok", F.col("l.index").alias("layer"), F.posexplode("l.values").alias("dim", "v"))

@@ -18,16 +18,18 @@ from parlance.sources.schemas import QA
 
 # --- delimited and columnar tables ----------------------------------------------
 
+_TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"  # times keep their microseconds
+_DELIMITED = {"header": "true", "quote": '"', "escape": '"', "timestampFormat": _TIME, "timestampNTZFormat": _TIME}
+
+
 def read_events(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """Delimited file with header; quote and escape are both ``"``."""
-    return (spark.read.schema(schema).option("header", True).option("sep", sep)
-            .option("quote", '"').option("escape", '"').csv(path))
+    return spark.read.schema(schema).options(**_DELIMITED, sep=sep).csv(path)
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
     """Result table as delimited text, one file per task."""
-    (df.write.mode("overwrite").option("header", True).option("sep", sep)
-     .option("quote", '"').option("escape", '"').csv(path))
+    df.write.mode("overwrite").options(**_DELIMITED, sep=sep).csv(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:

@@ -180,3 +180,10 @@ def test_readable_rules(spark):
     df = spark.createDataFrame([(1, ["neck-crew_neck< 0.5", "product_type-shirt>=0.5", "color-red>=0.5"]), (2, ["color-red< 0.5"])], "id int, c array<string>")
     got = [(r.id, r.rule) for r in C.readable_rules(df, "c").collect()]
     assert got == [(1, "shirt,color red,neck not crew neck")]
+
+
+def test_rule_lines(spark):
+    lines = ["noise", " Rule number: 3 [class=1 cover=20 (10%) prob=0.96]", "   product_type-shirt>=0.5", "   color-red< 0.5", "", "Rule number: 2 [class=0 cover=7 (2%) prob=0.1]", "  a-b>=0.5", "Rule number: 9 [class=1 cover=4 (1%) prob=0.80]"]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)] + [("g", 0, None), ("g", 1, "Rule number: 1 [class=1 cover=1 (1%) prob=0.5]"), ("g", 2, "x-y>=0.5")], "file string, no int, line string")
+    got = {(r.file, r.rule_no): (r.label, r.cover, r.prob, r.conditions) for r in C.parse_rule_lines(df, ["file"], "no", "line").collect()}
+    assert got == {("f", 1): (1, 20, "0.96", ["product_type-shirt>=0.5", "color-red< 0.5"]), ("f", 2): (0, 7, "0.1", ["a-b>=0.5"]), ("f", 3): (1, 4, "0.80", []), ("g", 1): (1, 1, "0.5", ["x-y>=0.5"])}
