@@ -1,7 +1,11 @@
+import functools
 import hashlib
+import random
+import re
 
 import duckdb
 import pytest
+import xxhash
 
 from parlance.llm import fingerprint, mixing
 from parlance.llm.queries import TAKEN_SQL
@@ -59,3 +63,33 @@ def test_native_plans_hold_no_python(spark, name):
     from parlance.llm.queries import QUERIES
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_fingerprint(text):
+    """One permutation, bins, and for an empty bin the first full one on its probes."""
+    seeded = lambda data, seed: xxhash.xxh64_intdigest(data, seed & (2**64 - 1))
+    chain = lambda values: functools.reduce(lambda h, v: seeded(v.to_bytes(8, "little"), h), values, 42)
+    words = [seeded(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    if not words:
+        return ""
+    hashes = [chain(words[i:i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [chain(words)]
+    least = {}
+    for h in hashes:
+        b = h >> (64 - fingerprint.BIN_BITS)
+        least[b] = min(h, least.get(b, h))
+    out = []
+    for i, (start, step) in enumerate(zip(fingerprint._START, fingerprint._STEP)):
+        at = i
+        for t in range(fingerprint.BINS):
+            if at in least:
+                break
+            at = (start + t * step) % fingerprint.BINS
+        out.append(f"{least[at] & 255:02x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_a_plain_implementation(spark):
+    rng = random.Random(1)
+    rows = texts() + [(1000 + i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 300)))) for i in range(60)]
+    got = sorted((tuple(r) for r in fingerprint.fingerprints(frame(spark, rows)).collect()), key=str)
+    assert got == sorted(((i, plain_fingerprint(t)) for i, t in rows), key=str)

@@ -9,7 +9,7 @@ import tiktoken
 import corpus_pipeline
 from parlance.llm import byte_bpe, toxicity
 from parlance.llm.queries import TAKEN_SQL
-from tests.llm.cases import frame
+from tests.llm.cases import frame, texts
 from tests.llm.test_duplicates import linked, squeezed
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +59,17 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, rows, SF)
         assert out.columns == rows.columns and out.count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, repeats, empty and long texts, and extra columns whose names clash with inner
+    ones, through every stage and the whole run."""
+    docs = frame(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 0, 0), (20, 0, 1), (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {r.doc_id for r in out.select("doc_id").collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}, name
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and {r.doc_id for r in rows} <= {i for i, _ in texts()}
