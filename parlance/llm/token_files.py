@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parlance.llm.units import UnitIds
+from parlance.llm.units import UnitIds, gathered
 from parlance.session import scratch
 
 PIECE = 2048  # characters, then bytes, of a training piece
 SAMPLE, DICTIONARY = 2000, 64 << 10  # training pieces and bytes of the dictionary: both bounded
-SHARD = 8 << 20  # bytes of frames after which a shard ends
+SHARD = 4 << 20  # bytes of frames after which a shard ends
 LEVEL = 3
 SPACE = "\u0120"  # how byte-level vocabularies write a space
 
@@ -39,7 +39,7 @@ SPACE = "\u0120"  # how byte-level vocabularies write a space
 class _Ids:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = UnitIds(self._learn, memory=128 << 20)
+        self.units = UnitIds(self._learn, memory=96 << 20)
         # tokens that begin with a space, which stands at the start of a unit only
         self.spaced = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
@@ -121,7 +121,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
 
     def encode(batches):
         press = _codec(dictionary)[0]
-        for b in batches:
+        for b in gathered(batches, "text"):
             for at, part in _ids(tokenizer_path).encode(b.column("text"), end):
                 for doc_id, x in zip(b.column("doc_id").slice(at, len(part)).to_pylist(), part):
                     yield doc_id, len(x) // 4, press.compress(x)
@@ -157,9 +157,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     rows = rows.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     keys = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
     ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    (ranged.sortWithinPartitions(*keys, "text").select("doc_id", "text")
-     .mapInArrow(shards, f"range int, shard int, dict_sha256 string, doc_ids array<{kind}>, before array<long>, counts array<long>, offsets array<long>, frames binary")
-     .write.parquet(f"{path}/shards"))
+    ranged = ranged.sortWithinPartitions(*keys, "text").select("doc_id", "text")
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(records)
+    spark.conf.set(records, 500)  # whole texts: batches of some megabytes, put together above
+    try:
+        (ranged.mapInArrow(shards, f"range int, shard int, dict_sha256 string, doc_ids array<{kind}>, before array<long>, counts array<long>, offsets array<long>, frames binary")
+         .write.parquet(f"{path}/shards"))
+    finally:
+        spark.conf.set(records, usual)
     spark.createDataFrame([(bytearray(dictionary), sha, end_id)], "data binary, sha256 string, end_id long").write.parquet(f"{path}/dictionary")
 
 

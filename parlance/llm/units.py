@@ -95,7 +95,7 @@ class UnitIds:
             self.older, self.known, self.size = known, {}, 0
         return out
 
-    def texts(self, column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    def texts(self, column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, list[bytes]]]:
         """(place of the first, values) of consecutive texts of about ``most`` bytes."""
         column = column.fill_null("").cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
@@ -129,11 +129,14 @@ class UnitIds:
         for i in np.flatnonzero(bad):
             distinct[i] = b"x"  # its texts are read another way below
         values = self._values(distinct)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        flat, place = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size) - size
+        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        flat, place = np.frombuffer(b"".join(values), "<u4"), np.cumsum(size, dtype=np.int32) - size
         n = size[index]
-        until = np.cumsum(n)
-        ids = flat[np.repeat(place[index] - (until - n), n) + np.arange(until[-1] if len(n) else 0)].tobytes()
+        until = np.cumsum(n, dtype=np.int64)
+        # a slice has far fewer than 2^31 ids, unless one text has: then wider numbers
+        kind = np.int32 if len(until) == 0 or until[-1] < 2**31 else np.int64
+        first_id = place[index].astype(kind) - (until - n).astype(kind)
+        ids = flat[np.repeat(first_id, n) + np.arange(until[-1] if len(n) else 0, dtype=kind)].tobytes()
         ends = np.append(np.flatnonzero(order < len(starts))[1:], len(bounds)) - 1  # last unit of each text
         cuts = [0, *(until[ends] * 4).tolist()]
         out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
@@ -143,6 +146,19 @@ class UnitIds:
         return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until a column has about ``most`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def groups(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts (null: empty) of about a megabyte, with the place of the first."""
     part, size, at = [], 0, 0
