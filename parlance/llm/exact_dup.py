@@ -141,6 +141,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, one for each group, with all their columns."""
+    """The rows that stay, one for each group, with all their columns; nulls and empty
+    tables as in ``exact_duplicates``, repeated rows leave one."""
     marks = _grouped(docs, id_col, text_col, 64).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("kept").alias("_keep"))
     return keep_rows(docs, marks, id_col, text_col)

@@ -30,7 +30,7 @@ WINDOW = 6  # words on each side
 FUZZY = 5  # letters from which a term is also found with one edit
 KNOWN = 150_000  # words remembered by a task, about 24 MB
 FEATURES = ("exact", "fuzzy", "quoted", "share")
-ROWS, TERMS = 50_000, 5_000  # labelled rows that the model sees at most; terms of the lexicon at most
+ROWS = 50_000  # labelled rows that the model sees at most, which bounds the lexicon too
 
 
 class Trie:
@@ -178,7 +178,7 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
     return keyed.groupBy("toxic", "k0", "k1").agg(F.min(F.struct("h", "id", "text")).alias("x")).select("x.text", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """Learn from at most ``rows`` labelled rows, those of the least hash of the id, never
     held-out ones: two thirds give the lexicon, a third the weights.
 
@@ -186,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
     many times would seem to be what makes it toxic.  A word is a term if its share of toxic
     texts exceeds the overall share by more than chance explains over all words (the
     exponential bound of the binomial, half a false term expected) and nine of ten texts
-    with it are toxic; the ``terms`` strongest are kept.  Rows without a label or an id are
+    with it are toxic.  Rows without a label or an id are
     not used.  With too few labels the lexicon is empty and every text has the same score."""
     y = (labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
          .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
@@ -205,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
     # every word that a toxic text holds was tried
     tried = scored.count()
     odds = F.log((F.col("t") + 0.5) / (n_toxic - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (n_clean - F.col("c") + 0.5))
-    best = scored.where(F.col("gain") >= math.log(2 * max(tried, 1))).withColumn("odds", odds).where("t >= 9 * c").orderBy(F.col("gain").desc(), "word").limit(terms).collect()
+    best = scored.where(F.col("gain") >= math.log(2 * max(tried, 1))).withColumn("odds", odds).where("t >= 9 * c").orderBy(F.col("gain").desc(), "word").collect()  # words of the sample's toxic texts
     lexicon = {r["word"]: float(r["odds"]) for r in best}
     if not lexicon:
         return Model({}, [0.0] * len(FEATURES), math.log(p0 / (1 - p0)))
@@ -273,7 +273,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows below the threshold, with all their columns."""
+    """The rows below the threshold, with all their columns; nulls and repeats as in
+    ``score_documents``, an empty table gives no rows."""
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # a column may be called score
     model = learn(docs.select("doc_id", F.col(text_col).alias("text")), labels)
     plain = docs.select(*[docs[c].alias(n) for c, n in names.items()])
