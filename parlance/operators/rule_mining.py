@@ -26,20 +26,23 @@ def _grown(sets: str, items: str) -> Column:
     return F.filter(F.flatten(F.transform(sets, more)), closed)
 
 
-def frequent_sets(baskets: DataFrame, keys: list[str], items: str, target: str, support: float, longest: int) -> DataFrame:
+def frequent_sets(baskets: DataFrame, keys: list[str], items: str, target: str, support: float, longest: int, count: str | None = None) -> DataFrame:
     """Sets of up to ``longest`` items that occur together with the target in at least
     ``support`` of a group's baskets: (keys, items, size, n, hits, total); ``n`` counts the
     baskets with the set, ``hits`` those that also have the ``target`` flag, ``total`` all.
 
     A null item is no item; an item repeated in a basket counts once; a basket without
-    items still counts in ``total``."""
-    b = baskets.select(*keys, F.coalesce(F.col(target).cast("boolean"), F.lit(False)).alias("_hit"), F.array_sort(F.array_distinct(F.array_compact(items))).alias("_items"))
+    items still counts in ``total``.  Equal baskets of a group are kept once with their
+    number; a row stands for as many baskets as its ``count`` column says (1 if None)."""
+    times = F.col(count) if count else F.lit(1)
+    b = baskets.select(*keys, times.alias("_n"), F.when(F.col(target).cast("boolean"), times).otherwise(0).alias("_h"), F.array_sort(F.array_distinct(F.array_compact(items))).alias("_items"))
+    b = b.groupBy(*keys, "_items").agg(F.sum("_n").alias("_n"), F.sum("_h").alias("_h"))
     b = pinned(b.withColumn("_b", F.monotonically_increasing_id()))
-    total = pinned(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("total")))
-    counts = [F.count(F.lit(1)).alias("n"), F.count_if("_hit").alias("hits")]
+    total = pinned(b.groupBy(*keys).agg(F.sum("_n").alias("total")))
+    counts = [F.sum("_n").alias("n"), F.sum("_h").alias("hits")]
     held, out = b.withColumn("_sets", F.transform("_items", lambda x: F.array(x))), None
     for size in range(1, longest + 1):
-        occur = held.select(*keys, "_b", "_hit", F.explode("_sets").alias("items"))
+        occur = held.select(*keys, "_b", "_n", "_h", F.explode("_sets").alias("items"))
         found = null_safe_join(occur.groupBy(*keys, "items").agg(*counts), total, keys)
         # the least count is a whole number, so that 0.01 * 300 does not become 3.0000000000000004
         found = pinned(found.where(F.col("hits") >= F.greatest(F.lit(1), F.ceil(F.round(F.col("total") * support, 9)))).withColumn("size", F.lit(size)))
@@ -72,13 +75,14 @@ def maximal(rules: DataFrame, keys: list[str], left: str) -> DataFrame:
 
 
 def grouped_rules(baskets: DataFrame, keys: list[str], items: str, target: str, support: float = 0.01, confidence: float = 0.8,
-                  shortest: int = 2, longest: int = 8, only_maximal: bool = True) -> DataFrame:
+                  shortest: int = 2, longest: int = 8, only_maximal: bool = True, count: str | None = None) -> DataFrame:
     """Rules with the target on the right, for every group: (keys, antecedent, n, hits,
     confidence, lift).  ``items`` must not hold the target; a rule has ``shortest`` to
-    ``longest`` items with it.  A group without a frequent set, or an empty table, gives no
+    ``longest`` items with it.  ``count`` as in ``frequent_sets``.  A group without a frequent set, or an empty table, gives no
     rules."""
-    sets = frequent_sets(baskets, keys, items, target, support, longest - 1)
-    base = baskets.groupBy(*keys).agg(F.count_if(F.col(target).cast("boolean")).alias("_hits"), F.count(F.lit(1)).alias("_all"))
+    sets = frequent_sets(baskets, keys, items, target, support, longest - 1, count)
+    times = F.col(count) if count else F.lit(1)
+    base = baskets.groupBy(*keys).agg(F.sum(F.when(F.col(target).cast("boolean"), times).otherwise(0)).alias("_hits"), F.sum(times).alias("_all"))
     r = sets.where((F.col("size") + 1 >= shortest) & (F.col("hits") / F.col("n") >= confidence))
     r = null_safe_join(r, base, keys).withColumns({"confidence": F.col("hits") / F.col("n"), "lift": F.col("hits") * F.col("_all") / (F.col("n") * F.col("_hits"))})
     r = r.select(*keys, F.col("items").alias("antecedent"), "n", "hits", "confidence", "lift")

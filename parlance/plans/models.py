@@ -116,14 +116,19 @@ def labelled_items(t):
     return C.pos_neg_dataset(r.drop("codes"), PC.pairs(r)).join(docs, "product_id"), docs
 
 
-def trees(t):
-    """Leaves of the trees, grown from counts of equal item sets: sets are counted per group
-    before the disjoint groups' sets join as negatives."""
+def counted_sets(t):
+    """Item sets of each group (class 1) and of its disjoint groups (class 0) with their
+    number of products: equal sets are counted per group before the disjoint groups' sets
+    join as negatives, and each group's counts are written once."""
     r = PC.rows(t)
     docs = C.rule_docs(t.fx_items).withColumn("items", F.split("doc", " ")).drop("doc")
-    sets = r.select("product_id", *C.GROUP).join(docs, "product_id").groupBy(*C.GROUP, "items").agg(F.count(F.lit(1)).alias("n"))
-    d = C.pos_neg_dataset(sets, PC.pairs(r)).withColumnRenamed("class", "label")
-    return M.group_trees(d, C.GROUP, "items", count="n")
+    sets = pinned(r.select("product_id", *C.GROUP).join(docs, "product_id").groupBy(*C.GROUP, "items").agg(F.count(F.lit(1)).alias("n")))
+    return C.pos_neg_dataset(sets, PC.pairs(r))
+
+
+def trees(t):
+    """Leaves of the trees, grown from counts of equal item sets."""
+    return M.group_trees(counted_sets(t).withColumnRenamed("class", "label"), C.GROUP, "items", count="n")
 
 
 @query("m08_decision_tree")
@@ -190,8 +195,7 @@ SELECT parent_type, gender, dress_code, array_to_string(a, ',') AS antecedent, h
 WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.parent_type = r.parent_type AND o.gender = r.gender AND o.dress_code = r.dress_code AND len(o.a) > len(r.a) AND list_has_all(o.a, r.a))""")
 def _(t):
     """Rules for the code of each group, over its products and those of its disjoint groups."""
-    rows, _docs = labelled_items(t)
-    r = RM.grouped_rules(rows, C.GROUP, "items", "class")
+    r = RM.grouped_rules(counted_sets(t), C.GROUP, "items", "class", count="n")
     return r.select(*C.GROUP, F.array_join("antecedent", ",").alias("antecedent"), F.col("hits").alias("n"), F.round("confidence", 6).alias("confidence"))
 
 

@@ -382,3 +382,22 @@ def test_silent_senders(spark):
     turns = spark.createDataFrame([(k,) for k, n in (("a", 40), ("b", 40), ("c", 29), ("d", 30), ("e", 50)) for _ in range(n)], "s string")
     profile = spark.createDataFrame([("a", 0), ("b", 3), ("d", None)], "s string, clicks int")
     assert {tuple(r) for r in Q.silent_senders(turns, "s", profile).collect()} == {("a", 40), ("d", 30), ("e", 50)}
+
+
+def test_rules_keep_equal_baskets_once(spark):
+    """Counted baskets give the rules of the written-out ones, and equal ones are one row."""
+    from parlance.operators.rule_mining import grouped_rules
+    rows = [("x", ["a", "b"], 1, 40), ("x", ["b", "a", "a"], 0, 5), ("x", ["c"], 0, 20), ("y", ["a"], 1, 3)]
+    counted = spark.createDataFrame(rows, "g string, items array<string>, hit int, n int")
+    single = counted.select("g", "items", "hit", F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("one"))
+    got = [sorted((r.g, tuple(r.antecedent), r.n, r.hits, r.lift) for r in grouped_rules(d, ["g"], "items", "hit", count=c).collect()) for d, c in ((counted, "n"), (single, None))]
+    assert got[0] == got[1] and [g[:4] for g in got[0]] == [("x", ("a", "b"), 45, 40), ("y", ("a",), 3, 3)]
+
+
+def test_small_files_of_large_tables_are_not_broadcast(spark, tmp_path):
+    """A million equal rows take few bytes in a file; the planner counts them as they are in a task."""
+    from parlance.sources.tables import Tables
+    path = str(tmp_path)
+    spark.range(1_000_000, numPartitions=1).selectExpr("id AS p_partkey", "repeat('x', 50) AS p_name").write.parquet(f"{path}/part.parquet")
+    part = Tables(spark, path).part
+    assert "BroadcastHashJoin" not in spark.range(10**7).join(part, F.col("id") == F.col("p_partkey"))._jdf.queryExecution().executedPlan().toString()
