@@ -45,7 +45,7 @@ def boosted_trees(rounds: int = 500, depth: int = 6, rate: float = 0.03, sample:
 def boosted_trees_cv(df: DataFrame, key: str, folds: int = 3, **params) -> DataFrame:
     """(fold, part, auc, n): boosted trees per stratified fold; training stops early on
     the held-out fold."""
-    d = pinned(stratified_folds(df, key, "label", folds))
+    d = pinned(stratified_folds(pinned(df), key, "label", folds))
     out = []
     for k in range(folds):
         marked = d.withColumn("held_out", F.col("fold") == k)
@@ -59,7 +59,7 @@ def boosted_trees_cv(df: DataFrame, key: str, folds: int = 3, **params) -> DataF
 def held_out(df: DataFrame, key: str, label: str = "label", share: float = 0.2) -> DataFrame:
     """The rows written once with ``held_out``: true for ``share`` of each label."""
     from parlance.operators.sampling import stratified_split
-    d = stratified_split(df, key, label, test=share, dev=0.0)
+    d = stratified_split(pinned(df), key, label, test=share, dev=0.0)
     return pinned(d.withColumn("held_out", F.col("part") == "test").drop("part"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.scan import find_skew, ordered, position, total
+from parlance.functions.scan import find_skew, null_safe_join, ordered, position, total
 from parlance.operators.rates import share_of
 
 
@@ -23,9 +23,12 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int, weight: str | None = No
 
 
 def _hash_position(df: DataFrame, key: str, label: str, seed: int, hot_rows: int | None) -> DataFrame:
-    d = df.withColumn("_h", hash_key(seed, key))
+    """Place and number of rows of each row's label.  Only key and label are ordered, since a
+    label's rows meet in one task; the other columns are joined by the key."""
+    d = df.select(key, label).withColumn("_h", hash_key(seed, key))
     skew = find_skew(d, [label], hot_rows)
-    return ordered(d, [label], ["_h", key], {"_pos": position(), "_size": total(F.lit(1), "count")}, skew=skew).drop("_h")
+    d = ordered(d, [label], ["_h", key], {"_pos": position(), "_size": total(F.lit(1), "count")}, skew=skew).drop("_h")
+    return d if set(df.columns) == {key, label} else null_safe_join(df, d, [key, label])
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, dev: float = 0.3, seed: int = 1,

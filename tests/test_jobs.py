@@ -413,3 +413,13 @@ def test_silent_senders_of_conversations_and_of_events(spark):
     from parlance.plans import load
     got = {r.sender_id for r in load().QUERIES["a51_silent_senders"](spark, "/root/testdata/sf0.01").collect()}
     assert {":" in s for s in got} == {True, False}
+
+
+def test_split_orders_keys_only(spark):
+    """Wide columns do not meet in the one task of their label."""
+    df = spark.range(200).select("id", F.lit("a").alias("label"), F.repeat(F.lit("x"), F.lit(1000)).alias("wide"))
+    s = S.stratified_split(df, "id", "label")
+    assert s.columns[:3] == df.columns and s.select("id", "wide").exceptAll(df.select("id", "wide")).count() == 0 and s.count() == 200
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window"):].split("\n")[0]
+    assert "wide" not in window and all("wide" not in line for line in plan[plan.index("Window"):].split("\n") if "Project" in line)
