@@ -33,7 +33,7 @@ def clean_text(e) -> Column:
     out = F.lower(_c(e))
     for short, long in CONTRACTIONS:
         out = F.replace(out, F.lit(short), F.lit(long))
-    return F.trim(F.regexp_replace(out, "[^a-zA-Z0-9 ]", ""))
+    return F.trim(F.regexp_replace(out, "[^a-zA-Z0-9 ]+", ""))
 
 
 def split_words(e) -> Column:

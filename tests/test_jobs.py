@@ -423,3 +423,13 @@ def test_split_orders_keys_only(spark):
     plan = s._jdf.queryExecution().optimizedPlan().toString()
     window = plan[plan.index("Window"):].split("\n")[0]
     assert "wide" not in window and all("wide" not in line for line in plan[plan.index("Window"):].split("\n") if "Project" in line)
+
+
+def test_augment_rare_cleans_each_text_once(spark):
+    """All texts are cleaned in one branch; the rare ones are written before the others read them."""
+    rows = [(i, "often" if i else "rare", "It's a Big, house!") for i in range(101)]
+    syn = spark.createDataFrame([("big", "large")], "word string, synonym string")
+    out = J.augment_rare(spark.createDataFrame(rows, "id int, label string, text string"), "id", "label", "text", syn)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # the texts and the synonyms
+    got = sorted((r.id, r.label, r.variant, r.text) for r in out.collect())
+    assert got[:2] == [(0, "rare", 0, "it a big house"), (0, "rare", 1, "it a large house")] and len(got) == 102
