@@ -161,17 +161,34 @@ def cache_lookup(texts: DataFrame, cache: DataFrame, encoder: str) -> DataFrame:
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def trigram_encoder(dims: int = 64) -> Encoder:
-    """Default encoder: character trigrams hashed to ``dims`` signed buckets."""
+def trigram_encoder(dims: int = 64, chars: int = 1_000_000) -> Encoder:
+    """Default encoder: character trigrams hashed to ``dims`` signed buckets.  Texts are
+    taken together up to ``chars`` characters, and each of their distinct trigrams is hashed
+    once."""
     import zlib
 
+    def add(out: np.ndarray, texts: list[str], first: int) -> None:
+        points = np.frombuffer("".join(f"#{t}#" for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(t) + 2 for t in texts])
+        row = np.repeat(np.arange(len(texts)), size)
+        codes = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+        inside = row[:-2] == row[2:]
+        grams, which = np.unique(codes[inside], return_inverse=True)
+        mask = (1 << 21) - 1
+        h = np.array([zlib.crc32((chr(g >> 42) + chr(g >> 21 & mask) + chr(g & mask)).encode()) for g in grams.tolist()], np.int64)
+        sign = np.where(h & 0x80000000, 1.0, -1.0)
+        cells = row[:-2][inside] * dims + (h % dims)[which]
+        out[first: first + len(texts)] = np.bincount(cells, sign[which], len(texts) * dims).reshape(len(texts), dims)
+
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims))
+        out, first, held = np.zeros((len(texts), dims)), 0, 0
         for i, t in enumerate(texts):
-            padded = f"#{t}#"
-            for j in range(len(padded) - 2):
-                h = zlib.crc32(padded[j:j + 3].encode())
-                out[i, h % dims] += 1.0 if h & 0x80000000 else -1.0
+            held += len(t)
+            if held >= chars:
+                add(out, texts[first: i + 1], first)
+                first, held = i + 1, 0
+        if first < len(texts):
+            add(out, texts[first:], first)
         return out
     return encode
 

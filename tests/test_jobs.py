@@ -443,3 +443,23 @@ def test_masked_tokens_are_chosen_once(spark):
     unit = lambda *p: int(__import__("hashlib").md5(":".join(map(str, p)).encode()).hexdigest()[:13], 16) / 16**13
     want = {(i, p) for i in range(60) for p in sorted(range(1, 9), key=lambda p: (unit(1, i, p), p))[:2]}
     assert {(r.id, r.pos) for r in out.collect()} == want
+
+
+def test_trigram_encoder_equals_one_by_one():
+    import zlib
+    texts = ["", "a", "a house", "h\u00e4user \U0001f600!", "a house", "zz" * 40, ""]
+    want = np.zeros((len(texts), 16))
+    for i, t in enumerate(texts):
+        p = f"#{t}#"
+        for j in range(len(p) - 2):
+            h = zlib.crc32(p[j:j + 3].encode())
+            want[i, h % 16] += 1.0 if h & 0x80000000 else -1.0
+    assert all((R.trigram_encoder(16, c)(texts) == want).all() for c in (1, 9, 1000)) and R.trigram_encoder(16)([]).shape == (0, 16)
+
+
+def test_trigram_encoder_hashes_each_trigram_once(monkeypatch):
+    import zlib
+    calls, real = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda b: calls.append(b) or real(b))
+    R.trigram_encoder(16)(["a house", "a house", "zz" * 40])
+    assert len(calls) == len(set(calls)) == 10
