@@ -445,6 +445,14 @@ def test_masked_tokens_are_chosen_once(spark):
     assert {(r.id, r.pos) for r in out.collect()} == want
 
 
+def test_python_batches_are_bounded_in_bytes(spark):
+    from parlance.sources.tables import Tables
+    Tables(spark, "")
+    wide = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("x"), F.lit(20_000)).alias("t"))
+    sizes = wide.mapInPandas(lambda batches: (b.iloc[:1].assign(n=len(b))[["n"]] for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) * 20_000 < 2 * (8 << 20)
+
+
 def test_trigram_encoder_equals_one_by_one():
     import zlib
     texts = ["", "a", "a house", "h\u00e4user \U0001f600!", "a house", "zz" * 40, ""]
