@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import vector_to_array
@@ -134,16 +133,6 @@ def text_classifier(train: DataFrame, test: DataFrame, tokens: str, rounds: int
     return lr.transform(count_vectors(numbered(test.select("label", tokens)), tokens, ids))
 
 
-def topics(df: DataFrame, key: str, tokens: str, k: int = 4, passes: int = 10, least: float = 0.35, seed: int = 100) -> DataFrame:
-    """(key, topic, weight): the dominant topic of each document where it is clear."""
-    df = numbered(df.select(key, tokens))
-    counts = count_vectors(df, tokens, token_ids(df, tokens)).select(key, "features")
-    model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online").fit(counts)
-    w = vector_to_array("topicDistribution")
-    d = model.transform(counts).select(key, F.array_max(w).alias("weight"), (F.array_position(w, F.array_max(w)) - 1).alias("topic"))
-    return d.where(F.col("weight") > least).select(key, "topic", "weight")
-
-
 # --- rules over items -------------------------------------------------------------
 
 def item_features(df: DataFrame, items: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from parlance.operators import catalogue as C
 from parlance.operators import models as M
 from parlance.operators import model_table as MT
 from parlance.operators import rule_mining as RM
+from parlance.operators import topic_model as TM
 from parlance.operators.sampling import stratified_split
 from parlance.operators.textjobs import label_ids
 from parlance.plans import catalogue as PC
@@ -215,7 +216,7 @@ def _(t):
 @query("m12_topics")
 def _(t):
     d = t.texts.select("doc_id", TX.words("text").alias("w")).where(F.size("w") > 0)
-    return rounded(M.topics(d, "doc_id", "w"), "weight", digits=4)
+    return rounded(TM.topics(d, "doc_id", "w"), "weight", digits=4)
 
 
 def choices(t):
