@@ -1,11 +1,14 @@
 """Text jobs (X), word counts (A23, A53) and label queries."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.operators import rates as R
 from parlance.operators import textjobs as J
 from parlance.plans.registry import check_view, query
+from parlance.session import pinned
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 check_view("ck_words", """
@@ -233,6 +236,18 @@ def _(t):
 N_BEST, MAX_LEN = 5, 8
 
 
+def _stand_in(a, b, m):
+    """Numbers that stand in for a model's scores of the tokens of a window."""
+    @F.arrow_udf("array<double>")
+    def scores(doc: pa.Array, span: pa.Array, start: pa.Array, length: pa.Array) -> pa.Array:
+        doc, span, start, length = (c.to_numpy().astype(np.int64) for c in (doc, span, start, length))
+        cuts = np.concatenate(([0], np.cumsum(length)))
+        row = np.repeat(np.arange(len(length)), length)
+        tok = start[row] + np.arange(cuts[-1]) - cuts[row]
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.fmod(tok * a + (doc * b + span)[row], m) / 10.0))
+    return scores
+
+
 @query("x14_best_spans", f"""
 WITH sc AS (SELECT b.doc_id, b.span, b.tok, ((b.tok * 37 + b.doc_id * 11 + b.span) % 101) / 10.0 AS sl, ((b.tok * 53 + b.doc_id * 7 + b.span) % 97) / 10.0 AS el, b.r = 1 AS is_max FROM ck_best b),
 st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, span ORDER BY sl DESC, tok) AS k FROM sc) WHERE k <= {N_BEST} AND is_max),
@@ -245,9 +260,9 @@ SELECT doc_id, CAST(rank AS INT) AS rank, text, round(score, 4) AS score, round(
   coalesce(max(CASE WHEN text = '' THEN score END) OVER (PARTITION BY doc_id) - max(CASE WHEN text <> '' THEN score END) OVER (PARTITION BY doc_id) > 0, true) AS no_answer
 FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS mx FROM kp)""")
 def _(t):
-    d = long_docs(t)
+    d = pinned(long_docs(t))  # read three times
     w = J.window_flags(d, "doc_id", F.col("len"), F.col("q"), N_MAX, STRIDE)
-    at = lambda a, b, m: F.transform("is_max", lambda _, i: (((F.col("start") + i) * a + F.col("doc_id") * b + F.col("span")) % m) / 10.0)
+    at = lambda a, b, m: _stand_in(a, b, m)("doc_id", "span", "start", "length")
     sc = w.select("doc_id", "start", "is_max", at(37, 11, 101).alias("start_logits"), at(53, 7, 97).alias("end_logits"))
     nulls = d.select("doc_id", (F.col("doc_id") % 13).cast("double").alias("null_score"))
     b = J.best_spans(sc, d.select("doc_id", F.col("ws").alias("words")), nulls, "doc_id", N_BEST, MAX_LEN)
