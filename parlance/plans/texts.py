@@ -47,8 +47,7 @@ def _(t):
 @query("x04_count_vectors", """
 SELECT doc_id, token, count(*) AS n, 1 AS present FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS token FROM fx_texts) GROUP BY 1, 2""")
 def _(t):
-    long = t.texts.select("doc_id", F.explode(T.pattern_tokens("text")).alias("token"))
-    return long.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).withColumn("present", F.lit(1))
+    return J.token_counts(t.texts.select("doc_id", T.pattern_tokens("text").alias("tokens")), "doc_id", "tokens", t.fx_texts).withColumn("present", F.lit(1))
 
 
 check_view("ck_label_ids", "SELECT source, row_number() OVER (ORDER BY f) - 1 AS id FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY 1)")
