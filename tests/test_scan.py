@@ -107,6 +107,34 @@ def test_large_keys_give_one_row(spark, monkeypatch):
     assert [tuple(r) for r in registry.QUERIES["p35_count_actions"](spark, "").collect()] == [("u", 2000, 500)]
 
 
+def test_actions_are_counted_in_ordered_lists(spark, monkeypatch):
+    import random
+    from types import SimpleNamespace
+    from parlance.functions import expr as X
+    from parlance.plans import load
+    rnd = random.Random(3)
+    rows = [(k, i // 2, i, rnd.choice(["click", "click", "add to cart", None])) for k, n in (("u", 2500), ("v", 3), (None, 1001)) for i in range(n)]
+    clicks = spark.createDataFrame(rnd.sample(rows, len(rows)), "user_id string, ts int, event_id int, action string")
+    collected, made = Q.collected, []
+
+    def lists(*args, **kw):
+        made.append(collected(*args, **kw))
+        return made[-1]
+
+    monkeypatch.setattr(Q, "collected", lists)
+    registry = load()
+    monkeypatch.setattr(registry, "Tables", lambda spark, path: SimpleNamespace(fx_clicks=clicks))
+    want = {(k, *[sum(r[0] == k and r[3] == a for r in rows) for a in ("click", "add to cart")]) for k in ("u", "v", None)}
+    assert {tuple(r) for r in registry.QUERIES["p35_count_actions"](spark, "").collect()} == want
+    parts = sorted(made[0].collect(), key=lambda r: r["chunk"])
+    assert sorted(len(r["_actions"]) for r in parts) == [1, 3, 500, 1000, 1000, 1000]
+    for k in ("u", "v", None):
+        assert [a for r in parts if r["user_id"] == k for a in r["_actions"]] == [r[3] for r in rows if r[0] == k]
+    hot = Q.action_counts(clicks, "user_id", ["ts", "event_id"], "action", {"clicks": "click", "adds": "add to cart"}, chunk=7, hot_rows=100)
+    assert {tuple(r) for r in hot.collect()} == want
+    assert spark.sql("SELECT CAST(NULL AS array<string>) AS a").select(X.count_actions("a", "click")).first()[0] is None
+
+
 @pytest.mark.parametrize("hot", [10**9, 20])
 def test_last_n_of_three_columns_in_one_scan(spark, hot):
     import random
